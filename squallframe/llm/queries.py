@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from squallframe.llm.decontamination import op8_fm_leaks
 from squallframe.llm.html import op2_main_text
 from squallframe.llm.jpeg import op10_jpeg_media
 from squallframe.llm.mixing import op7_pareto_mix
+from squallframe.llm.neardup import op1_order_minhash
 from squallframe.llm.quality import op9_quality
 from squallframe.llm.sharding import op3_interleaved_shards
 from squallframe.llm.urls import op5_url_trust
 from squallframe.llm.warc import op6_arc_to_warc
 
 QUERIES = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_main_text": op2_main_text,
     "op3_interleaved_shards": op3_interleaved_shards,
     "op5_url_trust": op5_url_trust,
     "op6_arc_to_warc": op6_arc_to_warc,
     "op7_pareto_mix": op7_pareto_mix,
+    "op8_fm_leaks": op8_fm_leaks,
     "op9_quality": op9_quality,
     "op10_jpeg_media": op10_jpeg_media,
 }
