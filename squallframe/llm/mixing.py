@@ -74,11 +74,13 @@ def take_mix(docs: DataFrame, weights: list[float], *, id_col: str = "doc_id", t
 
     Rows with the same id and text are interchangeable: their copies are added up and dealt to one of them.
     """
-    key = [F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash")]
+    key, text_hash = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     taken = pareto_mix(docs, weights, id_col=id_col, text_col=text_col, **options)
-    taken = taken.groupBy(F.col(id_col).alias("__tid"), F.col("text_hash").alias("__thash")).agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0")
-    rows = docs.select("*", *key).dropDuplicates(["__id", "__hash"])
-    rows = rows.join(taken, rows["__id"].eqNullSafe(taken["__tid"]) & (rows["__hash"] == taken["__thash"]))
+    taken = taken.groupBy(key.alias("__tkey"), F.col("text_hash").alias("__thash")).agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0")
+    rows = docs.withColumn("__key", key).withColumn("__hash", text_hash)
+    rows = rows.join(taken, (F.col("__key") == F.col("__tkey")) & (F.col("__hash") == F.col("__thash")))
+    first = F.row_number().over(Window.partitionBy("__key", "__hash").orderBy("__key"))
+    rows = rows.withColumn("__n", first).where("__n = 1")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from squallframe.llm.common import materialize, table
+from squallframe.llm.common import WORD, materialize, table
 from squallframe.llm.components import components
 
 #: Words of a k-mer, and the least edit similarity of near duplicates.
@@ -285,12 +285,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of the smallest id of each class, one for each id and text; rows without words all stay."""
-    classes = near_duplicates(docs, id_col=id_col, **options)
-    kept = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__kept"), "n_words").distinct()
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")))
-    return rows.where("n_words = 0").select(*docs.columns).union(rows.where("n_words > 0").select(*docs.columns).dropDuplicates([id_col]))
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each class: that of the smallest id. Rows without words all stay.
+
+    Of repeated rows of an id, one stays. A row with a null id stays only if no row of its class has an id.
+    """
+    key, has_words = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
+    classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    kept = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(key.alias("__kept"), (F.col("n_words") > 0).alias("__kept_words")).distinct()
+    rows = docs.withColumn("__key", key).withColumn("__has_words", has_words)
+    rows = rows.join(kept, (F.col("__key") == F.col("__kept")) & (F.col("__has_words") == F.col("__kept_words")))
+    # the join has brought the rows of a key together and sorted them, which is all that this window needs
+    first = F.row_number().over(Window.partitionBy("__key", "__has_words").orderBy("__key"))
+    return rows.withColumn("__n", first).where((F.col("__n") == 1) | ~F.col("__has_words") | F.col(id_col).isNull()).select(*docs.columns)
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from squallframe.llm.decontamination import op8_fm_leaks
 from squallframe.llm.html import op2_main_text
 from squallframe.llm.jpeg import op10_jpeg_media
+from squallframe.llm.lm import op4_bloom_lm
 from squallframe.llm.mixing import op7_pareto_mix
 from squallframe.llm.neardup import op1_order_minhash
 from squallframe.llm.quality import op9_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_main_text": op2_main_text,
     "op3_interleaved_shards": op3_interleaved_shards,
+    "op4_bloom_lm": op4_bloom_lm,
     "op5_url_trust": op5_url_trust,
     "op6_arc_to_warc": op6_arc_to_warc,
     "op7_pareto_mix": op7_pareto_mix,
