@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -55,22 +56,22 @@ def hash_unit(seed: int, *columns: Column) -> Column:
 def running_position(df: DataFrame, groups: list[str], unit: str, order: list[str], value: str | None = None) -> DataFrame:
     """Rank (and running sum) of each row in its group, without one task for a whole group.
 
-    ``unit`` is a column in [0, 1) that ``order`` starts with. A group is cut into about as many ranges of it
-    as each range has rows, so that neither the ranges of a hot group nor the table of ranges gets large. Adds
-    __n (rows of the group), __rank (from 1), and for a value __total and __cum (sum up to and with the row).
+    ``unit`` is a column in [0, 1) that ``order`` starts with. Groups are cut into ranges of it, about as many as
+    a range of a group of all rows would have rows, so that neither the ranges of a hot group nor the table of ranges
+    gets large. Rows are only ever dealt by group and range. ``df`` should be materialized: its rows are counted first.
+    Adds __n (rows of the group), __rank (from 1), and for a value __cum (sum up to and with the row).
     """
+    rows = df.count()
+    ranges = max(1, math.ceil(rows / max(1000.0, math.sqrt(rows))))
     keys = [*groups, "__range"]
-    totals = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"), *([F.sum(value).alias("__total")] if value else []))
-    per = F.greatest(F.lit(1000.0), F.sqrt(F.col("__n").cast("double")))
-    totals = totals.withColumn("__ranges", F.ceil(F.col("__n") / per))
-    placed = df.join(totals, groups) if groups else df.crossJoin(F.broadcast(totals))
-    placed = placed.withColumn("__range", F.least(F.floor(F.col(unit) * F.col("__ranges")), F.col("__ranges") - 1)).drop("__ranges")
-    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.withColumn("__range", F.least(F.floor(F.col(unit) * ranges), F.lit(ranges - 1)))
+    group = Window.partitionBy(*groups)
+    before = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"), *([F.sum(value).alias("__s")] if value else []))
-    starts = sums.select(*keys, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__c0"), *([F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s0")] if value else []))
+    starts = sums.select(*keys, F.sum("__c").over(group).alias("__n"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__c0"), *([F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s0")] if value else []))
     inside = Window.partitionBy(*keys).orderBy(*order)
     out = placed.join(starts, keys).withColumn("__rank", F.col("__c0") + F.row_number().over(inside))
     if value:
-        rows = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = out.withColumn("__cum", F.col("__s0") + F.sum(value).over(rows)).drop("__s0")
+        so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumn("__cum", F.col("__s0") + F.sum(value).over(so_far)).drop("__s0")
     return out.drop("__c0", "__range")
