@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from squallframe.llm.common import WORD, hash_unit, materialize, running_position, table
 
+#: Parts into which each source's rows are dealt where its target is joined to them.
+SALTS = 256
+
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
     """Targets of sources from (__key, source_size): ``share`` of all words by weight, none above cap times its size.
@@ -53,13 +56,15 @@ def pareto_mix(docs: DataFrame, weights: list[float], *, share: float = 1.5, cap
     rows = materialize(rows)
     targets = source_targets(rows.groupBy("__key").agg(F.sum("__size").alias("source_size")), weights, share, cap)
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.join(targets.withColumn("__due", due), "__key")
+    # every source's row is there once for each salt, so that a hot source's rows are dealt to all tasks
+    salted = targets.withColumn("__due", due).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("__salt", F.least(F.floor(F.col("__u") * SALTS).cast("int"), F.lit(SALTS - 1))).join(salted, ["__key", "__salt"])
     rows = rows.withColumn("__certain", F.floor("__due")).withColumn("__pi", F.col("__due") - F.col("__certain"))
     odds = F.col("__u") / (1 - F.col("__u"))
     ranking = odds / (F.col("__pi") / (1 - F.col("__pi")))
     # Q / (1 + Q) keeps the order of Q and is in (0, 1); where no inclusion is due, the order doesn't matter
     rows = rows.withColumn("__q", F.when(F.col("__pi") > 0, 1 - 1 / (1 + ranking)).otherwise(F.col("__u")))
-    ranked = running_position(rows, ["__key"], "__q", ["__q", "__u", "__id", "__hash", "__size"], "__size")
+    ranked = running_position(materialize(rows), ["__key"], "__q", ["__q", "__u", "__id", "__hash", "__size"], "__size")
     rest = F.col("target") - F.col("__certain") * F.col("source_size")
     sampled = (F.col("__pi") > 0) & (F.col("__size") > 0) & (F.col("__cum") - F.col("__size") / 2.0 <= rest)
     copies = (F.col("__certain") + F.when(sampled, 1).otherwise(0)).cast("int")
