@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from squallframe.operators import observing
+
+QUERIES: dict = {**observing.QUERIES}
+ORACLES: dict = {**observing.ORACLES}
