@@ -310,13 +310,16 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
     Rows without hits stay as they are. The number of characters is set anew where a text is cut.
     """
-    found = find_leaks(docs, benchmark, text_col=text_col, **options)
     names = docs.columns
+    # columns of the rows' own that have the names of what is found are set aside meanwhile
+    aside = {c: f"__own_{c}" for c in ("n_words", "spans", "items") if c in names}
+    found = find_leaks(docs.withColumnsRenamed(aside), benchmark, text_col=text_col, **options)
+    found = found.select("*", F.col("spans").alias("__spans")).drop("n_words", "spans", "items").withColumnsRenamed({v: k for k, v in aside.items()})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, chars, kept = batch.column(text_col).to_pylist(), batch.column(chars_col).to_pylist() if chars_col in names else None, [True] * batch.num_rows
-            for k, spans in enumerate(batch.column("spans").to_pylist()):
+            for k, spans in enumerate(batch.column("__spans").to_pylist()):
                 if spans:
                     texts[k] = cut_words(texts[k], [(s["first"], s["end"]) for s in spans])
                     kept[k] = bool(words_of(texts[k]))
@@ -329,7 +332,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
             yield out.filter(pa.array(kept, pa.bool_()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return found.select(*names, "spans").mapInArrow(cut, schema)
+    return found.select(*names, "__spans").mapInArrow(cut, schema)
 
 
 def op8_fm_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
