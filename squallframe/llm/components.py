@@ -19,6 +19,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     both = links.select(F.col(a).alias("__x"), F.col(b).alias("__y")).union(links.select(b, a)).where("__x <> __y").distinct()
     both = materialize(both)
     labels = materialize(both.groupBy(F.col("__x").alias("node")).agg(F.least(F.min("__x"), F.min("__y")).alias("component")))
+    if both.isEmpty():
+        return labels
     for _ in range(MAX_ROUNDS):
         near = both.join(labels, F.col("__y") == F.col("node")).groupBy("__x").agg(F.min("component").alias("__near"))
         moved = labels.join(near, F.col("node") == F.col("__x")).select("node", F.col("component").alias("__old"), F.least("component", "__near").alias("component"))

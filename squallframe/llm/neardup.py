@@ -16,8 +16,11 @@ from squallframe.llm.components import components
 #: Words of a k-mer, and the least edit similarity of near duplicates.
 KMER, SIMILARITY = 5, 0.8
 #: Sketches of a text; k-mers of a sketch; sketches that two texts must share to be compared. Texts whose k-mers are
-#: similar to 0.8 share one with probability 0.8**5, and two or more of 32 with more than 0.9999.
-SKETCHES, PER_SKETCH, SHARED = 32, 5, 2
+#: similar to 0.8 share one with probability 0.8**5 and four or more of 32 with 0.998 (0.85: 0.99999); at 0.5, where
+#: texts of a common passage meet, it is 0.02.
+SKETCHES, PER_SKETCH, SHARED = 32, 5, 4
+#: Rounds of comparing texts with one of their buckets' largest classes.
+PIVOT_ROUNDS = 4
 #: Widest band that is aligned by diagonals in one matrix, and the matrix's largest size.
 DIAGONAL_BAND, DIAGONAL_CELLS = 256, 20_000_000
 
@@ -162,7 +165,7 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     _, which = np.unique(np.concatenate([a, b]), return_inverse=True)
     more = np.bincount(which[: len(a)], minlength=which.max() + 1) - np.bincount(which[len(a) :], minlength=which.max() + 1)
     least = max(int(more[more > 0].sum()), int(-more[more < 0].sum()))
-    band = max(8, least)
+    band = most if most <= 64 else max(8, least)
     while least <= most:
         band = min(band, most)
         by_diagonals = band <= DIAGONAL_BAND and (2 * band + 1) * (len(a) + 1) <= DIAGONAL_CELLS
@@ -219,17 +222,18 @@ def words_by_id(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (__a, __b) whose texts are similar."""
+    """The pairs whose texts (__a, __b) are similar, with their other columns, all of them long."""
+    names = pairs.columns
     left = texts.select(F.col("__tid").alias("__a"), F.col("__hashes").alias("__ha"))
     right = texts.select(F.col("__tid").alias("__b"), F.col("__hashes").alias("__hb"))
-    both = pairs.select("__a", "__b").join(left, "__a").join(right, "__b").select("__a", "__b", "__ha", "__hb")
+    both = pairs.join(left, "__a").join(right, "__b").select(*names, "__ha", "__hb")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [similar(np.frombuffer(a.as_py(), np.uint32).astype(np.int64), np.frombuffer(b.as_py(), np.uint32).astype(np.int64), similarity) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["__a", "__b"]).filter(pa.array(kept, pa.bool_()))
+            kept = [similar(np.frombuffer(a.as_py(), np.uint32).astype(np.int64), np.frombuffer(b.as_py(), np.uint32).astype(np.int64), similarity) for a, b in zip(batch.column("__ha"), batch.column("__hb"), strict=True)]
+            yield batch.select(names).filter(pa.array(kept, pa.bool_()))
 
-    return both.mapInArrow(rows, "__a long, __b long")
+    return both.mapInArrow(rows, ", ".join(f"{c} long" for c in names))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -240,8 +244,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Classes are the connected components of all such links; equal texts are one text from the start.
 
     No bucket's pairs are written out. Each text is first compared with the smallest one of each bucket that they
-    share often enough. Then only candidates whose classes still differ are compared, within the buckets where classes
-    meet; of the bucket's largest class, texts are compared with those of other classes only.
+    share often enough. Then, for a few rounds, texts that aren't in the largest class of a bucket are compared with one of
+    that class, which joins what belongs together by few comparisons. At last all candidates whose classes still
+    differ are compared, in the buckets where classes meet, so that no link between classes is lost.
 
     class_id and exact_id are the smallest ids of the class and of the equal texts. Edge cases: a row whose text is
     null or has no words is a class of its own, under its own id; texts of fewer than KMER words are compared by all
@@ -257,23 +262,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     star = crowded.where("__tid <> __b").groupBy(F.col("__tid").alias("__a"), "__b").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= SHARED)
     wanted = crowded.select("__tid").distinct().join(texts.select("__tid", "__wid", "__words", "__keys"), "__tid")
     words = materialize(words_by_id(docs, wanted.select("__tid", "__wid"), id_col, text_col))
-    links = materialize(verified(star, words, similarity))
+    links = materialize(verified(star.select("__a", "__b"), words, similarity))
     found = components(links, "__a", "__b")
-
     classes = crowded.select("__key", "__tid").join(found, F.col("__tid") == F.col("node"), "left").select("__key", "__tid", F.coalesce("component", "__tid").alias("__c"))
-    mixed = classes.groupBy("__key", "__c").agg(F.count(F.lit(1)).alias("__n")).groupBy("__key").agg(F.count(F.lit(1)).alias("__classes"), F.max_by("__c", F.struct("__n", "__c")).alias("__main"))
-    meeting = classes.join(mixed.where("__classes > 1").select("__key", "__main"), "__key")
+    for turn in range(PIVOT_ROUNDS + 1):
+        # of each bucket where classes meet: its largest class, and one of that class's texts
+        sizes = classes.groupBy("__key", "__c").agg(F.count(F.lit(1)).alias("__n"), F.max_by("__tid", F.xxhash64("__tid", F.lit(turn))).alias("__pivot"))
+        mixed = sizes.groupBy("__key").agg(F.count(F.lit(1)).alias("__classes"), F.max_by(F.struct("__c", "__pivot"), F.struct("__n", "__c")).alias("__m")).where("__classes > 1")
+        meeting = materialize(classes.join(mixed.select("__key", F.col("__m.__c").alias("__main"), F.col("__m.__pivot").alias("__pivot")), "__key"))
+        if turn == PIVOT_ROUNDS:
+            break
+        often = meeting.where("__c <> __main").groupBy("__tid", "__c", "__main", "__pivot").agg(F.count(F.lit(1)).alias("__n"))
+        tries = often.groupBy(F.col("__tid").alias("__a"), F.col("__c").alias("__ca")).agg(F.max_by(F.struct("__pivot", "__main"), F.struct("__n", "__pivot")).alias("__p"))
+        more = materialize(verified(tries.select("__a", F.col("__p.__pivot").alias("__b"), "__ca", F.col("__p.__main").alias("__cb")), words, similarity).select(F.col("__ca").alias("__a"), F.col("__cb").alias("__b")).distinct())
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        merged = components(more, "__a", "__b")
+        classes = meeting.select("__key", "__tid", "__c").join(merged, F.col("__c") == F.col("node"), "left").select("__key", "__tid", F.coalesce("component", "__c").alias("__c"))
+
     meeting = materialize(meeting.join(texts.select("__tid", "__words", "__keys"), "__tid"))
     one = meeting.where("__c <> __main").select("__key", "__main", F.col("__tid").alias("__a"), F.col("__c").alias("__ca"), F.col("__words").alias("__wa"), F.col("__keys").alias("__ka"))
     other = meeting.select(F.col("__key").alias("__key2"), F.col("__tid").alias("__b"), F.col("__c").alias("__cb"), F.col("__words").alias("__wb"), F.col("__keys").alias("__kb"))
     once = (F.col("__cb") == F.col("__main")) | (F.col("__ca") < F.col("__cb"))
     lengths = F.least("__wa", "__wb") >= F.greatest("__wa", "__wb") * similarity - 1e-6
-    shared = F.size(F.filter(F.zip_with("__ka", "__kb", lambda x, y: x == y), lambda x: x)) >= SHARED
+    # a pair is taken from the first of the buckets that it shares
+    common = F.filter(F.zip_with("__ka", "__kb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    shared = (F.size(common) >= SHARED) & (F.get(common, F.lit(0)) == F.col("__key"))
     cross = one.join(other, (F.col("__key") == F.col("__key2")) & (F.col("__ca") != F.col("__cb")) & once & lengths & shared)
-    cross = cross.select(F.least("__a", "__b").alias("__a"), F.greatest("__a", "__b").alias("__b")).distinct()
-    more = materialize(verified(cross, words, similarity))
-    if not more.isEmpty():
-        found = components(links.union(more), "__a", "__b")
+    last = materialize(verified(cross.select("__a", "__b", "__ca", "__cb"), words, similarity).select(F.col("__ca").alias("__a"), F.col("__cb").alias("__b")).distinct())
+    found = components(links.union(last), "__a", "__b")
 
     members = texts.join(found, F.col("__tid") == F.col("node"), "left").select("__tid", F.col("__wid").alias("__exact"), F.coalesce("component", "__tid").alias("__c"))
     smallest = members.groupBy("__c").agg(F.min("__exact").alias("__class"))
