@@ -18,7 +18,7 @@ BINS = 24
 #: Statistics of a text, each in BINS bins (see ``statistics``).
 STATISTICS = ["words", "word_length", "distinct", "repeated", "upper", "digits", "marks", "pipes", "odd", "line_length", "longest", "shouts", "given_chars"]
 FEATURES = WORD_BUCKETS + BINS * len(STATISTICS)
-#: At most so many labelled rows are fitted; they are gathered as hashed counts to the driver.
+#: At most so many labelled rows are fitted; they are gathered as hashed counts in one task.
 SAMPLE_ROWS = 6000
 
 
@@ -134,9 +134,18 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             made = [featurize(t.as_py(), g.as_py(), buckets) for t, g in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m[0].tobytes() for m in made], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary())], names=["u", "y", "i", "x"])
 
-    found = sorted(rows.mapInArrow(features, "u double, y int, i binary, x binary").collect(), key=lambda r: (r.u, bytes(r.i)))
-    made = [(np.frombuffer(r.i, np.int32), np.frombuffer(r.x, np.float32)) for r in found]
-    return fit_machine(made, np.array([r.y for r in found], np.float64), **fit)
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)), key=lambda r: (r[0], r[2]))
+        made = [(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)) for _, _, i, x in found]
+        bias, w, v = fit_machine(made, np.array([r[1] for r in found], np.float64), **fit)
+        yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([w.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["bias", "w", "v"])
+
+    # the sample is bounded, so that one task can fit it; the driver gets the machine alone
+    got = rows.mapInArrow(features, "u double, y int, i binary, x binary").repartition(1).mapInArrow(fit_all, "bias double, w binary, v binary").first()
+    if got is None:
+        return fit_machine([], np.zeros(0), **fit)
+    w = np.frombuffer(got.w, np.float64)
+    return got.bias, w, np.frombuffer(got.v, np.float64).reshape(len(w), -1)
 
 
 def score_quality(docs: DataFrame, machine: tuple[float, np.ndarray, np.ndarray], *, text_col: str = "text", chars_col: str = "n_chars", score_col: str = "score") -> DataFrame:
