@@ -20,7 +20,7 @@ KMER, SIMILARITY = 5, 0.8
 #: texts of a common passage meet, it is 0.02.
 SKETCHES, PER_SKETCH, SHARED = 32, 5, 4
 #: Rounds of comparing texts with one of their buckets' largest classes.
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
 #: Widest band that is aligned by diagonals in one matrix, and the matrix's largest size.
 DIAGONAL_BAND, DIAGONAL_CELLS = 256, 20_000_000
 
