@@ -19,8 +19,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     both = links.select(F.col(a).alias("__x"), F.col(b).alias("__y")).union(links.select(b, a)).where("__x <> __y").distinct()
     both = materialize(both)
     labels = materialize(both.groupBy(F.col("__x").alias("node")).agg(F.least(F.min("__x"), F.min("__y")).alias("component")))
-    if both.isEmpty():
-        return labels
     for _ in range(MAX_ROUNDS):
         near = both.join(labels, F.col("__y") == F.col("node")).groupBy("__x").agg(F.min("component").alias("__near"))
         moved = labels.join(near, F.col("node") == F.col("__x")).select("node", F.col("component").alias("__old"), F.least("component", "__near").alias("component"))
@@ -32,3 +30,13 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if not changed:
             return labels
     raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")
+
+
+def near_components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component) as far as one step shows: a node takes the smallest of its own and its neighbours' names, then
+    what that one has taken. Nodes of one name are linked; linked nodes may still have several names.
+    """
+    both = links.select(F.col(a).alias("__x"), F.col(b).alias("__y")).union(links.select(b, a)).where("__x <> __y")
+    labels = both.groupBy(F.col("__x").alias("node")).agg(F.least(F.min("__x"), F.min("__y")).alias("component"))
+    jump = labels.select(F.col("node").alias("__n"), F.col("component").alias("__jump"))
+    return materialize(labels.join(jump, F.col("component") == F.col("__n")).select("node", F.col("__jump").alias("component")))

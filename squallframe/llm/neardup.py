@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from squallframe.llm.common import WORD, materialize, table
-from squallframe.llm.components import components
+from squallframe.llm.components import components, near_components
 
 #: Words of a k-mer, and the least edit similarity of near duplicates.
 KMER, SIMILARITY = 5, 0.8
@@ -245,8 +245,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     No bucket's pairs are written out. Each text is first compared with the smallest one of each bucket that they
     share often enough. Then, for a few rounds, texts that aren't in the largest class of a bucket are compared with one of
-    that class, which joins what belongs together by few comparisons. At last all candidates whose classes still
-    differ are compared, in the buckets where classes meet, so that no link between classes is lost.
+    that class, which joins what belongs together by few comparisons; until then classes are only joined as far as one
+    step shows. At last all candidates whose classes still differ are compared, in the buckets where classes meet, so
+    that no link between classes is lost, and the components of all links found are taken.
 
     class_id and exact_id are the smallest ids of the class and of the equal texts. Edge cases: a row whose text is
     null or has no words is a class of its own, under its own id; texts of fewer than KMER words are compared by all
@@ -263,7 +264,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = crowded.select("__tid").distinct().join(texts.select("__tid", "__wid", "__words", "__keys"), "__tid")
     words = materialize(words_by_id(docs, wanted.select("__tid", "__wid"), id_col, text_col))
     links = materialize(verified(star.select("__a", "__b"), words, similarity))
-    found = components(links, "__a", "__b")
+    found = near_components(links, "__a", "__b")
     classes = crowded.select("__key", "__tid").join(found, F.col("__tid") == F.col("node"), "left").select("__key", "__tid", F.coalesce("component", "__tid").alias("__c"))
     for turn in range(PIVOT_ROUNDS + 1):
         # of each bucket where classes meet: its largest class, and one of that class's texts
@@ -275,10 +276,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         often = meeting.where("__c <> __main").groupBy("__tid", "__c", "__main", "__pivot").agg(F.count(F.lit(1)).alias("__n"))
         tries = often.groupBy(F.col("__tid").alias("__a"), F.col("__c").alias("__ca")).agg(F.max_by(F.struct("__pivot", "__main"), F.struct("__n", "__pivot")).alias("__p"))
         more = materialize(verified(tries.select("__a", F.col("__p.__pivot").alias("__b"), "__ca", F.col("__p.__main").alias("__cb")), words, similarity).select(F.col("__ca").alias("__a"), F.col("__cb").alias("__b")).distinct())
-        if more.isEmpty():
-            break
         links = links.union(more)
-        merged = components(more, "__a", "__b")
+        merged = near_components(more, "__a", "__b")
         classes = meeting.select("__key", "__tid", "__c").join(merged, F.col("__c") == F.col("node"), "left").select("__key", "__tid", F.coalesce("component", "__c").alias("__c"))
 
     meeting = materialize(meeting.join(texts.select("__tid", "__words", "__keys"), "__tid"))
