@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from squallframe.operators import observing
+from squallframe.operators import observing, tracking  # noqa: F401  (registers its queries)
 
 QUERIES: dict = {**observing.QUERIES}
 ORACLES: dict = {**observing.ORACLES}
