@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from squallframe import catalog
 from squallframe.functions import geo
 from squallframe.functions.relational import islands, upsert, within_km
+from squallframe.operators.tracking import in_ring
+from squallframe.streaming.windows import closed_windows, drain
 
 DATA = "/root/testdata/sf0.001"
 
@@ -55,3 +57,19 @@ def test_upsert_keeps_old_values_for_nulls(spark):
     old = spark.createDataFrame([(1, 5, 7), (2, 6, 8)], "k int, v int, w int")
     new = spark.createDataFrame([(2, None, None), (3, 1, 1)], "k int, v int, w int")
     assert sorted(map(tuple, upsert(old, new, ["k"], ["w"]).collect())) == [(1, 5, 7), (2, None, 8), (3, 1, 1)]
+
+
+def test_ring_by_even_odd_rule(spark):
+    rows = spark.createDataFrame([(0.5, 0.5, True), (1.5, 0.5, False), (0.5, -0.1, False), (None, 0.5, None)], "y double, x double, inside boolean")
+    square = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)]
+    assert [bool(r["inside"]) for r in rows.where(in_ring(F.col("y"), F.col("x"), square)).collect()] == [True]
+    assert rows.where(in_ring(F.col("y"), F.col("x"), square[:2])).count() == 0
+
+
+def test_late_rows_and_repeats_leave_closed_windows(spark, tmp_path):
+    times = [(1, 10), (2, 20), (2, 21), (3, 130), (4, 400)]
+    rows = spark.createDataFrame(times, "id long, s long").select("id", F.timestamp_seconds("s").alias("at"))
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    out = drain(closed_windows(stream, "at", [], 60, 120, id_col="id"), "test")
+    assert sorted(map(tuple, out.collect())) == [(0, 2), (120, 1)]  # the window from 360 is still open
