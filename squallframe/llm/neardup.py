@@ -267,6 +267,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = near_components(links, "__a", "__b")
     classes = crowded.select("__key", "__tid").join(found, F.col("__tid") == F.col("node"), "left").select("__key", "__tid", F.coalesce("component", "__tid").alias("__c"))
     for turn in range(PIVOT_ROUNDS + 1):
+        classes = materialize(classes)  # it is read twice, for the sizes and for the rows
         # of each bucket where classes meet: its largest class, and one of that class's texts
         sizes = classes.groupBy("__key", "__c").agg(F.count(F.lit(1)).alias("__n"), F.max_by("__tid", F.xxhash64("__tid", F.lit(turn))).alias("__pivot"))
         mixed = sizes.groupBy("__key").agg(F.count(F.lit(1)).alias("__classes"), F.max_by(F.struct("__c", "__pivot"), F.struct("__n", "__c")).alias("__m")).where("__classes > 1")
