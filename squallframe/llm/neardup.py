@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +17,15 @@ from squallframe.llm.components import components, near_components
 
 #: Words of a k-mer, and the least edit similarity of near duplicates.
 KMER, SIMILARITY = 5, 0.8
-#: Sketches of a text; k-mers of a sketch; sketches that two texts must share to be compared. Texts whose k-mers are
-#: similar to 0.8 share one with probability 0.8**5 and four or more of 32 with 0.998 (0.85: 0.99999); at 0.5, where
-#: texts of a common passage meet, it is 0.02.
-SKETCHES, PER_SKETCH, SHARED = 32, 5, 4
+#: Sketches of a text; k-mers of a sketch. Texts that have I of U k-mers in common share a sketch with probability
+#: C(I, 5) / C(U, 5) if those are in the same order.
+SKETCHES, PER_SKETCH = 32, 5
+#: Keys that two texts must share to be compared first. The last comparison takes all that share one.
+LIKELY = 4
+#: Pairs whose shorter text has at most so many words are found by segments, none of them missed, instead of sketches.
+SHORT = 33
+#: 64-bit words of a text's bits, of which each of its words turns one over; an edit changes two of them at most.
+BIT_WORDS = 8
 #: Rounds of comparing texts with one of their buckets' largest classes.
 PIVOT_ROUNDS = 2
 #: Widest band that is aligned by diagonals in one matrix, and the matrix's largest size.
@@ -99,6 +106,61 @@ def order_sketches(words: np.ndarray, block: int = 1 << 14) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def most_edits(n: int, similarity: float) -> int:
+    """Edits that a text of n words may be from a shorter similar one."""
+    return int((1 - similarity) * n + 1e-9)
+
+
+@lru_cache(maxsize=None)
+def segment_plan(m: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where a text of m words has its segment keys: words of the longer text, segment, its words and its place.
+
+    A text of n words is cut into one segment more than the edits it may be away, so a similar one that isn't longer
+    has one of them unchanged. If it is the first one that fits, it is moved by no more than the segments before it,
+    and seen from the end by no more than those behind it; so these are the places where the shorter text has keys.
+    """
+    out = set()
+    if m - most_edits(m, similarity) <= SHORT:
+        n = m
+        while n - most_edits(n, similarity) <= m and (n == m or m <= SHORT):
+            parts = most_edits(n, similarity) + 1
+            edges = [n * i // parts for i in range(parts + 1)]
+            for i in range(parts):
+                start, size = edges[i], edges[i + 1] - edges[i]
+                after = parts - 1 - i
+                if m > SHORT:
+                    places = [start]
+                else:
+                    places = range(max(0, start - i, start + m - n - after), min(m - size, start + i, start + m - n + after) + 1)
+                out |= {(n, i, size, at) for at in places}
+            n += 1
+    return tuple(np.array([x[k] for x in sorted(out)], np.int64) for k in range(4))
+
+
+def segment_keys(words: np.ndarray, similarity: float) -> np.ndarray:
+    n, part, size, at = segment_plan(len(words), similarity)
+    h = np.zeros(len(n), np.uint64)
+    for k in np.unique(size):
+        one = np.zeros(len(words) - k + 1, np.uint64)
+        for j in range(k):
+            one = one * _A + words[j : j + len(one)]
+        h[size == k] = one[at[size == k]]
+    return np.unique(mix(mix(h + n.astype(np.uint64) * _B) + part.astype(np.uint64) * _C)).view(np.int64)
+
+
+def word_bits(words: np.ndarray) -> np.ndarray:
+    turned = np.bincount((words % np.uint64(64 * BIT_WORDS)).astype(np.int64), minlength=64 * BIT_WORDS) & 1
+    return np.packbits(turned.astype(np.uint8)).view(np.int64)
+
+
+def bucket_keys(words: np.ndarray, similarity: float) -> np.ndarray:
+    """Sketches of a text of more than SHORT words; segment keys of all that can be similar to a shorter one."""
+    if len(words) <= SHORT:
+        return segment_keys(words, similarity)
+    keys = order_sketches(words)
+    return np.concatenate([keys, segment_keys(words, similarity)]) if len(words) - most_edits(len(words), similarity) <= SHORT else keys
+
+
 def _by_diagonals(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
     """Edits from a to b if they are at most ``band``, else null: how far each diagonal of the band gets with e edits."""
     n, m = len(a), len(b)
@@ -178,28 +240,28 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether 1 - edits / words of the longer text is at least the similarity."""
-    return edits_within(a, b, int((1 - similarity) * max(len(a), len(b)) + 1e-9)) is not None
+    return edits_within(a, b, most_edits(max(len(a), len(b)), similarity)) is not None
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__id, __tid, __words, __keys) of each row; texts without words have null for the last three."""
+def sketch(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """(__id, __tid, __words, __keys, __bits) of each row; texts without words have null for the last four."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        last: tuple[str | None, tuple] = ("", (None, None, None))
+        last: tuple[str | None, tuple] = ("", (None, None, None, None))
         for batch in batches:
             out: list[tuple] = []
             for text in batch.column(1):
                 text = text.as_py()
                 if text != last[0]:
                     words = hashes.of(text)
-                    last = (text, (text_id(words), len(words), order_sketches(words)) if len(words) else (None, None, None))
+                    last = (text, (text_id(words), len(words), bucket_keys(words, similarity), word_bits(words)) if len(words) else (None, None, None, None))
                 out.append(last[1])
-            tid, n, keys = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tid, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["__id", "__tid", "__words", "__keys"])
+            tid, n, keys, bits = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tid, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["__id", "__tid", "__words", "__keys", "__bits"])
 
     chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    return chosen.mapInArrow(rows, f"__id {chosen.schema['__id'].dataType.simpleString()}, __tid long, __words long, __keys array<long>")
+    return chosen.mapInArrow(rows, f"__id {chosen.schema['__id'].dataType.simpleString()}, __tid long, __words long, __keys array<long>, __bits array<long>")
 
 
 def words_by_id(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -239,8 +301,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Classes of rows that are linked by near-duplicate texts: id_col, class_id, exact_id and n_words.
 
-    Texts are compared as sequences of words (white space, A-Z as a-z). Two texts are candidates if they share at
-    least SHARED sketches, and linked if aligning them takes edits of at most 1 - similarity of the longer one's words.
+    Texts are compared as sequences of words (white space, A-Z as a-z). Two texts are candidates if they share a
+    sketch or, if one has at most SHORT words, a segment of words (which all similar ones do), and linked if aligning them takes edits of at most 1 - similarity of the longer one's words.
     Classes are the connected components of all such links; equal texts are one text from the start.
 
     No bucket's pairs are written out. Each text is first compared with the smallest one of each bucket that they
@@ -254,15 +316,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of them as one k-mer; null ids are kept and are never the smallest, unless a class has no others; repeated rows
     have the same class; an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    sketches = materialize(sketch(docs, id_col, text_col))
-    texts = sketches.where("__tid is not null").groupBy("__tid").agg(F.min("__id").alias("__wid"), F.first("__words").alias("__words"), F.first("__keys").alias("__keys"))
+    sketches = materialize(sketch(docs, id_col, text_col, similarity))
+    texts = sketches.where("__tid is not null").groupBy("__tid").agg(F.min("__id").alias("__wid"), F.first("__words").alias("__words"), F.first("__keys").alias("__keys"), F.first("__bits").alias("__bits"))
     texts = materialize(texts)
     buckets = texts.select(F.explode("__keys").alias("__key"), "__tid")
     firsts = buckets.groupBy("__key").agg(F.min("__tid").alias("__b"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
     crowded = materialize(buckets.join(firsts, "__key"))  # the rows of buckets with several texts
-    star = crowded.where("__tid <> __b").groupBy(F.col("__tid").alias("__a"), "__b").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= SHARED)
-    wanted = crowded.select("__tid").distinct().join(texts.select("__tid", "__wid", "__words", "__keys"), "__tid")
-    words = materialize(words_by_id(docs, wanted.select("__tid", "__wid"), id_col, text_col))
+    star = crowded.where("__tid <> __b").groupBy(F.col("__tid").alias("__a"), "__b").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= LIKELY)
+    wanted = crowded.select("__tid").distinct().join(texts.select("__tid", "__wid"), "__tid")
+    words = materialize(words_by_id(docs, wanted, id_col, text_col))
     links = materialize(verified(star.select("__a", "__b"), words, similarity))
     found = near_components(links, "__a", "__b")
     classes = crowded.select("__key", "__tid").join(found, F.col("__tid") == F.col("node"), "left").select("__key", "__tid", F.coalesce("component", "__tid").alias("__c"))
@@ -281,15 +343,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         merged = near_components(more, "__a", "__b")
         classes = meeting.select("__key", "__tid", "__c").join(merged, F.col("__c") == F.col("node"), "left").select("__key", "__tid", F.coalesce("component", "__c").alias("__c"))
 
-    meeting = materialize(meeting.join(texts.select("__tid", "__words", "__keys"), "__tid"))
-    one = meeting.where("__c <> __main").select("__key", "__main", F.col("__tid").alias("__a"), F.col("__c").alias("__ca"), F.col("__words").alias("__wa"), F.col("__keys").alias("__ka"))
-    other = meeting.select(F.col("__key").alias("__key2"), F.col("__tid").alias("__b"), F.col("__c").alias("__cb"), F.col("__words").alias("__wb"), F.col("__keys").alias("__kb"))
+    own = meeting.groupBy("__tid").agg(F.sort_array(F.collect_list("__key")).alias("__keys"))
+    meeting = materialize(meeting.join(own.join(texts.select("__tid", "__words", "__bits"), "__tid"), "__tid"))
+    one = meeting.where("__c <> __main").select("__key", "__main", F.col("__tid").alias("__a"), F.col("__c").alias("__ca"), F.col("__words").alias("__wa"), F.col("__keys").alias("__ka"), F.col("__bits").alias("__ba"))
+    other = meeting.select(F.col("__key").alias("__key2"), F.col("__tid").alias("__b"), F.col("__c").alias("__cb"), F.col("__words").alias("__wb"), F.col("__keys").alias("__kb"), F.col("__bits").alias("__bb"))
     once = (F.col("__cb") == F.col("__main")) | (F.col("__ca") < F.col("__cb"))
     lengths = F.least("__wa", "__wb") >= F.greatest("__wa", "__wb") * similarity - 1e-6
-    # a pair is taken from the first of the buckets that it shares
-    common = F.filter(F.zip_with("__ka", "__kb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    shared = (F.size(common) >= SHARED) & (F.get(common, F.lit(0)) == F.col("__key"))
-    cross = one.join(other, (F.col("__key") == F.col("__key2")) & (F.col("__ca") != F.col("__cb")) & once & lengths & shared)
+    # texts are further apart than the edits allow where these have turned more bits; no similar pair is left out by it
+    turned = reduce(add, (F.bit_count(F.get("__ba", F.lit(k)).bitwiseXOR(F.get("__bb", F.lit(k)))) for k in range(BIT_WORDS)))
+    near = turned <= 2 * F.floor(F.greatest("__wa", "__wb") * (1 - similarity) + 1e-9)
+    # a pair is taken from one of the buckets that it shares
+    shared = F.array_min(F.array_intersect("__ka", "__kb")) == F.col("__key")
+    cross = one.join(other, (F.col("__key") == F.col("__key2")) & (F.col("__ca") != F.col("__cb")) & once & lengths & near & shared)
     last = materialize(verified(cross.select("__a", "__b", "__ca", "__cb"), words, similarity).select(F.col("__ca").alias("__a"), F.col("__cb").alias("__b")).distinct())
     found = components(links.union(last), "__a", "__b")
 

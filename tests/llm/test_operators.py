@@ -56,6 +56,45 @@ def test_near_duplicates(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def _edited(draw: random.Random, words: list[str], edits: int) -> list[str]:
+    out = list(words)
+    for _ in range(edits):
+        at, kind = draw.randrange(len(out)), draw.randrange(3)
+        out[at : at + (kind < 2)] = [] if kind == 0 and len(out) > 1 else [f"x{draw.randrange(10_000)}"]
+    return out
+
+
+def test_candidates_of_short_texts_by_length():
+    draw, hashes = random.Random(7), neardup.WordHashes()
+    found, seen = Counter(), Counter()
+    for n in range(1, 42):
+        for _ in range(60):
+            words = [f"w{draw.randrange(draw.choice([3, 50, 5000]))}" for _ in range(n)]
+            a, b = (hashes.of(" ".join(w)) for w in (words, _edited(draw, words, draw.randint(0, n // 5))))
+            if min(len(a), len(b)) <= neardup.SHORT and neardup.similar(a.view(np.int64), b.view(np.int64), 0.8):
+                seen[n] += 1
+                assert sum(int(x).bit_count() for x in (neardup.word_bits(a) ^ neardup.word_bits(b)).view(np.uint64)) <= 2 * neardup.most_edits(max(len(a), len(b)), 0.8)
+                found[n] += len(np.intersect1d(neardup.bucket_keys(a, 0.8), neardup.bucket_keys(b, 0.8))) > 0
+    assert found == seen and sum(seen.values()) > 1500
+
+
+def test_near_duplicates_that_share_few_or_no_sketches(spark):
+    draw, hashes, texts = random.Random(8), neardup.WordHashes(), []
+    for n in [5, 8, 9, 10, 12, 20, 33, 34, 41] * 4:  # pairs of short texts
+        words = [f"w{draw.randrange(5000)}" for _ in range(n)]
+        texts.append((words, _edited(draw, words, n // 5)))
+    while len(texts) < 44:  # and pairs of longer ones that share one to three sketches
+        words = [f"w{draw.randrange(5000)}" for _ in range(120)]
+        other = _edited(draw, words, 9)
+        if 1 <= np.sum(neardup.order_sketches(hashes.of(" ".join(words))) == neardup.order_sketches(hashes.of(" ".join(other)))) <= 3:
+            texts.append((words, other))
+    texts = [(a, b) for a, b in texts if min(len(a), len(b)) <= neardup.SHORT or len(a) == 120]
+    pairs = [(a, b) for a, b in texts if neardup.similar(hashes.of(" ".join(a)).view(np.int64), hashes.of(" ".join(b)).view(np.int64), 0.8)]
+    rows = [(2 * k + j, " ".join(t)) for k, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    classes = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 30 and classes == {k: k - k % 2 for k, _ in rows}
+
+
 def test_alignment_equals_dynamic_programming():
     def distance(a, b):
         row = list(range(len(b) + 1))
