@@ -14,9 +14,10 @@ from squallframe.llm.common import materialize, table
 
 #: Words counted in one go in a task.
 CHUNK_WORDS = 3_000_000
-#: The filter's size is BITS_PER_ENTRY for each entry but never more than MAX_FILTER_BYTES: where counts of at least 2
-#: don't fit, the least count that is kept is doubled until they do.
+#: The filter's size is BITS_PER_ENTRY for each entry, in blocks of at most MAX_FILTER_BYTES, of which a task has one at
+#: a time; and the rows that are scored together, with one block and with several.
 BITS_PER_ENTRY, MAX_FILTER_BYTES = 16, 64 << 20
+ROWS, ROWS_OF_BLOCKS = 256, 2048
 #: Words whose exact counts are sent to all tasks; those of all others are joined.
 MAX_FREQUENT = 1 << 18
 #: Weight of a context's own count against the smoothing of its pairs.
@@ -67,8 +68,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def packed_counts(docs: DataFrame, text_col: str, bucket_bits: int) -> DataFrame:
     """Counts of all words (with ends) and of neighbouring pairs, summed over all texts, in buckets of their hashes.
 
-    Tasks count in chunks; what is shuffled is one row of packed hashes and counts for each chunk and bucket. Pairs
-    that occur once in all texts are left out.
+    Tasks count in chunks; what is shuffled is one row of packed hashes and counts for each chunk and bucket.
     """
 
     def rows_of(kind: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
@@ -102,8 +102,7 @@ def packed_counts(docs: DataFrame, text_col: str, bucket_bits: int) -> DataFrame
         keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group.column("keys")])
         counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("counts")]).astype(np.int64)
         keys, counts = summed(keys, counts)
-        kept = counts >= (1 if kind == WORDS else 2)
-        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": pa.array([keys[kept].tobytes()], pa.binary()), "counts": pa.array([counts[kept].tobytes()], pa.binary())})
+        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
     return docs.select(text_col).mapInArrow(count, PACKED).groupBy("kind", "bucket").applyInArrow(merge, PACKED)
 
@@ -120,14 +119,14 @@ class LogBloom:
     A hash's top bits choose its part of the filter; an entry sets up to four bits of one 64-bit word there.
     """
 
-    def __init__(self, bucket_bits: int, words_per_part: int):
-        self.bucket_bits, self.words_per_part = bucket_bits, words_per_part
-        self.words = np.zeros(words_per_part << bucket_bits, np.uint64)
+    def __init__(self, bucket_bits: int, words_per_part: int, first_part: int = 0, words: np.ndarray | None = None):
+        self.bucket_bits, self.words_per_part, self.first_part = bucket_bits, words_per_part, first_part
+        self.words = np.zeros(words_per_part << bucket_bits, np.uint64) if words is None else words
 
     def _probe(self, keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         h = mix(keys + np.array([level], np.uint64) * _A)
         part = (keys >> np.uint64(64 - self.bucket_bits)) if self.bucket_bits else np.zeros(len(keys), np.uint64)
-        at = part * np.uint64(self.words_per_part) + (h >> np.uint64(32)) % np.uint64(self.words_per_part)
+        at = (part - np.uint64(self.first_part)) * np.uint64(self.words_per_part) + (h >> np.uint64(32)) % np.uint64(self.words_per_part)
         mask = np.zeros(len(keys), np.uint64)
         for k in range(4):
             mask |= np.uint64(1) << ((h >> np.uint64(6 * k)) & np.uint64(63))
@@ -150,15 +149,35 @@ class LogBloom:
         return found
 
 
+class BlockedBloom:
+    """A filter in blocks of neighbouring parts, each broadcast by itself and held by a task only while it is asked."""
+
+    def __init__(self, bucket_bits: int, words_per_part: int, parts_per_block: int, blocks: list):
+        self.bucket_bits, self.words_per_part, self.parts_per_block, self.blocks = bucket_bits, words_per_part, parts_per_block, blocks
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        part = (keys >> np.uint64(64 - self.bucket_bits)).astype(np.int64)
+        block = part // self.parts_per_block
+        found = np.zeros(len(keys), np.int64)
+        for k, sent in enumerate(self.blocks):
+            at = np.flatnonzero(block == k)
+            if len(at):
+                one = LogBloom(self.bucket_bits, self.words_per_part, k * self.parts_per_block, sent.value)
+                found[at] = one.levels(keys[at])
+                if len(self.blocks) > 1:
+                    sent.__dict__.pop("_value", None)  # it is read again from the executor's file
+        return found
+
+
 def mean_count(levels: np.ndarray) -> np.ndarray:
-    """The count that stands for a level; 0.5 for what the filter doesn't hold."""
-    return np.where(levels > 0, np.exp2(levels + 0.5), 0.5)
+    """The count that stands for an entered level, which is one more than its count's; 0.5 for what the filter doesn't hold."""
+    return np.where(levels > 1, np.exp2(levels - 0.5), np.where(levels == 1, 1.0, 0.5))
 
 
 class Model:
-    """What tasks get: the filter, totals, and the exact counts of the most frequent words (sorted by hash)."""
+    """What tasks get: the filter (by itself), totals, and the exact counts of the most frequent words (sorted by hash)."""
 
-    def __init__(self, bloom: LogBloom, tokens: int, types: int, pair_share: float, hashes: np.ndarray, counts: np.ndarray):
+    def __init__(self, bloom: BlockedBloom | None, tokens: int, types: int, pair_share: float, hashes: np.ndarray, counts: np.ndarray):
         self.bloom, self.tokens, self.types, self.pair_share = bloom, tokens, types, pair_share
         self.hashes, self.counts = hashes, counts
 
@@ -175,7 +194,7 @@ class Model:
     def log10_pairs(self, left: np.ndarray, right: np.ndarray, left_counts: np.ndarray, right_counts: np.ndarray) -> np.ndarray:
         """Smoothed log10 probabilities of words after the ones before them, from hashes and quantised counts.
 
-        A pair's share of its context is mixed with the word's own share; the pairs that the filter holds make up
+        A pair's share of its context is mixed with the word's own share; the pairs that occur more than once make up
         ``pair_share`` of all, which is what frequent contexts give to their pairs at most.
         """
         single = (right_counts + 0.5) / (self.tokens + 0.5 * (self.types + 1))
@@ -202,23 +221,26 @@ def train(docs: DataFrame, *, text_col: str = "text", max_filter_bytes: int = MA
     table_ = packed.mapInArrow(histogram, "kind int, level int, n long, total long").groupBy("kind", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
     tokens = sum(r.total for r in table_ if r.kind == WORDS)
     types = sum(r.n for r in table_ if r.kind == WORDS)
-    least = 1
-    entries = lambda low: sum(r.n * r.level for r in table_ if r.level >= low)
-    while entries(least) * BITS_PER_ENTRY > max_filter_bytes * 8:
-        least += 1
-    pair_share = sum(r.total for r in table_ if r.kind == PAIRS and r.level >= least) / max(tokens, 1)
-    per_part = max(1, -(-entries(least) * BITS_PER_ENTRY // (64 << bucket_bits)) * 5 // 4)
+    entries = sum(r.n * (r.level + 1) for r in table_)
+    pair_share = sum(r.total for r in table_ if r.kind == PAIRS and r.level >= 1) / max(tokens, 1)
+    per_part = max(1, -(-entries * BITS_PER_ENTRY // (64 << bucket_bits)) * 5 // 4)
+    parts_per_block = max(1, min(1 << bucket_bits, max_filter_bytes // (8 * per_part)))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, keys, counts in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 one = LogBloom(0, per_part)
-                one.enter(np.frombuffer(keys.as_py(), np.uint64), level_of(np.frombuffer(counts.as_py(), np.int64)), least)
+                one.enter(np.frombuffer(keys.as_py(), np.uint64), level_of(np.frombuffer(counts.as_py(), np.int64)) + 1, 1)
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([one.words.tobytes()], pa.binary())], names=["bucket", "words"])
 
-    bloom = LogBloom(bucket_bits, per_part)
-    for r in packed.mapInArrow(part, "bucket int, words binary").toLocalIterator():
-        bloom.words[r.bucket * per_part : (r.bucket + 1) * per_part] |= np.frombuffer(r.words, np.uint64)
+    blocks = []
+    for first in range(0, 1 << bucket_bits, parts_per_block):
+        words_of = np.zeros(per_part * min(parts_per_block, (1 << bucket_bits) - first), np.uint64)
+        of_block = packed.where(F.col("bucket").between(first, first + parts_per_block - 1))
+        for r in of_block.mapInArrow(part, "bucket int, words binary").toLocalIterator():
+            words_of[(r.bucket - first) * per_part : (r.bucket - first + 1) * per_part] |= np.frombuffer(r.words, np.uint64)
+        blocks.append(spark.sparkContext.broadcast(words_of))
+    bloom = BlockedBloom(bucket_bits, per_part, parts_per_block, blocks)
 
     by_level = sorted((r for r in table_ if r.kind == WORDS), key=lambda r: -r.level)
     frequent, kept = 64, 0
@@ -250,18 +272,21 @@ def score_texts(docs: DataFrame, model: Model, rare: DataFrame, *, id_col: str =
     repeated rows and equal texts have equal scores; with an empty training table all counts are 0; an empty table
     gives no rows; null ids are kept; other columns are ignored, whatever their names.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # a broadcast can't hold other ones, so the filter's blocks go with the function
+    bloom, step = model.bloom, ROWS if len(model.bloom.blocks) == 1 else ROWS_OF_BLOCKS
+    sent = docs.sparkSession.sparkContext.broadcast(Model(None, model.tokens, model.types, model.pair_share, model.hashes, model.counts))
     chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kind = chosen.schema["__id"].dataType.simpleString()
     bottom = model.tokens + 0.5 * (model.types + 1)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
+        model.bloom = bloom
         words = Vocabulary()
         hashes, exact, quantised = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
+            for k in range(0, whole.num_rows, step):
+                batch = whole.slice(k, step)
                 if len(words) > 400_000:
                     words, hashes, exact, quantised = Vocabulary(), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
                 texts = [words.numbers(t.as_py()) for t in batch.column(1)]

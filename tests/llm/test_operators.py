@@ -175,6 +175,20 @@ def test_language_model(spark, docs, empty):
     assert [r.n_known for r in lm.score_texts(docs, model, rare).collect()] == [0] * docs.count()
 
 
+def test_language_model_keeps_all_counts_in_blocks(docs):
+    whole, rare = lm.train(docs)
+    blocked, _ = lm.train(docs, max_filter_bytes=16384)
+    counts = Counter(w for r in docs.where("text is not null").collect() for w in r.text.encode().lower().split())
+    keys = np.array([lm.xxhash.xxh3_64_intdigest(w) for w in counts], np.uint64)
+    levels = lm.level_of(np.array(list(counts.values()))) + 1
+    for model in (whole, blocked):
+        found = model.bloom.levels(keys)
+        assert (found >= levels).all() and (found == levels).mean() > 0.8
+    assert len(whole.bloom.blocks) == 1 < len(blocked.bloom.blocks) and max(b.value.nbytes for b in blocked.bloom.blocks) <= 16384
+    scores = [{r.doc_id: r.score for r in lm.score_texts(docs, m, rare).collect()} for m in (whole, blocked)]
+    assert scores[0] == pytest.approx(scores[1]) and len(scores[0]) == len(TEXTS) + 1
+
+
 def test_bloom_filter_is_never_too_low():
     bloom = lm.LogBloom(4, 4000)
     keys = lm.mix(np.arange(1, 20_001, dtype=np.uint64))
