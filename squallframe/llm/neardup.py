@@ -3,31 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
-from operator import add
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from squallframe.llm.common import WORD, materialize, table
 from squallframe.llm.components import components, near_components
 
-#: Words of a k-mer, and the least edit similarity of near duplicates.
-KMER, SIMILARITY = 5, 0.8
+#: The least edit similarity of near duplicates, and words of a k-mer: with edits of a fifth of the words, spread evenly,
+#: no five words in a row stay as they are, but two of five k-mers of three words do.
+SIMILARITY, KMER = 0.8, 3
 #: Sketches of a text; k-mers of a sketch. Texts that have I of U k-mers in common share a sketch with probability
-#: C(I, 5) / C(U, 5) if those are in the same order.
-SKETCHES, PER_SKETCH = 32, 5
+#: C(I, 2) / C(U, 2) if those are in the same order: with edits of a fifth, spread evenly, 1/16, and one of all with 0.955.
+SKETCHES, PER_SKETCH = 48, 2
 #: Keys that two texts must share to be compared first. The last comparison takes all that share one.
 LIKELY = 4
 #: Pairs whose shorter text has at most so many words are found by segments, none of them missed, instead of sketches.
 SHORT = 33
-#: 64-bit words of a text's bits, of which each of its words turns one over; an edit changes two of them at most.
-BIT_WORDS = 8
+#: Counters of a text's words, and the bits of each. A counter's code goes round in twice as many steps as it has bits, and
+#: each step turns one bit over, so an edit turns two bits at most.
+COUNTERS, CODES = 1024, np.array([0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000], np.uint8)
 #: Rounds of comparing texts with one of their buckets' largest classes.
 PIVOT_ROUNDS = 2
+#: Rows of a bucket for each of the parts into which it is dealt for the last comparison.
+PART_ROWS = 2000
 #: Widest band that is aligned by diagonals in one matrix, and the matrix's largest size.
 DIAGONAL_BAND, DIAGONAL_CELLS = 256, 20_000_000
 
@@ -148,9 +153,9 @@ def segment_keys(words: np.ndarray, similarity: float) -> np.ndarray:
     return np.unique(mix(mix(h + n.astype(np.uint64) * _B) + part.astype(np.uint64) * _C)).view(np.int64)
 
 
-def word_bits(words: np.ndarray) -> np.ndarray:
-    turned = np.bincount((words % np.uint64(64 * BIT_WORDS)).astype(np.int64), minlength=64 * BIT_WORDS) & 1
-    return np.packbits(turned.astype(np.uint8)).view(np.int64)
+def word_bits(words: np.ndarray) -> bytes:
+    codes = CODES[np.bincount((words % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) % len(CODES)]
+    return (codes[::2] | codes[1::2] << 4).tobytes()
 
 
 def bucket_keys(words: np.ndarray, similarity: float) -> np.ndarray:
@@ -243,44 +248,53 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return edits_within(a, b, most_edits(max(len(a), len(b)), similarity)) is not None
 
 
+def packed_words(words: np.ndarray) -> bytes:
+    """32-bit hashes of a text's words, compressed, as some texts repeat a few words over and over."""
+    return zstandard.compress((words >> np.uint64(32)).astype(np.uint32).tobytes(), 1)
+
+
+def unpacked(words: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(words), np.uint32).astype(np.int64)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __raw, __text): of each row its id, a hash of its text as it stands, and the text."""
+    return docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__raw"), F.col(text_col).alias("__text"))
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """(__id, __tid, __words, __keys, __bits) of each row; texts without words have null for the last four."""
+    """(__id, __raw, __tid, __words, __keys) of each row; texts without words have null for the last three."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        last: tuple[str | None, tuple] = ("", (None, None, None, None))
+        last: tuple[str | None, tuple] = ("", (None, None, None))
         for batch in batches:
             out: list[tuple] = []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 text = text.as_py()
                 if text != last[0]:
                     words = hashes.of(text)
-                    last = (text, (text_id(words), len(words), bucket_keys(words, similarity), word_bits(words)) if len(words) else (None, None, None, None))
+                    last = (text, (text_id(words), len(words), bucket_keys(words, similarity)) if len(words) else (None, None, None))
                 out.append(last[1])
-            tid, n, keys, bits = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tid, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["__id", "__tid", "__words", "__keys", "__bits"])
+            tid, n, keys = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tid, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["__id", "__raw", "__tid", "__words", "__keys"])
 
-    chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    return chosen.mapInArrow(rows, f"__id {chosen.schema['__id'].dataType.simpleString()}, __tid long, __words long, __keys array<long>, __bits array<long>")
+    chosen = keyed(docs, id_col, text_col)
+    return chosen.mapInArrow(rows, f"__id {chosen.schema['__id'].dataType.simpleString()}, __raw long, __tid long, __words long, __keys array<long>")
 
 
 def words_by_id(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__tid, __hashes) of wanted texts (__tid, and in __wid a row that has it): 32-bit hashes of their words."""
-    chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    chosen = chosen.join(wanted, F.col("__id").eqNullSafe(F.col("__wid"))).select("__tid", "__text")
+    """(__tid, __hashes, __bits) of wanted texts (__tid, and in __w a row that has it): packed_words and word_bits."""
+    rows_of = wanted.select("__tid", F.col("__w.__id").alias("__wid"), F.col("__w.__raw").alias("__wraw"))
+    chosen = keyed(docs, id_col, text_col).join(rows_of, (F.col("__raw") == F.col("__wraw")) & F.col("__id").eqNullSafe(F.col("__wid"))).select("__tid", "__text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            tids, out = [], []
-            for tid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = hashes.of(text.as_py())
-                if len(words) and text_id(words) == tid:  # an id may have several texts
-                    tids.append(tid)
-                    out.append((words >> np.uint64(32)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(out, pa.binary())], names=["__tid", "__hashes"])
+            words = [hashes.of(text.as_py()) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(packed_words, words), pa.binary()), pa.array(map(word_bits, words), pa.binary())], names=["__tid", "__hashes", "__bits"])
 
-    return chosen.mapInArrow(rows, "__tid long, __hashes binary").dropDuplicates(["__tid"])
+    return chosen.mapInArrow(rows, "__tid long, __hashes binary, __bits binary").dropDuplicates(["__tid"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -292,48 +306,36 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [similar(np.frombuffer(a.as_py(), np.uint32).astype(np.int64), np.frombuffer(b.as_py(), np.uint32).astype(np.int64), similarity) for a, b in zip(batch.column("__ha"), batch.column("__hb"), strict=True)]
+            kept = [similar(unpacked(a.as_py()), unpacked(b.as_py()), similarity) for a, b in zip(batch.column("__ha"), batch.column("__hb"), strict=True)]
             yield batch.select(names).filter(pa.array(kept, pa.bool_()))
 
     return both.mapInArrow(rows, ", ".join(f"{c} long" for c in names))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Classes of rows that are linked by near-duplicate texts: id_col, class_id, exact_id and n_words.
-
-    Texts are compared as sequences of words (white space, A-Z as a-z). Two texts are candidates if they share a
-    sketch or, if one has at most SHORT words, a segment of words (which all similar ones do), and linked if aligning them takes edits of at most 1 - similarity of the longer one's words.
-    Classes are the connected components of all such links; equal texts are one text from the start.
-
-    No bucket's pairs are written out. Each text is first compared with the smallest one of each bucket that they
-    share often enough. Then, for a few rounds, texts that aren't in the largest class of a bucket are compared with one of
-    that class, which joins what belongs together by few comparisons; until then classes are only joined as far as one
-    step shows. At last all candidates whose classes still differ are compared, in the buckets where classes meet, so
-    that no link between classes is lost, and the components of all links found are taken.
+def text_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(__id, __raw, __tid, __words, __keys) of each row, and (__t, __exact, __class) of each text that has words.
 
-    class_id and exact_id are the smallest ids of the class and of the equal texts. Edge cases: a row whose text is
-    null or has no words is a class of its own, under its own id; texts of fewer than KMER words are compared by all
-    of them as one k-mer; null ids are kept and are never the smallest, unless a class has no others; repeated rows
-    have the same class; an empty table gives no rows; other columns are ignored, whatever their names.
+    The last two are the smallest rows (no_id, __id, __raw) of the equal texts and of the class.
     """
     sketches = materialize(sketch(docs, id_col, text_col, similarity))
-    texts = sketches.where("__tid is not null").groupBy("__tid").agg(F.min("__id").alias("__wid"), F.first("__words").alias("__words"), F.first("__keys").alias("__keys"), F.first("__bits").alias("__bits"))
+    row = F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__raw")
+    texts = sketches.where("__tid is not null").groupBy("__tid").agg(F.min(row).alias("__w"), F.first("__words").alias("__words"), F.first("__keys").alias("__keys"))
     texts = materialize(texts)
     buckets = texts.select(F.explode("__keys").alias("__key"), "__tid")
     firsts = buckets.groupBy("__key").agg(F.min("__tid").alias("__b"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
     crowded = materialize(buckets.join(firsts, "__key"))  # the rows of buckets with several texts
     star = crowded.where("__tid <> __b").groupBy(F.col("__tid").alias("__a"), "__b").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= LIKELY)
-    wanted = crowded.select("__tid").distinct().join(texts.select("__tid", "__wid"), "__tid")
+    wanted = crowded.select("__tid").distinct().join(texts.select("__tid", "__w"), "__tid")
     words = materialize(words_by_id(docs, wanted, id_col, text_col))
     links = materialize(verified(star.select("__a", "__b"), words, similarity))
     found = near_components(links, "__a", "__b")
     classes = crowded.select("__key", "__tid").join(found, F.col("__tid") == F.col("node"), "left").select("__key", "__tid", F.coalesce("component", "__tid").alias("__c"))
     for turn in range(PIVOT_ROUNDS + 1):
         classes = materialize(classes)  # it is read twice, for the sizes and for the rows
-        # of each bucket where classes meet: its largest class, and one of that class's texts
+        # of each bucket where classes meet: its rows, its largest class, and one of that class's texts
         sizes = classes.groupBy("__key", "__c").agg(F.count(F.lit(1)).alias("__n"), F.max_by("__tid", F.xxhash64("__tid", F.lit(turn))).alias("__pivot"))
-        mixed = sizes.groupBy("__key").agg(F.count(F.lit(1)).alias("__classes"), F.max_by(F.struct("__c", "__pivot"), F.struct("__n", "__c")).alias("__m")).where("__classes > 1")
-        meeting = materialize(classes.join(mixed.select("__key", F.col("__m.__c").alias("__main"), F.col("__m.__pivot").alias("__pivot")), "__key"))
+        mixed = sizes.groupBy("__key").agg(F.sum("__n").alias("__size"), F.count(F.lit(1)).alias("__classes"), F.max_by(F.struct("__c", "__pivot"), F.struct("__n", "__c")).alias("__m")).where("__classes > 1")
+        meeting = materialize(classes.join(mixed.select("__key", "__size", F.col("__m.__c").alias("__main"), F.col("__m.__pivot").alias("__pivot")), "__key"))
         if turn == PIVOT_ROUNDS:
             break
         often = meeting.where("__c <> __main").groupBy("__tid", "__c", "__main", "__pivot").agg(F.count(F.lit(1)).alias("__n"))
@@ -343,44 +345,124 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         merged = near_components(more, "__a", "__b")
         classes = meeting.select("__key", "__tid", "__c").join(merged, F.col("__c") == F.col("node"), "left").select("__key", "__tid", F.coalesce("component", "__c").alias("__c"))
 
-    own = meeting.groupBy("__tid").agg(F.sort_array(F.collect_list("__key")).alias("__keys"))
-    meeting = materialize(meeting.join(own.join(texts.select("__tid", "__words", "__bits"), "__tid"), "__tid"))
-    one = meeting.where("__c <> __main").select("__key", "__main", F.col("__tid").alias("__a"), F.col("__c").alias("__ca"), F.col("__words").alias("__wa"), F.col("__keys").alias("__ka"), F.col("__bits").alias("__ba"))
-    other = meeting.select(F.col("__key").alias("__key2"), F.col("__tid").alias("__b"), F.col("__c").alias("__cb"), F.col("__words").alias("__wb"), F.col("__keys").alias("__kb"), F.col("__bits").alias("__bb"))
-    once = (F.col("__cb") == F.col("__main")) | (F.col("__ca") < F.col("__cb"))
-    lengths = F.least("__wa", "__wb") >= F.greatest("__wa", "__wb") * similarity - 1e-6
-    # texts are further apart than the edits allow where these have turned more bits; no similar pair is left out by it
-    turned = reduce(add, (F.bit_count(F.get("__ba", F.lit(k)).bitwiseXOR(F.get("__bb", F.lit(k)))) for k in range(BIT_WORDS)))
-    near = turned <= 2 * F.floor(F.greatest("__wa", "__wb") * (1 - similarity) + 1e-9)
-    # a pair is taken from one of the buckets that it shares
-    shared = F.array_min(F.array_intersect("__ka", "__kb")) == F.col("__key")
-    cross = one.join(other, (F.col("__key") == F.col("__key2")) & (F.col("__ca") != F.col("__cb")) & once & lengths & near & shared)
-    last = materialize(verified(cross.select("__a", "__b", "__ca", "__cb"), words, similarity).select(F.col("__ca").alias("__a"), F.col("__cb").alias("__b")).distinct())
+    cross = meeting_pairs(meeting, texts, words, similarity)
+    last = materialize(verified(cross, words, similarity).select(F.col("__ca").alias("__a"), F.col("__cb").alias("__b")).distinct())
     found = components(links.union(last), "__a", "__b")
 
-    members = texts.join(found, F.col("__tid") == F.col("node"), "left").select("__tid", F.col("__wid").alias("__exact"), F.coalesce("component", "__tid").alias("__c"))
+    members = texts.join(found, F.col("__tid") == F.col("node"), "left").select("__tid", F.col("__w").alias("__exact"), F.coalesce("component", "__tid").alias("__c"))
     smallest = members.groupBy("__c").agg(F.min("__exact").alias("__class"))
-    named = members.join(smallest, "__c").select(F.col("__tid").alias("__t"), "__exact", "__class")
+    return sketches, members.join(smallest, "__c").select(F.col("__tid").alias("__t"), "__exact", "__class")
+
+
+def meeting_pairs(meeting: DataFrame, texts: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(__a, __b, __ca, __cb): pairs of texts of different classes that share a bucket, but for those that can't be similar.
+
+    A bucket's texts stand on two sides: those of all but its largest class, each in its band of lengths and in one of the
+    parts into which a large bucket is dealt; and all, in each band that similar ones may be in, and in all parts. A task
+    holds the first side of a part while the other one passes by; pairs that lengths and word_bits rule out go no further.
+    """
+    own = meeting.groupBy("__tid").agg(F.sort_array(F.collect_list("__key")).alias("__keys"))
+    own = own.join(texts.select("__tid", "__words"), "__tid").join(words.select("__tid", "__bits"), "__tid")
+    parts, band = F.ceil(F.col("__size") / PART_ROWS).cast("int"), lambda n: F.floor(F.log2(n)).cast("int")
+    lengths = F.sequence(band(F.col("__words") * similarity - 1e-3), band(F.col("__words") / similarity + 1e-3))
+    rest = ("__tid", "__c", "__main", "__words", "__keys", "__bits")
+    rows = meeting.join(own, "__tid")
+    one = rows.where("__c <> __main").select("__key", F.pmod(F.xxhash64("__tid"), parts).cast("int").alias("__part"), band(F.col("__words")).alias("__band"), F.lit(0).alias("__side"), *rest)
+    other = rows.withColumn("__band", F.explode(lengths)).withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    both = one.union(other.select("__key", "__part", "__band", F.lit(1).alias("__side"), *rest))
+    group = ("__key", "__part", "__band")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, None
+        for batch in batches:
+            at = np.array([batch.column(k).to_numpy() for k in range(4)])
+            tid, c, main, n = (batch.column(k).to_numpy() for k in range(4, 8))
+            bits = np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint64).reshape(len(n), COUNTERS // 16)
+            edges = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1), len(n)] if len(n) else [0]
+            out = []
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                here = (tid[s:e], c[s:e], n[s:e], batch.column(8).slice(s, e - s), bits[s:e])
+                if at[3, s] == 0:
+                    first = (*here[:3], here[3], here[4]) if held != tuple(at[:3, s]) else tuple(pa.chunked_array([*(x.chunks if isinstance(x, pa.ChunkedArray) else [x]), y]) if k == 3 else np.concatenate([x, y]) for k, (x, y) in enumerate(zip(first, here, strict=True)))
+                    held = tuple(at[:3, s])
+                elif held == tuple(at[:3, s]):
+                    out += not_ruled_out(first, here, main[s], at[0, s], similarity)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["__a", "__b", "__ca", "__cb"])
+
+    return both.repartition(*group).sortWithinPartitions(*group, "__side").mapInArrow(pairs, "__a long, __b long, __ca long, __cb long")
+
+
+def not_ruled_out(first: tuple, other: tuple, main: int, key: int, similarity: float) -> list[tuple]:
+    """Pairs of a bucket's two sides (ids, classes, lengths, keys, bits) that may be similar, each from one bucket only."""
+    (ta, ca, na, keys_a, bits_a), (tb, cb, nb, keys_b, bits_b) = first, other
+    keys_a, keys_b, out = keys_a.to_pylist(), keys_b.to_pylist(), []
+    step = max(1, (4 << 20) // bits_a.nbytes)
+    for k in range(0, len(tb), step):
+        b = slice(k, k + step)
+        longer, apart = np.maximum(na[:, None], nb[b]), np.abs(na[:, None] - nb[b])
+        most = np.floor((1 - similarity) * longer + 1e-9)
+        open_ = (ca[:, None] != cb[b]) & ((cb[b] == main) | (ca[:, None] < cb[b])) & (apart <= most)
+        x, y = np.nonzero(open_)
+        # one text has (turned bits + difference of lengths) / 2 words more than the other has at the least
+        turned = np.zeros(len(x), np.int64)
+        for i in range(0, len(x), 1 << 14):
+            turned[i : i + (1 << 14)] = np.bitwise_count(bits_a[x[i : i + (1 << 14)]] ^ bits_b[k + y[i : i + (1 << 14)]]).sum(axis=1)
+        near = turned + apart[x, y] <= 2 * most[x, y]
+        # a pair is taken from the first of the buckets that it shares
+        out += [(ta[i], tb[j], ca[i], cb[j]) for i, j in zip(x[near], k + y[near], strict=True) if shared_first(keys_a[i], keys_b[j]) == key]
+    return out
+
+
+def shared_first(a: list[int], b: list[int]) -> int:
+    """The smallest number that two sorted lists have in common."""
+    other = set(b)
+    return next(x for x in a if x in other)
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Classes of rows that are linked by near-duplicate texts: id_col, class_id, exact_id and n_words.
+
+    Texts are compared as sequences of words (white space, A-Z as a-z). Two texts are candidates if they share a
+    sketch or, if one has at most SHORT words, a segment of words (which all similar ones do), and linked if aligning
+    them takes edits of at most 1 - similarity of the longer one's words.
+    Classes are the connected components of all such links; equal texts are one text from the start.
+
+    No bucket's pairs are written out. Each text is first compared with the smallest one of each bucket that they
+    share often enough. Then, for a few rounds, texts that aren't in the largest class of a bucket are compared with one of
+    that class, which joins what belongs together by few comparisons; until then classes are only joined as far as one
+    step shows. At last all candidates whose classes still differ are compared, in the buckets where classes meet, so
+    that no link between classes is lost, and the components of all links found are taken.
+
+    class_id and exact_id are the smallest ids of the class and of the equal texts. Edge cases: a row whose text is
+    null or has no words is a class of its own, under its own id; texts of fewer than KMER words are compared by all
+    of them as one k-mer; null ids are kept and are never the smallest, unless a class has no others; rows of one id
+    with different texts are in the classes of their texts; repeated rows have the same class; an empty table gives no
+    rows; other columns are ignored, whatever their names.
+    """
+    sketches, named = text_classes(docs, id_col, text_col, similarity)
     out = sketches.select("__id", "__tid", "__words").join(named, F.col("__tid") == F.col("__t"), "left")
     return out.select(
-        F.col("__id").alias(id_col), F.coalesce("__class", "__id").alias("class_id"), F.coalesce("__exact", "__id").alias("exact_id"),
-        F.coalesce("__words", F.lit(0)).cast("long").alias("n_words"),
+        F.col("__id").alias(id_col), F.when(F.col("__t").isNull(), F.col("__id")).otherwise(F.col("__class.__id")).alias("class_id"),
+        F.when(F.col("__t").isNull(), F.col("__id")).otherwise(F.col("__exact.__id")).alias("exact_id"), F.coalesce("__words", F.lit(0)).cast("long").alias("n_words"),
     )
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each class: that of the smallest id. Rows without words all stay.
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each class of near duplicates: that of the smallest id. Rows without words all stay.
 
-    Of repeated rows of an id, one stays. A row with a null id stays only if no row of its class has an id.
+    Rows are told apart by id and text, so where an id is repeated with different texts, each text is judged by its own
+    class. A row with a null id is taken only from a class in which no row has an id. Of rows with the same id and text,
+    the one with the smallest hash of all its columns stays; columns of map type don't count for it.
     """
-    key, has_words = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
-    classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(key.alias("__kept"), (F.col("n_words") > 0).alias("__kept_words")).distinct()
-    rows = docs.withColumn("__key", key).withColumn("__has_words", has_words)
-    rows = rows.join(kept, (F.col("__key") == F.col("__kept")) & (F.col("__has_words") == F.col("__kept_words")))
-    # the join has brought the rows of a key together and sorted them, which is all that this window needs
-    first = F.row_number().over(Window.partitionBy("__key", "__has_words").orderBy("__key"))
-    return rows.withColumn("__n", first).where((F.col("__n") == 1) | ~F.col("__has_words") | F.col(id_col).isNull()).select(*docs.columns)
+    _, named = text_classes(docs, id_col, text_col, similarity)
+    kept = named.select("__class").distinct().select(F.col("__class.__id").alias("__kept_id"), F.col("__class.__raw").alias("__kept_raw"))
+    has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
+    hashed = F.xxhash64(*(f.name for f in docs.schema if not isinstance(f.dataType, MapType)))
+    rows = docs.where(has_words).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__raw"), F.struct(*docs.columns).alias("__row"), hashed.alias("__all"))
+    rows = rows.join(kept, (F.col("__raw") == F.col("__kept_raw")) & F.col("__id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    chosen = rows.groupBy("__raw", "__id").agg(F.min_by("__row", "__all").alias("__row")).select("__row.*")
+    return chosen.unionByName(docs.where(~has_words))
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

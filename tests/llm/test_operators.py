@@ -73,7 +73,8 @@ def test_candidates_of_short_texts_by_length():
             a, b = (hashes.of(" ".join(w)) for w in (words, _edited(draw, words, draw.randint(0, n // 5))))
             if min(len(a), len(b)) <= neardup.SHORT and neardup.similar(a.view(np.int64), b.view(np.int64), 0.8):
                 seen[n] += 1
-                assert sum(int(x).bit_count() for x in (neardup.word_bits(a) ^ neardup.word_bits(b)).view(np.uint64)) <= 2 * neardup.most_edits(max(len(a), len(b)), 0.8)
+                turned = (int.from_bytes(neardup.word_bits(a)) ^ int.from_bytes(neardup.word_bits(b))).bit_count()
+                assert turned + abs(len(a) - len(b)) <= 2 * neardup.most_edits(max(len(a), len(b)), 0.8)
                 found[n] += len(np.intersect1d(neardup.bucket_keys(a, 0.8), neardup.bucket_keys(b, 0.8))) > 0
     assert found == seen and sum(seen.values()) > 1500
 
@@ -85,7 +86,7 @@ def test_near_duplicates_that_share_few_or_no_sketches(spark):
         texts.append((words, _edited(draw, words, n // 5)))
     while len(texts) < 44:  # and pairs of longer ones that share one to three sketches
         words = [f"w{draw.randrange(5000)}" for _ in range(120)]
-        other = _edited(draw, words, 9)
+        other = _edited(draw, words, 22)
         if 1 <= np.sum(neardup.order_sketches(hashes.of(" ".join(words))) == neardup.order_sketches(hashes.of(" ".join(other)))) <= 3:
             texts.append((words, other))
     texts = [(a, b) for a, b in texts if min(len(a), len(b)) <= neardup.SHORT or len(a) == 120]
@@ -95,6 +96,57 @@ def test_near_duplicates_that_share_few_or_no_sketches(spark):
     assert len(pairs) > 30 and classes == {k: k - k % 2 for k, _ in rows}
 
 
+def _spread(draw: random.Random, words: list[str], share: float) -> list[str]:
+    """Words changed, dropped or added (in turn) at places as far apart as their number allows."""
+    out, gap = [], 1 / share
+    places = {round(gap * k) for k in range(1, int(len(words) * share) + 1)}
+    for at, word in enumerate(words, 1):
+        kind = draw.randrange(3) if at in places else 3
+        out += {0: [f"x{at}"], 1: [], 2: [word, f"x{at}"], 3: [word]}[kind]
+    return out
+
+
+def test_recall_of_candidates_by_edits_against_all_pairs():
+    draw, hashes = random.Random(9), neardup.WordHashes()
+    for n in (50, 100, 400, 1500):
+        for share in (0.02, 0.05, 0.1, 0.15, 0.2):
+            found = seen = 0
+            while seen < 40:
+                words = [f"w{draw.randrange(5000)}" for _ in range(n)]
+                a, b = hashes.of(" ".join(words)), hashes.of(" ".join(_spread(draw, words, share)))
+                if neardup.similar(a.view(np.int64), b.view(np.int64), 0.8):
+                    seen += 1
+                    found += len(np.intersect1d(neardup.bucket_keys(a, 0.8), neardup.bucket_keys(b, 0.8))) > 0
+            assert found >= 0.9 * seen, (n, share, found)
+
+
+def test_classes_equal_those_of_all_pairs(spark):
+    """Crowded buckets: texts of one passage and words of their own, of which some are similar; repeated and null ids."""
+    draw, hashes = random.Random(10), neardup.WordHashes()
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join([*passage, *(f"o{draw.randrange(5000)}" for _ in range(draw.randrange(2, 50)))]) for _ in range(120)]
+    texts += [" ".join(_spread(draw, t.split(), 0.08)) for t in texts[:30]] + texts[:5]
+    words = [hashes.of(t).view(np.int64) for t in texts]
+    parent = list(range(len(texts)))
+
+    def top(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if neardup.similar(words[i], words[j], 0.8):
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    rows = list(enumerate(texts))
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.class_id for r in found} == {k: top(k) for k, _ in rows}
+    odd = [(7, _text(20, 50), "a"), (7, _text(21, 50), "b"), (None, _text(20, 50), "c"), (None, _text(22, 50), "d"), (None, _text(22, 50), "e"), (9, _text(21, 50), "f"), (None, None, "g"), (None, None, "g")]
+    kept = [(r.doc_id, r.text) for r in neardup.one_of_each(spark.createDataFrame(odd, "doc_id long, text string, other string")).collect()]
+    assert Counter(kept) == Counter([odd[0][:2], odd[1][:2], odd[3][:2], (None, None), (None, None)])
+
+
 def test_alignment_equals_dynamic_programming():
     def distance(a, b):
         row = list(range(len(b) + 1))
