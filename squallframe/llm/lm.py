@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 from squallframe.llm.common import materialize, table
 
-#: Words counted in one go in a task.
-CHUNK_WORDS = 3_000_000
-#: The filter's size is BITS_PER_ENTRY for each entry, in blocks of at most MAX_FILTER_BYTES, of which a task has one at
-#: a time; and the rows that are scored together, with one block and with several.
-BITS_PER_ENTRY, MAX_FILTER_BYTES = 16, 64 << 20
-ROWS, ROWS_OF_BLOCKS = 256, 2048
+#: Words counted in one go in a task, and words scored in one go.
+CHUNK_WORDS, SCORED_WORDS = 3_000_000, 1_000_000
+#: The filter's size is BITS_PER_ENTRY for each entry. It has parts of about PART_BYTES, and neighbouring parts make blocks
+#: of at most MAX_FILTER_BYTES, of which a task has one at a time.
+BITS_PER_ENTRY, PART_BYTES, MAX_FILTER_BYTES = 20, 128 << 10, 64 << 20
 #: Words whose exact counts are sent to all tasks; those of all others are joined.
 MAX_FREQUENT = 1 << 18
 #: Weight of a context's own count against the smoothing of its pairs.
@@ -112,6 +111,11 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1] - 1
 
 
+def part_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The top bits of hashes."""
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
 class LogBloom:
     """Quantised counts of hashes: one of level n is entered n times, as (hash, 1) to (hash, n).
 
@@ -125,16 +129,15 @@ class LogBloom:
 
     def _probe(self, keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         h = mix(keys + np.array([level], np.uint64) * _A)
-        part = (keys >> np.uint64(64 - self.bucket_bits)) if self.bucket_bits else np.zeros(len(keys), np.uint64)
-        at = (part - np.uint64(self.first_part)) * np.uint64(self.words_per_part) + (h >> np.uint64(32)) % np.uint64(self.words_per_part)
+        at = (part_of(keys, self.bucket_bits) - self.first_part) * self.words_per_part + ((h >> np.uint64(32)) % np.uint64(self.words_per_part)).astype(np.int64)
         mask = np.zeros(len(keys), np.uint64)
         for k in range(4):
             mask |= np.uint64(1) << ((h >> np.uint64(6 * k)) & np.uint64(63))
-        return at.astype(np.int64), mask
+        return at, mask
 
-    def enter(self, keys: np.ndarray, levels: np.ndarray, least: int) -> None:
+    def enter(self, keys: np.ndarray, levels: np.ndarray) -> None:
         for level in range(1, int(levels.max(initial=0)) + 1):
-            chosen = keys[(levels >= level) & (levels >= least)]
+            chosen = keys[levels >= level]
             if len(chosen):
                 at, mask = self._probe(chosen, level)
                 np.bitwise_or.at(self.words, at, mask)
@@ -156,8 +159,7 @@ class BlockedBloom:
         self.bucket_bits, self.words_per_part, self.parts_per_block, self.blocks = bucket_bits, words_per_part, parts_per_block, blocks
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        part = (keys >> np.uint64(64 - self.bucket_bits)).astype(np.int64)
-        block = part // self.parts_per_block
+        block = part_of(keys, self.bucket_bits) // self.parts_per_block
         found = np.zeros(len(keys), np.int64)
         for k, sent in enumerate(self.blocks):
             at = np.flatnonzero(block == k)
@@ -204,8 +206,14 @@ class Model:
         return np.log10(weight * share + (1 - weight) * single)
 
 
-def train(docs: DataFrame, *, text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES, max_frequent: int = MAX_FREQUENT) -> tuple[Model, DataFrame]:
-    """The model of all texts, and a table (__h, __c) of the counts of the words that aren't in its exact part."""
+def train(
+    docs: DataFrame, *, text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES, max_frequent: int = MAX_FREQUENT, bits_per_entry: int = BITS_PER_ENTRY
+) -> tuple[Model, DataFrame]:
+    """The model of all texts, and a table (__h, __c) of the counts of the words that aren't in its exact part.
+
+    The filter's layout comes from the counts alone, so it is the same whatever the partitions are, and has the same error
+    at all sizes. Counts of all sizes are in it, from 1 on.
+    """
     spark = docs.sparkSession
     bucket_bits = min(16, max(4, (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
     packed = materialize(packed_counts(docs, text_col, bucket_bits))
@@ -223,24 +231,34 @@ def train(docs: DataFrame, *, text_col: str = "text", max_filter_bytes: int = MA
     types = sum(r.n for r in table_ if r.kind == WORDS)
     entries = sum(r.n * (r.level + 1) for r in table_)
     pair_share = sum(r.total for r in table_ if r.kind == PAIRS and r.level >= 1) / max(tokens, 1)
-    per_part = max(1, -(-entries * BITS_PER_ENTRY // (64 << bucket_bits)) * 5 // 4)
-    parts_per_block = max(1, min(1 << bucket_bits, max_filter_bytes // (8 * per_part)))
+    filter_words = entries * bits_per_entry // 64 + 1
+    part_bits = min(24, max(0, (8 * filter_words // min(PART_BYTES, max_filter_bytes // 4)).bit_length()))
+    per_part = -(-filter_words // (1 << part_bits)) * 9 // 8 + 8  # parts don't have quite the same number of entries
+    parts_per_block = max(1, min(1 << part_bits, max_filter_bytes // (8 * per_part)))
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, keys, counts in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                one = LogBloom(0, per_part)
-                one.enter(np.frombuffer(keys.as_py(), np.uint64), level_of(np.frombuffer(counts.as_py(), np.int64)) + 1, 1)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([one.words.tobytes()], pa.binary())], names=["bucket", "words"])
-
+            for keys, counts in zip(batch.column(2), batch.column(3), strict=True):
+                keys, levels = np.frombuffer(keys.as_py(), np.uint64), level_of(np.frombuffer(counts.as_py(), np.int64)) + 1
+                at = part_of(keys, part_bits)  # keys are sorted, and so are their parts
+                for part in np.unique(at):
+                    first, end = np.searchsorted(at, [part, part + 1])
+                    one = LogBloom(part_bits, per_part, int(part), np.zeros(per_part, np.uint64))
+                    one.enter(keys[first:end], levels[first:end])
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([one.words.tobytes()], pa.binary())], names=["part", "words"])
+
+    def joined(group: pa.Table) -> pa.Table:
+        words = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint64) for x in group.column("words")])
+        return pa.table({"part": group.column("part").slice(0, 1).combine_chunks(), "words": pa.array([words.tobytes()], pa.binary())})
+
+    filter_parts = materialize(packed.mapInArrow(parts, "part int, words binary").groupBy("part").applyInArrow(joined, "part int, words binary"))
     blocks = []
-    for first in range(0, 1 << bucket_bits, parts_per_block):
-        words_of = np.zeros(per_part * min(parts_per_block, (1 << bucket_bits) - first), np.uint64)
-        of_block = packed.where(F.col("bucket").between(first, first + parts_per_block - 1))
-        for r in of_block.mapInArrow(part, "bucket int, words binary").toLocalIterator():
-            words_of[(r.bucket - first) * per_part : (r.bucket - first + 1) * per_part] |= np.frombuffer(r.words, np.uint64)
+    for first in range(0, 1 << part_bits, parts_per_block):
+        words_of = np.zeros(per_part * min(parts_per_block, (1 << part_bits) - first), np.uint64)
+        for r in filter_parts.where(F.col("part").between(first, first + parts_per_block - 1)).toLocalIterator():
+            words_of[(r.part - first) * per_part : (r.part - first + 1) * per_part] = np.frombuffer(r.words, np.uint64)
         blocks.append(spark.sparkContext.broadcast(words_of))
-    bloom = BlockedBloom(bucket_bits, per_part, parts_per_block, blocks)
+    bloom = BlockedBloom(part_bits, per_part, parts_per_block, blocks)
 
     by_level = sorted((r for r in table_ if r.kind == WORDS), key=lambda r: -r.level)
     frequent, kept = 64, 0
@@ -273,36 +291,41 @@ def score_texts(docs: DataFrame, model: Model, rare: DataFrame, *, id_col: str =
     gives no rows; null ids are kept; other columns are ignored, whatever their names.
     """
     # a broadcast can't hold other ones, so the filter's blocks go with the function
-    bloom, step = model.bloom, ROWS if len(model.bloom.blocks) == 1 else ROWS_OF_BLOCKS
+    bloom = model.bloom
     sent = docs.sparkSession.sparkContext.broadcast(Model(None, model.tokens, model.types, model.pair_share, model.hashes, model.counts))
     chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     kind = chosen.schema["__id"].dataType.simpleString()
     bottom = model.tokens + 0.5 * (model.types + 1)
 
+    def scored(ids: list, texts: list[np.ndarray], hashes: np.ndarray, model: Model) -> pa.RecordBatch:
+        """Each word and each pair is looked up once."""
+        exact, quantised = model.exact(hashes), model.word_counts(hashes)
+        right = np.concatenate(texts)
+        starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])
+        pairs, which = np.unique((np.concatenate([[0], right[:-1]]) << 32) | right, return_inverse=True)  # a text's first word comes after an end
+        a, b = pairs >> 32, pairs & 0xFFFFFFFF
+        log10 = model.log10_pairs(hashes[a], hashes[b], quantised[a], quantised[b])[which]
+        base = np.where(exact > 0, np.log10((exact + 0.5) / bottom), 0.0)[right]
+        others = [hashes[t[exact[t] == 0]].view(np.int64) for t in texts]
+        return pa.RecordBatch.from_arrays([
+            pa.concat_arrays(ids), pa.array([len(t) for t in texts], pa.int64()), pa.array(np.add.reduceat((exact[right] > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)),
+            pa.array(np.add.reduceat(log10, starts)), pa.array(others, pa.list_(pa.int64())),
+        ], names=["__id", "__n", "__known", "__base", "__score", "__others"])
+
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         model.bloom = bloom
-        words = Vocabulary()
-        hashes, exact, quantised = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+        words, ids, texts, size = Vocabulary(), [], [], 0
         for whole in batches:
-            for k in range(0, whole.num_rows, step):
-                batch = whole.slice(k, step)
-                if len(words) > 400_000:
-                    words, hashes, exact, quantised = Vocabulary(), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
-                texts = [words.numbers(t.as_py()) for t in batch.column(1)]
-                new = np.array(words.hashes[len(hashes) :], np.uint64)
-                hashes, exact, quantised = np.concatenate([hashes, new]), np.concatenate([exact, model.exact(new)]), np.concatenate([quantised, model.word_counts(new)])
-                right = np.concatenate(texts)
-                left = np.concatenate([[0], right[:-1]])  # a text's first word comes after the end of another one
-                starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])
-                count = exact[right]
-                base = np.where(count > 0, np.log10((count + 0.5) / bottom), 0.0)
-                log10 = model.log10_pairs(hashes[left], hashes[right], quantised[left], quantised[right])
-                others = [hashes[t[exact[t] == 0]].view(np.int64) for t in texts]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)),
-                    pa.array(np.add.reduceat(log10, starts)), pa.array(others, pa.list_(pa.int64())),
-                ], names=["__id", "__n", "__known", "__base", "__score", "__others"])
+            for k in range(whole.num_rows):
+                texts.append(words.numbers(whole.column(1)[k].as_py()))
+                ids.append(whole.column(0).slice(k, 1))
+                size += len(texts[-1])
+                if size >= SCORED_WORDS:
+                    yield scored(ids, texts, np.array(words.hashes, np.uint64), model)
+                    words, ids, texts, size = Vocabulary(), [], [], 0
+        if texts:
+            yield scored(ids, texts, np.array(words.hashes, np.uint64), model)
 
     rows = materialize(chosen.mapInArrow(scores, f"__id {kind}, __n long, __known long, __base double, __score double, __others array<long>"))
     rows = rows.withColumn("__row", F.monotonically_increasing_id())  # the checkpoint's rows keep their numbers

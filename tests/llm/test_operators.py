@@ -147,6 +147,38 @@ def test_classes_equal_those_of_all_pairs(spark):
     assert Counter(kept) == Counter([odd[0][:2], odd[1][:2], odd[3][:2], (None, None), (None, None)])
 
 
+def test_language_model_scores_by_brute_force_and_partitions(spark):
+    draw = random.Random(12)
+    texts = [" ".join(f"v{int(draw.paretovariate(0.7)) % 900}" for _ in range(draw.randrange(0, 80))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = docs.where("doc_id % 3 > 0").repartition(3)
+    model, rare = lm.train(seen, bits_per_entry=4096, max_frequent=100)
+    found = {r.doc_id: r for r in lm.score_texts(docs, model, rare).collect()}
+    words, pairs = Counter(), Counter()
+    for k, t in enumerate(texts):
+        if k % 3:
+            tokens = ["", *t.split(), ""]
+            words.update(tokens[1:])
+            pairs.update(zip(tokens[:-1], tokens[1:], strict=True))
+    n = sum(words.values())
+    stands = lambda c: 0.5 if c == 0 else 1.0 if c == 1 else 2 ** (int(math.log2(c)) + 0.5)
+    often = sum(c for c in pairs.values() if c > 1) / n
+    for k, t in enumerate(texts):
+        tokens, score = ["", *t.split(), ""], 0.0
+        for a, b in zip(tokens[:-1], tokens[1:], strict=True):
+            single = (stands(words[b]) + 0.5) / (n + 0.5 * (len(words) + 1))
+            weight = often * stands(words[a]) / (stands(words[a]) + lm.PRIOR)
+            share = min(1.0, stands(pairs[a, b]) / stands(words[a])) if pairs[a, b] else 0.0
+            score += math.log10(weight * share + (1 - weight) * single)
+        base = sum(math.log10((words[b] + 0.5) / (n + 0.5 * (len(words) + 1))) for b in tokens[1:])
+        assert found[k].score == pytest.approx(score, abs=1e-9) and found[k].base_score == pytest.approx(base, abs=1e-9), k
+    runs = []
+    for parts in (1, 16):
+        model, rare = lm.train(seen.repartition(parts), max_filter_bytes=1 << 13)
+        runs.append({r.doc_id: r.score for r in lm.score_texts(docs.repartition(parts), model, rare).collect()})
+    assert runs[0] == pytest.approx(runs[1], abs=1e-9)
+
+
 def test_alignment_equals_dynamic_programming():
     def distance(a, b):
         row = list(range(len(b) + 1))
