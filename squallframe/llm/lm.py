@@ -207,7 +207,7 @@ class Model:
 
 
 def train(
-    docs: DataFrame, *, text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES, max_frequent: int = MAX_FREQUENT, bits_per_entry: int = BITS_PER_ENTRY
+    docs: DataFrame, *, text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES, max_frequent: int = MAX_FREQUENT, bits_per_entry: int = BITS_PER_ENTRY, part_bytes: int = PART_BYTES
 ) -> tuple[Model, DataFrame]:
     """The model of all texts, and a table (__h, __c) of the counts of the words that aren't in its exact part.
 
@@ -232,7 +232,7 @@ def train(
     entries = sum(r.n * (r.level + 1) for r in table_)
     pair_share = sum(r.total for r in table_ if r.kind == PAIRS and r.level >= 1) / max(tokens, 1)
     filter_words = entries * bits_per_entry // 64 + 1
-    part_bits = min(24, max(0, (8 * filter_words // min(PART_BYTES, max_filter_bytes // 4)).bit_length()))
+    part_bits = min(24, max(0, (8 * filter_words // part_bytes).bit_length()))
     per_part = -(-filter_words // (1 << part_bits)) * 9 // 8 + 8  # parts don't have quite the same number of entries
     parts_per_block = max(1, min(1 << part_bits, max_filter_bytes // (8 * per_part)))
 

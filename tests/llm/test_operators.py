@@ -174,7 +174,7 @@ def test_language_model_scores_by_brute_force_and_partitions(spark):
         assert found[k].score == pytest.approx(score, abs=1e-9) and found[k].base_score == pytest.approx(base, abs=1e-9), k
     runs = []
     for parts in (1, 16):
-        model, rare = lm.train(seen.repartition(parts), max_filter_bytes=1 << 13)
+        model, rare = lm.train(seen.repartition(parts), part_bytes=1024, max_filter_bytes=1 << 13)
         runs.append({r.doc_id: r.score for r in lm.score_texts(docs.repartition(parts), model, rare).collect()})
     assert runs[0] == pytest.approx(runs[1], abs=1e-9)
 
@@ -260,8 +260,8 @@ def test_language_model(spark, docs, empty):
 
 
 def test_language_model_keeps_all_counts_in_blocks(docs):
-    whole, rare = lm.train(docs)
-    blocked, _ = lm.train(docs, max_filter_bytes=16384)
+    whole, rare = lm.train(docs, part_bytes=4096)
+    blocked, _ = lm.train(docs, part_bytes=4096, max_filter_bytes=16384)
     counts = Counter(w for r in docs.where("text is not null").collect() for w in r.text.encode().lower().split())
     keys = np.array([lm.xxhash.xxh3_64_intdigest(w) for w in counts], np.uint64)
     levels = lm.level_of(np.array(list(counts.values()))) + 1
