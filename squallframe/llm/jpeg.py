@@ -6,6 +6,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,44 +27,65 @@ def _segment(marker: str, body: bytes) -> bytes:
     return bytes([0xFF, MARKER[marker]]) + struct.pack(">H", len(body) + 2) + body
 
 
-def _dc_table() -> tuple[np.ndarray, np.ndarray]:
-    """Codes and lengths of DC difference categories 0..8: category s has 9 - s bits, so that with its s further
-    bits each difference takes 9 bits. Codes are canonical: shorter ones first, counting up."""
-    codes, code = np.zeros(9, np.int64), 0
-    for length in range(1, 10):
-        codes[9 - length] = code
-        code = (code + 1) << 1
-    return codes, 9 - np.arange(9)
+# Fixed values of the format: code lengths and categories of the usual table of luminance DC differences.
+DC_COUNTS, DC_CATEGORIES = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], bytes(range(12))
+#: The only AC code: a block ends at once.
+AC_COUNTS, AC_SYMBOLS = [1] + [0] * 15, b"\x00"
 
 
-DC_CODES, DC_LENGTHS = _dc_table()
-#: The 9 bits of each difference from -255 to 255, and back.
-_DIFFS = np.arange(-255, 256)
-_SIZES = np.array([int(abs(d)).bit_length() for d in _DIFFS])
-DIFF_BITS = (DC_CODES[_SIZES] << _SIZES) | np.where(_DIFFS < 0, _DIFFS + (1 << _SIZES) - 1, _DIFFS)
-BITS_DIFF = np.zeros(512, np.int64)
-BITS_DIFF[DIFF_BITS] = _DIFFS
-#: Of each such value, its bits and the one bit that ends a block (the only AC code, 0).
-BIT_ROWS = np.concatenate([(DIFF_BITS[:, None] >> np.arange(8, -1, -1)) & 1, np.zeros((511, 1), np.int64)], axis=1).astype(np.uint8)
+def canonical_codes(counts: list[int], symbols: bytes) -> dict[int, tuple[int, int]]:
+    """Code and length of each symbol: shorter codes first, counting up."""
+    codes, code, k = {}, 0, 0
+    for length, n in enumerate(counts, 1):
+        for _ in range(n):
+            codes[symbols[k]] = (code, length)
+            code, k = code + 1, k + 1
+        code <<= 1
+    return codes
+
+
+def _block_bits() -> tuple[np.ndarray, np.ndarray]:
+    """For each difference from -255 to 255: the bits of a flat block (category, difference, end), and how many there are."""
+    dc, (end, end_bits) = canonical_codes(DC_COUNTS, DC_CATEGORIES), canonical_codes(AC_COUNTS, AC_SYMBOLS)[0]
+    said = []
+    for d in range(-255, 256):
+        size = abs(d).bit_length()
+        code, n = dc[size]
+        said.append((((code << size | (d if d >= 0 else d + (1 << size) - 1)) << end_bits) | end, n + size + end_bits))
+    width = max(n for _, n in said)
+    return np.array([[v >> (n - 1 - k) & 1 if k < n else 0 for k in range(width)] for v, n in said], np.uint8), np.array([n for _, n in said])
+
+
+BLOCK_BITS, BLOCK_LENGTHS = _block_bits()
 
 
 def encode_image(samples: np.ndarray) -> bytes:
-    """A greyscale JPEG whose 8 x 8 blocks are flat and, from left to right and top to bottom, as light as the samples."""
-    high = len(samples) // ACROSS * 8
-    diffs = np.diff(samples.astype(np.int16) - 128, prepend=np.int16(0))
-    bits = BIT_ROWS[diffs + 255].ravel()
-    scan = np.packbits(np.concatenate([bits, np.ones(-len(bits) % 8, np.uint8)]))
-    at = np.flatnonzero(scan == 255)
-    scan = np.insert(scan, at + 1, 0) if len(at) else scan
-    counts = bytes([1] * 9 + [0] * 7)
+    """A greyscale JPEG whose 8 x 8 blocks are flat and, from left to right and top to bottom, as light as the samples.
+
+    A row of blocks is a restart interval: its bits are filled with ones to whole bytes, and differences begin anew.
+    """
+    rows = samples.astype(np.int16).reshape(-1, ACROSS) - 128
+    diffs = np.diff(rows, axis=1, prepend=np.int16(0)) + 255
+    lengths = BLOCK_LENGTHS[diffs]
+    fill = -lengths.sum(axis=1) % 8
+    width = BLOCK_BITS.shape[1]
+    bits = np.concatenate([BLOCK_BITS[diffs].reshape(len(rows), -1), np.ones((len(rows), 7), np.uint8)], axis=1)
+    used = np.concatenate([(np.arange(width) < lengths[..., None]).reshape(len(rows), -1), np.arange(7) < fill[:, None]], axis=1)
+    scan, ends = np.packbits(bits[used]), np.cumsum((lengths.sum(axis=1) + fill) // 8)[:-1]
+    stuffed = np.flatnonzero(scan == 255) + 1
+    restarts = np.repeat(ends, 2)
+    marks = np.stack([np.full(len(ends), 255), 0xD0 + np.arange(len(ends)) % 8], axis=1).ravel()
+    # a stuffed byte comes before the marker that follows it
+    scan = np.insert(scan, np.concatenate([stuffed, restarts]), np.concatenate([np.zeros(len(stuffed), np.int64), marks]))
     return b"".join([
         bytes([0xFF, MARKER["soi"]]),
         _segment("dqt", bytes([0]) + bytes([8] * 64)),
-        _segment("sof0", struct.pack(">BHHBBBB", 8, high, ACROSS * 8, 1, 1, 0x11, 0)),
-        _segment("dht", bytes([0x00]) + counts + bytes(range(8, -1, -1))),
-        _segment("dht", bytes([0x10]) + bytes([1] + [0] * 15) + bytes([0])),
+        _segment("sof0", struct.pack(">BHHBBBB", 8, len(rows) * 8, ACROSS * 8, 1, 1, 0x11, 0)),
+        _segment("dht", bytes([0x00, *DC_COUNTS]) + DC_CATEGORIES),
+        _segment("dht", bytes([0x10, *AC_COUNTS]) + AC_SYMBOLS),
+        _segment("dri", struct.pack(">H", ACROSS)),
         _segment("sos", bytes([1, 1, 0x00, 0, 63, 0])),
-        scan.tobytes(),
+        scan.astype(np.uint8).tobytes(),
         bytes([0xFF, MARKER["eoi"]]),
     ])
 
@@ -100,7 +122,7 @@ def parse_markers(data: bytes, at: int) -> tuple[dict, int]:
             while body:
                 kind, which, counts = ("ac" if body[0] >> 4 else "dc"), body[0] & 15, list(body[1:17])
                 symbols = body[17 : 17 + sum(counts)]
-                image[kind][which] = (counts, symbols)
+                image[kind][which] = (tuple(counts), bytes(symbols))
                 body = body[17 + sum(counts) :]
         elif marker == MARKER["sof0"]:
             depth, high, wide, n = struct.unpack(">BHHB", body[:6])
@@ -125,38 +147,56 @@ def parse_markers(data: bytes, at: int) -> tuple[dict, int]:
     return image, at + 2
 
 
-def code_table(counts: list[int], symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=64)
+def code_table(counts: tuple[int, ...], symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
     """For each 16 bits: the symbol of the code that they begin with, and its length (0: no code)."""
     symbol, length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-    code = k = 0
-    for bits, n in enumerate(counts, 1):
-        for _ in range(n):
-            low = code << (16 - bits)
-            symbol[low : low + (1 << (16 - bits))], length[low : low + (1 << (16 - bits))] = symbols[k], bits
-            code, k = code + 1, k + 1
-        code <<= 1
+    for s, (code, bits) in canonical_codes(counts, symbols).items():
+        low = code << (16 - bits)
+        symbol[low : low + (1 << (16 - bits))], length[low : low + (1 << (16 - bits))] = s, bits
     return symbol, length
 
 
-def _even_bits(image: dict) -> bool:
-    """Whether it is one part whose differences all take 9 bits and whose blocks end at once with 1 more."""
-    parts = image["parts"]
-    if len(parts) != 1 or image["restart"]:
-        return False
-    dc, ac = image["scan_parts"][parts[0][0]]
-    return image["dc"][dc] == ([1] * 9 + [0] * 7, bytes(range(8, -1, -1))) and image["ac"][ac] == ([1] + [0] * 15, b"\x00")
-
-
 def _unstuffed_bits(scan: bytes) -> np.ndarray:
     raw = np.frombuffer(scan, np.uint8)
     after = np.flatnonzero(raw[:-1] == 255) + 1
     return np.unpackbits(np.delete(raw, after[raw[after] == 0]) if len(after) else raw)
 
 
-def _levels_even(image: dict, n: int) -> np.ndarray:
-    rows = _unstuffed_bits(image["scan"])[: n * 10].reshape(n, 10)
-    packed = np.packbits(rows[:, :8], axis=1)[:, 0].astype(np.int64)
-    return np.cumsum(BITS_DIFF[(packed << 1) | rows[:, 8]])
+def _levels_of_intervals(image: dict) -> np.ndarray | None:
+    """DC levels of a one-part image in restart intervals, all of which are decoded side by side; null if it has AC codes.
+
+    Each step reads one block of every interval: its DC code, the difference's bits, and the code that ends it.
+    """
+    parts, every = image["parts"], image["restart"]
+    down, across = -(-image["high"] // 8), -(-image["wide"] // 8)
+    if len(parts) != 1 or not every or down * across % every:
+        return None
+    (symbol, length), (ac_symbol, ac_length) = (code_table(*image[kind][i]) for kind, i in zip(("dc", "ac"), image["scan_parts"][parts[0][0]], strict=True))
+    raw = np.frombuffer(image["scan"], np.uint8)
+    after = np.flatnonzero(raw[:-1] == 255) + 1
+    stuffed, restarts = after[raw[after] == 0], after[raw[after] != 0]
+    gone = np.zeros(len(raw), bool)
+    gone[stuffed] = gone[restarts] = gone[restarts - 1] = True
+    first = np.concatenate([[0], restarts + 1])
+    at = (first - np.cumsum(gone)[first] + gone[first]) * 8
+    if len(at) != down * across // every:
+        return None
+    kept = np.concatenate([raw[~gone], np.full(8, 255, np.uint8)]).astype(np.int64)
+    wide = (kept[:-2] << 16) | (kept[1:-1] << 8) | kept[2:]
+    window = lambda place: (wide[place >> 3] >> (8 - (place & 7))) & 0xFFFF
+    diffs = np.empty((len(at), every), np.int64)
+    for k in range(every):
+        bits = window(at)
+        size = symbol[bits]
+        at = at + length[bits]
+        value = window(at) >> (16 - size)
+        diffs[:, k] = np.where(value < (1 << size) >> 1, value - (1 << size) + 1, value)
+        bits = window(at + size)
+        if (ac_symbol[bits] != 0).any() or (ac_length[bits] == 0).any():
+            return None
+        at = at + size + ac_length[bits]
+    return np.cumsum(diffs, axis=1).reshape(down, across)
 
 
 def _levels_general(image: dict) -> np.ndarray:
@@ -212,11 +252,8 @@ def _levels_general(image: dict) -> np.ndarray:
 
 def thumbnail(image: dict) -> np.ndarray:
     """The mean luminance of each 8 x 8 block, from DC levels alone."""
-    if _even_bits(image):
-        shape = -(-image["high"] // 8), -(-image["wide"] // 8)
-        levels = _levels_even(image, shape[0] * shape[1]).reshape(shape)
-    else:
-        levels = _levels_general(image)
+    levels = _levels_of_intervals(image)
+    levels = _levels_general(image) if levels is None else levels
     step = int(image["quant"][image["parts"][0][3]][0])
     return np.clip(np.round(levels * step / 8 + 128), 0, 255).astype(np.uint8)
 
