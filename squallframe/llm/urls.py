@@ -43,28 +43,33 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     return links.where("__src <> __dst").groupBy("__src", "__dst").agg(F.count(F.lit(1)).alias("__links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """Personalised PageRank of trust along edges and of distrust against them.
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, max_rounds: int = 500) -> DataFrame:
+    """Personalised PageRank of trust along edges and of distrust against them: __host, __trust and __distrust.
 
-    seeds: __host, __trust, __distrust (each summing to 1 or 0). A round passes on the damped part of each host's
-    rank by its share of links; hosts without links pass on nothing. The lineage is cut every third round.
+    seeds: __host, __trust, __distrust (each summing to 1 or 0). Ranks are the sum of what each round passes on: the damped
+    part of what the round before has passed to a host, by its share of links; hosts without links pass on nothing. The
+    rounds end when all later ones together pass on less than the tolerance (of 1 each for trust and distrust), which is
+    so after about log(tolerance) / log(damping) rounds at the latest; ``max_rounds`` without that is an error.
     """
     out_of = edges.groupBy("__src").agg(F.sum("__links").alias("__out"))
     into = edges.groupBy("__dst").agg(F.sum("__links").alias("__in"))
     forward = edges.join(out_of, "__src").select(F.col("__src").alias("__from"), F.col("__dst").alias("__to"), (F.col("__links") / F.col("__out")).alias("__a"), F.lit(0.0).alias("__b"))
     backward = edges.join(into, "__dst").select(F.col("__dst").alias("__from"), F.col("__src").alias("__to"), F.lit(0.0).alias("__a"), (F.col("__links") / F.col("__in")).alias("__b"))
     flows = materialize(forward.unionByName(backward).groupBy("__from", "__to").agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b")))
-    start = seeds.select("__host", F.col("__trust") * (1 - damping), F.col("__distrust") * (1 - damping)).toDF("__host", "__trust", "__distrust")
-    ranks = seeds
-    for k in range(rounds):
-        passed = ranks.join(flows, F.col("__host") == F.col("__from")).groupBy(F.col("__to").alias("__host")).agg(F.sum(damping * F.col("__trust") * F.col("__a")).alias("__trust"), F.sum(damping * F.col("__distrust") * F.col("__b")).alias("__distrust"))
-        ranks = passed.unionByName(start).groupBy("__host").agg(F.sum("__trust").alias("__trust"), F.sum("__distrust").alias("__distrust"))
-        if k % 3 == 2 or k == rounds - 1:
+    ranks = passed = seeds.select("__host", (F.col("__trust") * (1 - damping)).alias("__trust"), (F.col("__distrust") * (1 - damping)).alias("__distrust"))
+    for k in range(max_rounds):
+        passed = passed.join(flows, F.col("__host") == F.col("__from")).groupBy(F.col("__to").alias("__host")).agg(F.sum(damping * F.col("__trust") * F.col("__a")).alias("__trust"), F.sum(damping * F.col("__distrust") * F.col("__b")).alias("__distrust"))
+        passed = materialize(passed.where("__trust > 0 or __distrust > 0"))
+        ranks = ranks.unionByName(passed).groupBy("__host").agg(F.sum("__trust").alias("__trust"), F.sum("__distrust").alias("__distrust"))
+        if k % 4 == 3:
             ranks = materialize(ranks)
-    return ranks
+        left = passed.agg(F.greatest(F.coalesce(F.sum("__trust"), F.lit(0.0)), F.coalesce(F.sum("__distrust"), F.lit(0.0))).alias("left")).first().left
+        if left * damping / (1 - damping) < tolerance:
+            return ranks
+    raise RuntimeError(f"ranks are still passed on after {max_rounds} rounds")
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rounds: int = 9, damping: float = 0.85) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, tolerance: float = 1e-3) -> DataFrame:
     """Verdict of each page: its longest fitting rule's, else its host's by propagation.
 
     Pages that rules allow or block make their hosts seeds of trust or distrust, by numbers of pages. A host
@@ -83,7 +88,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: s
     share = lambda x, s: F.when(F.col(s) > 0, F.col(x) / F.col(s)).otherwise(0.0)
     seeds = materialize(counts.crossJoin(F.broadcast(sums)).select("__host", share("__a", "__sa").alias("__trust"), share("__b", "__sb").alias("__distrust")))
     edges = materialize(host_edges(judged, "__host", "__html"))
-    ranks = seeds if edges.isEmpty() else propagate(seeds, edges, rounds, damping)
+    ranks = propagate(seeds, edges, damping, tolerance)
     ranks = ranks.select(F.col("__host").alias("__h"), "__trust", "__distrust")
     out = judged.drop("__html").join(ranks, F.col("__host") == F.col("__h"), "left")
     trust, distrust = F.coalesce("__trust", F.lit(0.0)), F.coalesce("__distrust", F.lit(0.0))
