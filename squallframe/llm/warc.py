@@ -11,13 +11,14 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squallframe.llm.common import shared_path, table
+from squallframe.llm.common import materialize, shared_path, table
 
 #: Field names of the URL record of each ARC version (fixed values of the format).
 ARC_FIELDS = {
@@ -26,11 +27,13 @@ ARC_FIELDS = {
 }
 #: The profile of revisits by payload (fixed value of the WARC format).
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-#: When legacy captures were made, where the table doesn't tell.
-CAPTURED = "20040229120000"
+#: When the legacy captures began, where the table doesn't tell: a page's is as many seconds later as its id says, within a year.
+CAPTURED, YEAR = datetime(2004, 2, 29, 12, tzinfo=UTC), 365 * 86400
+#: Parts into which pages whose payloads occur more than once are dealt, each with the first page of the payload.
+SALTS = 16
 
-PARSED = "page_id long, uri string, mime string, date string, head binary, payload binary, digest string"
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, uri string, date string"
+PARSED = "kind string, page_id long, uri string, ip string, mime string, date string, head binary, payload binary, digest string"
+READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to_id string, record_id string, uri string, ip string, date string"
 SMALL_BATCH = 16 << 20
 
 
@@ -60,9 +63,10 @@ def arc_values(batches: Iterator[pa.RecordBatch], version: int, name: str) -> It
     tail = ["200", "-", "-", "0", name] if version == 2 else []
     offset = 0
 
-    def record(uri: str, mime: str, document: str, size: int) -> str:
+    def record(uri: str, mime: str, document: str, size: int, page: int = 0) -> str:
         tail[3:4] = [str(offset)] * bool(tail)
-        return f"{uri} 0.0.0.0 {CAPTURED} {mime} {' '.join([*tail, str(size)])}\n{document}"
+        date = CAPTURED + timedelta(seconds=page % YEAR)
+        return f"{uri} 0.0.0.0 {date:%Y%m%d%H%M%S} {mime} {' '.join([*tail, str(size)])}\n{document}"
 
     first = record(f"filedesc://{name}", "text/plain", described, len(described))
     offset += len(first.encode()) + 1
@@ -72,7 +76,7 @@ def arc_values(batches: Iterator[pa.RecordBatch], version: int, name: str) -> It
             body = html or ""
             n = len(body.encode())
             head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\nX-Page-Id: {'' if page is None else page}\r\nX-Url-Given: {int(url is not None)}\r\n\r\n"
-            line = record(one_word(url), "text/html", head + body, len(head) + n)
+            line = record(one_word(url), "text/html", head + body, len(head) + n, page or 0)
             lines.append(line)
             offset += len(line) - len(body) + n + 1
             held += n
@@ -93,7 +97,7 @@ def write_arc(pages: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and document of each record of an ARC file, by the declared lengths.
+    """Header fields and document of each record of an ARC file (its description too), by the declared lengths.
 
     The names of the fields are those that the file description declares, else those of the version whose number
     of fields the header line has. A header line may hold spaces in its URL only.
@@ -123,8 +127,7 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if line.startswith("filedesc://"):
             described = document.decode("utf-8", "replace").splitlines()
             declared = described[1].split() if len(described) > 1 else None
-        else:
-            yield header, document
+        yield header, document
 
 
 def http_parts(document: bytes) -> tuple[bytes, bytes]:
@@ -155,60 +158,80 @@ def in_batches(rows: Iterator[tuple], schema: pa.Schema, weight) -> Iterator[pa.
     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def iso_date(date: str) -> str:
+    """14 digits as WARC writes them; missing ones are those of the earliest moment."""
+    d = date + "00000101000000"[len(date) :]
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
+def as_warc(header: dict[str, str], document: bytes) -> tuple:
+    """WARC kind, page_id, uri, ip, mime, date, HTTP head, payload and its digest of an ARC record.
+
+    A file description becomes a warcinfo record, a document with an HTTP head a response, any other one a resource.
+    """
+    uri, mime = header["URL"], header["Content-type"]
+    if uri.startswith("filedesc://"):
+        version, _, origin = (document.decode("utf-8", "replace").split("\n")[0].split(" ") + ["", "", ""])[:3]
+        info = f"software: squallframe legacy archive converter\r\nformat: WARC File Format 1.0\r\nsource: ARC {version} of {origin}\r\n".encode()
+        return "warcinfo", None, uri, None, "application/warc-fields", iso_date(header["Archive-date"]), b"", info, digest32(info)
+    head, payload = http_parts(document)
+    page = http_field(head, "X-Page-Id")
+    return "response" if head else "resource", int(page) if page else None, uri, header["IP-address"], mime, iso_date(header["Archive-date"]), head, payload, digest32(payload)
+
+
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all ARC files under a path, with WARC types: dates in ISO form, digests in base 32."""
-    schema = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("mime", pa.string()), ("date", pa.string()), ("head", pa.binary()), ("payload", pa.binary()), ("digest", pa.string())])
+    """Records of all ARC files under a path, as ``as_warc`` has them."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in PARSED.split(", "))])
 
     def rows(batches):
         for batch in batches:
             for content in batch.column(0):
                 for header, document in parse_arc(inflate(content.as_py())):
-                    head, payload = http_parts(document)
-                    page, d = http_field(head, "X-Page-Id"), header["Archive-date"]
-                    date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-                    yield int(page) if page else None, header["URL"], header["Content-type"], date, head, payload, digest32(payload)
+                    yield as_warc(header, document)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lambda b: in_batches(rows(b), schema, lambda r: len(r[5])), PARSED)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lambda b: in_batches(rows(b), schema, lambda r: len(r[7])), PARSED)
 
 
 def record_id(*parts) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(31).join(map(str, parts)))}>"
 
 
-def warc_value(page, uri, mime, date, head: bytes, payload: bytes, digest: str, first) -> str:
-    """A WARC record but for its end; ``first`` is the page that a revisit refers to, else null."""
-    kind = "response" if first is None else "revisit"
-    block = head + payload if first is None else head
-    lines = [
-        "WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(kind, page, uri, date)}", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}",
-        f"Content-Type: {'application/http; msgtype=response' if head else mime}", f"WARC-Payload-Digest: sha1:{digest}",
-        f"WARC-Block-Digest: sha1:{digest32(block)}", f"Content-Length: {len(block)}",
-    ]
+def warc_value(kind, page, uri, ip, mime, date, head: bytes, payload: bytes, digest: str, first) -> str:
+    """A WARC record but for its end; ``first`` is (page_id, uri, date) of the response that a revisit refers to, else null."""
+    kind = "revisit" if first is not None else kind
+    block = head if kind == "revisit" else head + payload
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(kind, page, uri, date)}", f"WARC-Date: {date}"]
+    if kind == "warcinfo":
+        lines.append(f"WARC-Filename: {uri.removeprefix('filedesc://')}")
+    else:
+        lines += [f"WARC-Target-URI: {uri}", f"WARC-IP-Address: {ip}", f"WARC-Payload-Digest: sha1:{digest}"]
     if first is not None:
-        lines[5:5] = [f"WARC-Profile: {SAME_PAYLOAD}", f"WARC-Refers-To: {record_id('response', first, uri, date)}", f"X-Refers-To-Page: {first}"]
+        lines += [f"WARC-Profile: {SAME_PAYLOAD}", f"WARC-Refers-To: {record_id('response', first['page_id'], first['uri'], first['date'])}", f"WARC-Refers-To-Target-URI: {first['uri']}", f"WARC-Refers-To-Date: {first['date']}"]
+    lines += [f"Content-Type: {'application/http; msgtype=response' if head else mime}", f"WARC-Block-Digest: sha1:{digest32(block)}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines) + "\r\n\r\n" + block.decode("utf-8")
 
 
 def write_warc(records: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write records as WARC files; equal payloads of at least ``min_bytes`` revisit that of the smallest page_id.
 
-    Only digests that several pages share go through the join that finds their first page.
+    Payloads that several pages share are found by digest and length. Their first pages are there once for each salt, so
+    that the pages of a payload that very many share are dealt to several tasks.
     """
-    shared = records.where((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull()).groupBy(F.col("digest").alias("__digest"))
-    firsts = shared.agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    joined = records.join(firsts, (F.col("digest") == F.col("__digest")) & (F.octet_length("payload") >= min_bytes), "left")
-    joined = joined.withColumn("__first", F.when(F.col("page_id") > F.col("__first"), F.col("__first"))).drop("__digest")
+    can = (F.col("kind") == "response") & (F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull()
+    shared = records.where(can).groupBy(F.col("digest").alias("__digest"), F.octet_length("payload").alias("__size"))
+    firsts = shared.agg(F.min(F.struct("page_id", "uri", "date")).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    firsts = firsts.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (F.col("digest") == F.col("__digest")) & (F.octet_length("payload") == F.col("__size")) & (F.pmod(F.xxhash64("page_id", "uri"), F.lit(SALTS)) == F.col("__part")) & can
+    joined = records.join(firsts, same, "left").withColumn("__first", F.when(F.col("page_id") > F.col("__first.page_id"), F.col("__first")))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        info = "software: squallframe legacy archive converter\r\nformat: WARC File Format 1.0\r\n"
-        head = f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id('warcinfo', task)}\r\nWARC-Date: 2004-02-29T12:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
-        yield pa.RecordBatch.from_arrays([pa.array([head + info], pa.string())], ["value"])
         for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True)
+            rows = zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([warc_value(*r) for r in rows], pa.string())], ["value"])
 
-    joined.mapInArrow(lines, "value string").write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path, lineSep="\r\n\r\n")
+    written = joined.drop("__digest", "__size", "__part").mapInArrow(lines, "value string")
+    written.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path, lineSep="\r\n\r\n")
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -228,7 +251,10 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Responses and revisits of all WARC files under a path, their digests checked against the blocks."""
+    """Responses, resources and revisits of all WARC files under a path, their digests checked against the blocks.
+
+    refers_to_id is the record identifier that a revisit names.
+    """
     kinds = {"long": pa.int64(), "string": pa.string()}
     schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in READ.split(", "))])
 
@@ -237,23 +263,33 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 for fields, block in parse_warc(inflate(content.as_py())):
                     kind = fields["warc-type"]
-                    if kind not in ("response", "revisit"):
+                    if kind not in ("response", "resource", "revisit"):
                         continue
                     head, payload = http_parts(block)
                     said = fields["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and digest32(payload) != said or f"sha1:{digest32(block)}" != fields["warc-block-digest"]:
+                    if kind != "revisit" and digest32(payload) != said or f"sha1:{digest32(block)}" != fields["warc-block-digest"]:
                         raise ValueError(f"digests of {fields['warc-record-id']} don't match")
-                    page, first = http_field(head, "X-Page-Id"), fields.get("x-refers-to-page")
-                    size = len(payload) if kind == "response" else int(http_field(head, "Content-Length"))
-                    yield int(page) if page else None, size, said, kind, int(first) if first else None, fields["warc-record-id"], fields["warc-target-uri"], fields["warc-date"]
+                    page = http_field(head, "X-Page-Id")
+                    size = int(http_field(head, "Content-Length")) if kind == "revisit" else len(payload)
+                    yield int(page) if page else None, size, said, kind, fields.get("warc-refers-to"), fields["warc-record-id"], fields["warc-target-uri"], fields.get("warc-ip-address"), fields["warc-date"]
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lambda b: in_batches(rows(b), schema, lambda r: 200), READ)
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """Add refers_to, the page of the response that a revisit names, found by its identifier; one that isn't there, or has
+    another payload, is an error."""
+    responses = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("__id")).agg(F.min("page_id").alias("__page"), F.min("payload_digest").alias("__digest"))
+    revisits = records.where("record_type = 'revisit'").join(responses, F.col("refers_to_id") == F.col("__id"), "left")
+    right = F.col("__digest") == F.col("payload_digest")
+    page = F.when(right, F.col("__page")).otherwise(F.raise_error(F.concat(F.lit("no response for "), "record_id")).cast("long"))
+    return records.where("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits.withColumn("refers_to", page).drop("__id", "__page", "__digest"))
+
+
 def convert_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Pages through legacy ARC files of both versions into WARC files in the shared folder, and read back.
 
-    Returns page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, uri and date.
+    Returns page_id, payload_bytes, payload_digest, record_type, refers_to_id, record_id, uri, ip, date and refers_to.
 
     Edge cases: a null html is an empty payload; a null or blank url is written as "-", white space in one as
     %20; rows with a null id are always responses; repeated rows of a payload's smallest id are each a response,
@@ -264,8 +300,8 @@ def convert_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     arc, warc = shared_path(spark, "arc"), shared_path(spark, "warc")
     write_arc(pages, arc, [id_col, url_col, html_col])
     write_warc(read_arc(spark, arc), warc, min_bytes)
-    return read_warc(spark, warc)
+    return resolved(materialize(read_warc(spark, warc)))
 
 
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return convert_pages(table(spark, sf_dir, "pages"))
+    return convert_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id", "uri", "ip", "date")
