@@ -32,6 +32,9 @@ OTHER_PARTS = set(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall "
     "comment comments commentlist disqus respond reply replies form hidden".split()
 )
+#: What share of a page's text outside of links an element must hold to be kept although its name says another part: one that
+#: a whole class or id names, and one that only a part of such a word names.
+NAMED, PARTLY_NAMED = 0.9, 0.5
 KEPT_ROOTS = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6", "p"}
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -45,10 +48,10 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 class Node:
     """An element: pieces are texts and child nodes in page order; the sums are of its whole subtree."""
 
-    __slots__ = ("chars", "density", "dropped", "link_chars", "link_tags", "parent", "pieces", "spread", "tag", "tags")
+    __slots__ = ("chars", "density", "doubt", "dropped", "link_chars", "link_tags", "parent", "pieces", "spread", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.pieces, self.dropped = tag, parent, [], dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubt: float = 0.0):
+        self.tag, self.parent, self.pieces, self.dropped, self.doubt = tag, parent, [], dropped, doubt
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.spread = 0.0
 
@@ -59,19 +62,24 @@ class Node:
         return at is not None
 
 
-def other_part(tag: str, rest: str, parent: Node) -> bool:
-    """Whether an element is no part of an article, by its name, role, class, id or being hidden."""
+def other_part(tag: str, rest: str, parent: Node) -> float:
+    """The share of the page's text that an element must hold to be kept: 0 for most, over 1 for one that is no part of an
+    article by its element's name, role or being hidden, and in between for one that its class or id names so."""
     if tag in NEVER_TEXT or tag == "header" and not parent.inside("article", "main"):
-        return True
+        return 2.0
     if "=" not in rest and "hidden" not in rest:
-        return False
+        return 0.0
     attributes = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(rest)}
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "").lower()):
-        return True
+        return 2.0
     if attributes.get("role", "").strip().lower() in OTHER_ROLES:
-        return True
-    named = re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return tag not in KEPT_ROOTS and not OTHER_PARTS.isdisjoint(named)
+        return 2.0
+    if tag in KEPT_ROOTS:
+        return 0.0
+    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+    if not OTHER_PARTS.isdisjoint(named.split()):
+        return NAMED
+    return 0.0 if OTHER_PARTS.isdisjoint(re.split(r"[^a-z0-9]+", named)) else PARTLY_NAMED
 
 
 def parse(page: str) -> Node:
@@ -110,7 +118,8 @@ def parse(page: str) -> Node:
         if at.tag == "head" and name == "body":
             at = at.parent
         rest = m["rest"] or m["rest2"] or ""
-        node = Node(name, at, at.dropped or other_part(name, rest, at))
+        share = 2.0 if at.dropped else other_part(name, rest, at)
+        node = Node(name, at, share > 1, share)
         at.pieces.append(node)
         if name in RAW:
             raw_end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, place)
@@ -128,6 +137,25 @@ def in_post_order(root: Node) -> list[Node]:
     return order[::-1]
 
 
+def plain_chars(text: str) -> int:
+    return sum(map(len, entities.unescape(text).split()))
+
+
+def drop_named(root: Node) -> None:
+    """Drop the elements that their names say are other parts, but for those that hold most of the page's plain text.
+
+    chars are those of the texts outside of links here; a dropped element's subtree is dropped with it.
+    """
+    for node in in_post_order(root):
+        if not node.dropped and node.tag != "a":
+            node.chars = sum(plain_chars(x) if isinstance(x, str) else x.chars for x in node.pieces)
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.dropped = node.dropped or node.parent is not None and node.parent.dropped or bool(node.doubt) and node.chars < node.doubt * max(root.chars, 1)
+        stack += [x for x in node.pieces if isinstance(x, Node)]
+
+
 def weigh(root: Node) -> list[Node]:
     """Set the sums, densities and density sums of all nodes that may hold text; they are returned, root last."""
     nodes = [n for n in in_post_order(root) if not n.dropped]
@@ -135,7 +163,7 @@ def weigh(root: Node) -> list[Node]:
         node.chars = node.tags = node.link_chars = node.link_tags = 0
         for piece in node.pieces:
             if isinstance(piece, str):
-                node.chars += sum(map(len, entities.unescape(piece).split()))
+                node.chars += plain_chars(piece)
             elif not piece.dropped:
                 node.chars += piece.chars
                 node.tags += piece.tags + 1
@@ -203,6 +231,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    drop_named(root)
     chosen = article_nodes(root)
     blocks: list[str] = []
     run: list[str] = []
@@ -222,7 +251,7 @@ def main_text(page: str | None) -> str:
                 run.append(piece)
         elif not piece.dropped:
             whole = inside or id(piece) in chosen
-            if whole and inside and link_list(piece):
+            if whole and inside and link_list(piece) and not piece.inside("article", "main"):
                 end_block()
                 continue
             block = piece.tag in BLOCKS
@@ -237,6 +266,8 @@ def main_text(page: str | None) -> str:
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of each page: id_col, url_col, text and n_chars.
 
+    Ties: of elements with the same largest sum of densities the outermost is taken, of several such the last in page order.
+
     Edge cases: null and empty html, and pages without text in an article, give an empty text; very long pages are
     read whole; broken markup is read as far as it goes; repeated rows give the same text; an empty table gives no
     rows; null ids and urls are kept; other columns are ignored, whatever their names.
