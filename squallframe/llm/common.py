@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 #: Upper-case ASCII letters and their lower-case forms (fixed values of the tokenisation rules).
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -21,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where the session names none."""
+    """The cluster's shared folder. Where the session names none, a local master uses its warehouse; others are refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
     return context.getCheckpointDir()
 
 
@@ -46,6 +48,11 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, ASCII_UPPER, ASCII_LOWER)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row, but for those of map type."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, MapType)))
+
+
 def hash_unit(seed: int, *columns: Column) -> Column:
     """A reproducible number in (0, 1) from the columns; any engine with MD5 gets the same one."""
     parts = [F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns]

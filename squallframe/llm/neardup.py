@@ -11,9 +11,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
 
-from squallframe.llm.common import WORD, materialize, table
+from squallframe.llm.common import WORD, materialize, row_hash, table
 from squallframe.llm.components import components, near_components
 
 #: The least edit similarity of near duplicates, and words of a k-mer: with edits of a fifth of the words, spread evenly,
@@ -458,8 +457,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     _, named = text_classes(docs, id_col, text_col, similarity)
     kept = named.select("__class").distinct().select(F.col("__class.__id").alias("__kept_id"), F.col("__class.__raw").alias("__kept_raw"))
     has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
-    hashed = F.xxhash64(*(f.name for f in docs.schema if not isinstance(f.dataType, MapType)))
-    rows = docs.where(has_words).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__raw"), F.struct(*docs.columns).alias("__row"), hashed.alias("__all"))
+    rows = docs.where(has_words).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__raw"), F.struct(*docs.columns).alias("__row"), row_hash(docs).alias("__all"))
     rows = rows.join(kept, (F.col("__raw") == F.col("__kept_raw")) & F.col("__id").eqNullSafe(F.col("__kept_id")), "left_semi")
     chosen = rows.groupBy("__raw", "__id").agg(F.min_by("__row", "__all").alias("__row")).select("__row.*")
     return chosen.unionByName(docs.where(~has_words))

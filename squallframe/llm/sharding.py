@@ -15,8 +15,8 @@ def interleave(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_c
     stratum, each stratum is spread evenly over the order, which is cut into runs of equal numbers of rows.
     Returns id_col, stratum_col, size (UTF-8 bytes plus 1), text_crc32, shard and slot (from 0 in each shard).
 
-    Edge cases: a null text has no bytes (size 1, CRC 0); a null stratum is a stratum of its own; null ids are
-    shuffled like others; repeated rows are separate rows and may be in different shards; an empty table gives
+    Edge cases: a null text has no bytes (size 1, CRC 0); a null stratum is a stratum of its own; null and
+    repeated ids are shuffled by their texts; repeated rows are separate rows and may be in different shards; an empty table gives
     no rows; other columns are ignored, whatever their names. Shards beyond the number of rows stay empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -26,7 +26,7 @@ def interleave(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_c
         F.concat(F.when(F.col(stratum_col).isNull(), "1").otherwise("0"), F.coalesce(F.col(stratum_col).cast("string"), F.lit(""))).alias("__key"),
         (F.octet_length(text).cast("long") + 1).alias("__size"),
         F.crc32(text.cast("binary")).cast("long").alias("__crc"),
-        hash_unit(seed, F.col(id_col)).alias("__u"),
+        hash_unit(seed, F.col(id_col), F.crc32(text.cast("binary"))).alias("__u"),
     )
     rows = materialize(rows)
     ties = ["__id", "__crc", "__size"]

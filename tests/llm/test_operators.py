@@ -179,6 +179,72 @@ def test_language_model_scores_by_brute_force_and_partitions(spark):
     assert runs[0] == pytest.approx(runs[1], abs=1e-9)
 
 
+def test_trust_equals_brute_force_pagerank(spark):
+    draw = random.Random(3)
+    hosts = [f"h{k}" for k in range(12)]
+    links = Counter((draw.choice(hosts), draw.choice(hosts)) for _ in range(40))
+    edges = [(a, b, n) for (a, b), n in links.items() if a != b]
+    seeds = [(h, 0.5 * (k < 2), 1.0 * (k == 5)) for k, h in enumerate(hosts)]
+    found = urls.propagate(spark.createDataFrame(seeds, "__host string, __trust double, __distrust double"), spark.createDataFrame(edges, "__src string, __dst string, __links long"), tolerance=1e-9)
+    number = {h: k for k, h in enumerate(hosts)}
+    flow = np.zeros((12, 12))
+    for a, b, n in edges:
+        flow[number[a], number[b]] += n
+    ways = [flow / np.maximum(flow.sum(axis=1, keepdims=True), 1), flow.T / np.maximum(flow.T.sum(axis=1, keepdims=True), 1)]
+    start = np.array([s[1:] for s in seeds], float)
+    want = [np.linalg.solve(np.eye(12) - 0.85 * w.T, 0.15 * start[:, k]) for k, w in enumerate(ways)]
+    got = {r["__host"]: (r["__trust"], r["__distrust"]) for r in found.collect()}
+    for h, k in number.items():
+        assert got[h] == pytest.approx((want[0][k], want[1][k]), abs=1e-7)
+
+
+def test_pareto_inclusion_grows_with_size(spark):
+    draw = random.Random(4)
+    rows = [(k, " ".join(["w"] * draw.choice([1, 3, 10, 40])), "s") for k in range(3000)]
+    found = mixing.pareto_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), [1.0], share=0.3).collect()
+    total, taken = sum(r.size for r in found), sum(r.taken for r in found)
+    assert abs(taken - 0.3 * total) <= 40 and sum(r.inclusion * r.size for r in found) == pytest.approx(0.3 * total, rel=0.01)
+    for size in (3, 10, 40):
+        of = [r for r in found if r.size == size]
+        assert sum(r.copies for r in of) / len(of) == pytest.approx(of[0].inclusion, abs=0.05)
+    assert len({round(r.inclusion / r.size, 3) for r in found if r.inclusion < 1}) <= 2
+
+
+def test_arc_file_of_another_writer():
+    http = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\nabc"
+    described = b"1 0 Crawler\nURL IP-address Archive-date Content-type Archive-length\n"
+    data = b"filedesc://a.arc 10.0.0.1 19990102030405 text/plain %d\n%s\n" % (len(described), described)
+    data += b"http://a/x y 10.0.0.2 19990102030406 text/html %d\n%s\n" % (len(http), http)
+    data += b"dns:a 10.0.0.3 19990102 text/dns 5\nn 1 A\n"
+    got = [warc.as_warc(*r) for r in warc.parse_arc(data)]
+    assert [(r[0], r[2], r[3], r[5]) for r in got] == [
+        ("warcinfo", "filedesc://a.arc", None, "1999-01-02T03:04:05Z"), ("response", "http://a/x y", "10.0.0.2", "1999-01-02T03:04:06Z"), ("resource", "dns:a", "10.0.0.3", "1999-01-02T00:00:00Z"),
+    ]
+    assert got[1][7] == b"abc" and b"ARC 1 of Crawler" in got[0][7]
+    first = {"page_id": 1, "uri": "http://other/", "date": "1998-01-01T00:00:00Z"}
+    (fields, block), = warc.parse_warc(warc.warc_value(*got[1], first).encode())
+    assert fields["warc-refers-to"] == warc.record_id("response", 1, "http://other/", "1998-01-01T00:00:00Z") and fields["warc-refers-to-target-uri"] == "http://other/"
+    assert fields["warc-ip-address"] == "10.0.0.2" and block == http[:-3]
+
+
+def test_revisits_name_records_that_exist(spark):
+    pages = spark.createDataFrame([(k, f"http://h{k}/", "same" if k % 2 else f"own {k}") for k in range(1, 20)], "page_id long, url string, html string")
+    got = warc.convert_pages(pages.repartition(3)).collect()
+    ids = {r.record_id: r for r in got}
+    revisits = [r for r in got if r.record_type == "revisit"]
+    assert len(revisits) == 9 and all(r.refers_to == 1 and ids[r.refers_to_id].page_id == 1 for r in revisits)
+    assert len({r.date for r in got}) == 19
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "elementor-widget-container", "entry-content social-share", "page-header", "article-form", "sidebar"])
+def test_names_do_not_drop_most_of_a_page(name):
+    article = "<p>" + " ".join(["This is a sentence of the article."] * 40) + "</p>"
+    page = f'<body><div class="menu"><a href="/">home</a></div><div class="{name}">{article}<div class="related">Read this too</div></div></body>'
+    assert html.main_text(page) == " ".join(["This is a sentence of the article."] * 40)
+    other = f'<body><div class="content">{article}</div><div class="{name}"><p>{"Some other words here. " * 5}</p></div></body>'
+    assert html.main_text(other) == " ".join(["This is a sentence of the article."] * 40)
+
+
 def test_alignment_equals_dynamic_programming():
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -277,7 +343,7 @@ def test_bloom_filter_is_never_too_low():
     bloom = lm.LogBloom(4, 4000)
     keys = lm.mix(np.arange(1, 20_001, dtype=np.uint64))
     counts = np.arange(20_000) % 200 + 2
-    bloom.enter(keys, lm.level_of(counts), 1)
+    bloom.enter(keys, lm.level_of(counts))
     found = bloom.levels(keys)
     assert (found >= lm.level_of(counts)).all() and (found == lm.level_of(counts)).mean() > 0.9
 
