@@ -8,18 +8,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squallframe.llm.common import ASCII_UPPER, table
+from squallframe.llm.common import ASCII_UPPER, materialize, table
 
 WINDOW = 10
 #: Words of one shard, which is one index; longer texts go over several, overlapping by a window.
 SHARD_WORDS = 2_000_000
 #: Every so many positions of a shard are stored in its index.
 SAMPLED = 8
-#: Benchmark texts are sent to the tasks in blocks of at most about so many bytes, one pass over the texts each.
-BLOCK_BYTES = 32 << 20
+#: Windows of benchmark items are sent to the tasks in blocks of about so many (window, item) pairs, one pass over the texts
+#: each; a pair has at most WINDOW words, so a block's size is bounded.
+BLOCK_PAIRS = 400_000
 
 #: Bytes as words see them: A-Z as a-z; digits, a-z and all of non-ASCII characters as they are; else a space.
 TO_WORDS = bytes(c + 32 if chr(c) in ASCII_UPPER else c if c >= 0x80 or chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" else 32 for c in range(256))
@@ -151,22 +153,43 @@ class FMIndex:
         return places
 
 
+def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(__window, __item): each different window of each item, its words joined by spaces; the item's id as a string."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1), strict=True):
+                words = words_of(text.as_py())
+                found = {b" ".join(words[k : k + window]) for k in range(max(1, len(words) - window + 1) if words else 0)}
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string()), pa.array([item.as_py()] * len(found), pa.string())], names=["__window", "__item"])
+
+    chosen = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull())
+    return materialize(chosen.mapInArrow(windows, "__window string, __item string").distinct())
+
+
 class Phrases:
-    """Windows of benchmark items as rows of symbols, with the items of each."""
-
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        self.symbols: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set] = {}
-        for item, text in items:
-            ids = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in words_of(text)]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[k : k + window]), set()).add(item)
-        self.bits = max(1, len(self.symbols).bit_length())
-        self.items = [sorted(x for x in s if x is not None) for s in found.values()]
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.rows = np.zeros((len(found), window), np.int32)
-        for row, phrase in zip(self.rows, found, strict=True):
-            row[window - len(phrase) :] = phrase
+    """Different windows as rows of symbols (right-aligned), the words that the symbols stand for, and the items of each."""
+
+    def __init__(self, pairs: pa.Table, window: int):
+        windows = pairs.column("__window").combine_chunks().dictionary_encode()
+        words = pc.split_pattern(windows.dictionary, " ")
+        encoded = words.values.dictionary_encode()
+        self.words, symbols = encoded.dictionary, encoded.indices.to_numpy().astype(np.int32) + 1
+        self.bits = max(1, len(self.words).bit_length())
+        self.lengths = np.diff(words.offsets.to_numpy()).astype(np.int64)
+        self.rows = np.zeros((len(words), window), np.int32)
+        self.rows[np.arange(window) >= window - self.lengths[:, None]] = symbols
+        items = pairs.column("__item").combine_chunks().dictionary_encode()
+        known = np.asarray(items.is_valid())
+        of, item = windows.indices.to_numpy()[known], items.indices.filter(items.is_valid()).to_numpy()
+        order = np.argsort(of, kind="stable")
+        self.names, self.item_codes, self.item_ends = items.dictionary, item[order], np.searchsorted(of[order], np.arange(len(words) + 1))
+
+    def symbols(self) -> dict[bytes, int]:
+        return {w.as_buffer().to_pybytes(): k for k, w in enumerate(self.words, 1)}
+
+    def items(self, phrase: int) -> list[str]:
+        return self.names.take(pa.array(self.item_codes[self.item_ends[phrase] : self.item_ends[phrase + 1]], pa.int32())).to_pylist()
 
 
 def search_shard(pieces: list[tuple[int, int, np.ndarray]], phrases: Phrases) -> Iterator[tuple[int, int, int, int]]:
@@ -220,6 +243,7 @@ def _pass(df: DataFrame, phrases: Phrases, window: int, shard_words: int) -> Dat
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = sent.value
+        symbols = phrases.symbols()
         held: list[pa.RecordBatch] = []
         pieces: list[tuple[int, int, np.ndarray]] = []
         counts: list[int] = []
@@ -242,7 +266,7 @@ def _pass(df: DataFrame, phrases: Phrases, window: int, shard_words: int) -> Dat
                     if (own := hits.get(done + k)) is not None:
                         spans = merge_spans([*zip(found["__first"][k] or [], found["__end"][k] or [], strict=True), *((f, e) for f, e, _ in own)])
                         found["__first"][k], found["__end"][k] = [s[0] for s in spans], [s[1] for s in spans]
-                        found["__items"][k] = sorted(set(found["__items"][k] or []).union(*(phrases.items[p] for p in {p for _, _, p in own})))
+                        found["__items"][k] = sorted(set(found["__items"][k] or []).union(*(phrases.items(p) for p in {p for _, _, p in own})))
                 new = {
                     "__n_words": pa.array(counts[done : done + batch.num_rows], pa.int64()), "__first": pa.array(found["__first"], pa.list_(pa.int64())),
                     "__end": pa.array(found["__end"], pa.list_(pa.int64())), "__items": pa.array(found["__items"], pa.list_(pa.string())),
@@ -257,7 +281,7 @@ def _pass(df: DataFrame, phrases: Phrases, window: int, shard_words: int) -> Dat
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
                 for text in batch.column("__text"):
-                    ids = np.fromiter(map(phrases.symbols.get, found := words_of(text.as_py()), itertools.repeat(0)), np.int32, len(found))
+                    ids = np.fromiter(map(symbols.get, found := words_of(text.as_py()), itertools.repeat(0)), np.int32, len(found))
                     row = len(counts)
                     counts.append(len(ids))
                     for first in range(0, max(len(ids), 1), shard_words):
@@ -275,11 +299,11 @@ def _pass(df: DataFrame, phrases: Phrases, window: int, shard_words: int) -> Dat
     return df.mapInArrow(search, schema)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """Add to each row n_words, spans (merged, as words first to end) and items (ids as sorted strings).
 
-    The items are read in blocks of bounded size, each searched for in one pass over all texts. Columns of these
-    names are replaced.
+    The items' windows are made and told apart in Spark and sent in blocks of about ``block_pairs``, dealt by window and
+    item, each searched for in one pass over all texts. Columns of these names are replaced.
 
     Edge cases: null, empty and word-less texts have no words and no hits; an item without words is in no text;
     one shorter than the window is one window; windows of items with null ids give spans but no items; repeated
@@ -291,12 +315,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
         *keep, F.col(text_col).alias("__text"), F.lit(None).cast("long").alias("__n_words"), F.lit(None).cast("array<long>").alias("__first"),
         F.lit(None).cast("array<long>").alias("__end"), F.lit(None).cast("array<string>").alias("__items"),
     )
-    items = benchmark.select(F.col(item_col).cast("string").alias("__i"), F.col(item_text_col).alias("__t")).where("__t is not null")
-    size = items.agg(F.sum(F.octet_length("__t"))).first()[0] or 0
-    blocks = size // block_bytes + 1
+    pairs = item_windows(benchmark, item_col, item_text_col, window)
+    blocks = pairs.count() // block_pairs + 1
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("__t"), F.lit(blocks)) == block) if blocks > 1 else items
-        df = _pass(df, Phrases([(r[0], r[1]) for r in part.collect()], window), window, shard_words)
+        part = pairs.where(F.pmod(F.xxhash64("__window", "__item"), F.lit(blocks)) == block)
+        df = _pass(df, Phrases(part.toArrow(), window), window, shard_words)
     spans = F.transform(F.arrays_zip(F.coalesce("__first", F.array().cast("array<long>")).alias("first"), F.coalesce("__end", F.array().cast("array<long>")).alias("end")), lambda s: F.struct(s["first"].alias("first"), s["end"].alias("end")))
     return df.select(*keep, F.col("__n_words").alias("n_words"), spans.alias("spans"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
 
@@ -340,5 +363,5 @@ def op8_fm_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        (F.size("spans") > 0).alias("contaminated"), "spans",
+        (F.size("spans") > 0).alias("contaminated"),
     )

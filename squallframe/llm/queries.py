@@ -26,4 +26,29 @@ QUERIES = {
     "op10_jpeg_media": op10_jpeg_media,
 }
 
-ORACLES: dict[str, str] = {}
+WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+#: Windows are compared as strings here, position by position.
+LEAKS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {WORDS_SQL} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS_SQL} AS w FROM benchmark),
+item_windows AS (
+    SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(list_slice(w, k, k + least(len(w), 10) - 1), ' ') AS win
+    FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM b WHERE len(w) > 0)
+),
+lengths AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+    SELECT row, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS win
+    FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d JOIN lengths ON len(w) >= n)
+),
+hits AS (SELECT DISTINCT row, n, k, item FROM doc_windows JOIN item_windows USING (n, win)),
+positions AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(k, k + n)) AS p FROM hits) GROUP BY row),
+items AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN positions USING (row) LEFT JOIN items USING (row)
+"""
+
+#: The others can't be written in SQL: signatures with alignment, DOM trees, CRC-32, filters, ranks to a fixed point, archives,
+#: a model fitted by gradient steps, images.
+ORACLES: dict[str, str] = {"op8_fm_leaks": LEAKS_SQL}

@@ -7,11 +7,12 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from squallframe.llm import components, decontamination, html, jpeg, lm, mixing, neardup, quality, sharding, urls, warc
+from squallframe.llm import components, decontamination, html, jpeg, lm, mixing, neardup, quality, queries, sharding, urls, warc
 
 WORDS = [f"wort{k}" for k in range(300)]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, media string, __rank string, score string, spans string"
@@ -245,6 +246,16 @@ def test_names_do_not_drop_most_of_a_page(name):
     assert html.main_text(other) == " ".join(["This is a sentence of the article."] * 40)
 
 
+def test_leaks_equal_their_sql(spark):
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{data}/{name}.parquet'")
+    want = con.execute(queries.ORACLES["op8_fm_leaks"]).fetchall()
+    got = queries.QUERIES["op8_fm_leaks"](spark, data).select(*(c[0] for c in con.description)).collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_alignment_equals_dynamic_programming():
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -373,7 +384,7 @@ def test_leaks_equal_brute_force(spark, docs, empty):
     bench = spark.createDataFrame(items, "item_id long, text string")
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda t: pattern.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    for options in ({}, {"shard_words": 50}, {"block_bytes": 200}):
+    for options in ({}, {"shard_words": 50}, {"block_pairs": 7}):
         for r in decontamination.find_leaks(docs, bench, **options).where("doc_id is not null").collect():
             own, hit, found = words(TEXTS[r.doc_id]), set(), set()
             for item, text in items:
