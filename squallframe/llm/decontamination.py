@@ -16,7 +16,7 @@ from squallframe.llm.common import ASCII_UPPER, materialize, table
 
 WINDOW = 10
 #: Words of one shard, which is one index; longer texts go over several, overlapping by a window.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 750_000
 #: Every so many positions of a shard are stored in its index.
 SAMPLED = 8
 #: Windows of benchmark items are sent to the tasks in blocks of about so many (window, item) pairs, one pass over the texts

@@ -52,7 +52,7 @@ class WordHashes(dict):
     """64-bit hashes of words, the latest ones remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
