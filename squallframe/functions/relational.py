@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from squallframe.functions.geo import haversine
+from squallframe.functions.geo import EARTH_KM, haversine
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -34,20 +36,27 @@ def islands(df: DataFrame, keys: list[str], at: str, gap: float) -> DataFrame:
     return df.withColumn("__broke", broke).withColumn("__island", F.sum("__broke").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__broke")
 
 
-def within_km(left: DataFrame, right: DataFrame, l_lat: str, l_lon: str, r_lat: str, r_lon: str, km: float, equal: list[str] = (), max_lat: float = 70.0) -> DataFrame:
+def within_km(left: DataFrame, right: DataFrame, l_lat: str, l_lon: str, r_lat: str, r_lon: str, km: float, equal: list[str] = ()) -> DataFrame:
     """Pairs of rows at most ``km`` apart, by an equi-join on cells of a grid and the exact distance (column km).
 
-    Right rows are put into the cells around their own. Cells are ``km`` high and at ``max_lat`` degrees as wide, so
-    that neighbours are enough up to there; longitudes wrap around.
+    Bands of latitude are ``km`` high. Each is cut into columns that are as wide as ``km`` is at the highest latitude of the band
+    and its neighbours, so that right rows need to stand in their own and the neighbouring cells only; longitudes wrap
+    around, and bands near the poles, where fewer than three columns fit, are taken whole.
     """
-    high = km / 110.574
-    columns = max(3, int(360.0 / (km / (111.32 * 0.342 if max_lat >= 70 else 111.32))))
-    wide = 360.0 / columns
-    cell = lambda lat, lon: (F.floor(F.col(lat) / high), F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / wide))
-    a, b = cell(l_lat, l_lon)
-    l = left.withColumn("__cy", a).withColumn("__cx", F.pmod(b, F.lit(columns)))
-    a, b = cell(r_lat, r_lon)
+    high = math.degrees(km / EARTH_KM) * (1 + 1e-9)
+    column_of = lambda lon, columns: F.floor(F.pmod(F.col(lon) + 180, F.lit(360.0)) / 360.0 * columns)
+
+    def columns_of(band: Column) -> Column:
+        top = F.least(F.lit(90.0), (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * high)
+        sine = F.least(F.lit(1.0), math.sin(km / EARTH_KM / 2) * (1 + 1e-9) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12)))
+        columns = F.floor(180.0 / F.degrees(F.asin(sine)))
+        return F.when(columns >= 3, columns).otherwise(1)
+
+    l = left.withColumn("__cy", F.floor(F.col(l_lat) / high))
+    l = l.withColumn("__cx", F.least(column_of(l_lon, columns_of(F.col("__cy"))), columns_of(F.col("__cy")) - 1))
     near = F.sequence(F.lit(-1), F.lit(1))
-    r = right.withColumn("__dy", F.explode(near)).withColumn("__dx", F.explode(near)).withColumn("__cy", a + F.col("__dy")).withColumn("__cx", F.pmod(b + F.col("__dx"), F.lit(columns))).drop("__dy", "__dx")
+    r = right.withColumn("__dy", F.explode(near)).withColumn("__cy", F.floor(F.col(r_lat) / high) + F.col("__dy")).withColumn("__n", columns_of(F.col("__cy")))
+    r = r.withColumn("__dx", F.explode(F.when(F.col("__n") >= 3, near).otherwise(F.array(F.lit(0)))))
+    r = r.withColumn("__cx", F.pmod(F.least(column_of(r_lon, F.col("__n")), F.col("__n") - 1) + F.col("__dx"), F.col("__n"))).drop("__dy", "__dx", "__n")
     out = l.join(r, ["__cy", "__cx", *equal]).withColumn("km", haversine(F.col(l_lat), F.col(l_lon), F.col(r_lat), F.col(r_lon)))
     return out.where(F.col("km") <= km).drop("__cy", "__cx")

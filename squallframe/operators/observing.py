@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from squallframe.functions import geo
 from squallframe.functions.relational import islands, latest, upsert, within_km
-from squallframe.sources.observations import OBS_SQL, TARGETS, observations, regions, targets
+from squallframe.sources.observations import OBS_SQL, REGIONS, TARGETS, observations, regions, targets
 
 AS_OF = 43_200
 QUERIES: dict = {}
@@ -29,9 +29,9 @@ HAV_TARGET = geo.haversine_sql("o.lat", "o.lon", "t.t_lat", "t.t_lon")
 
 
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations fanned out to all regions whose circle they are in; regions are a fixed small dimension."""
-    o, r = observations(spark, sf_dir), F.broadcast(regions(spark))
-    return o.join(r, geo.haversine(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")) <= F.col("radius_km"))
+    """Observations fanned out to all regions whose circle they are in, by the cell join with the largest radius."""
+    near = within_km(observations(spark, sf_dir), regions(spark), "lat", "lon", "c_lat", "c_lon", max(r[3] for r in REGIONS))
+    return near.where("km <= radius_km").drop("km")
 
 
 @query("flagship_region_source", f"SELECT region_id, source, kind, count(*) AS n, max(intensity) AS strongest, round(max(quality), 4) AS best_quality FROM obs o JOIN regions r ON {HAV_REGION} <= r.radius_km GROUP BY ALL")
@@ -41,7 +41,7 @@ def flagship(spark, sf_dir):
 
 @query("S10_lightning_source", "SELECT CASE WHEN x >= -37.5 AND x <= 80 THEN 'meteosat' WHEN x >= -106 AND x < -37.5 THEN 'goes19' WHEN x < -106 OR x >= 145 THEN 'goes18' ELSE 'none' END AS seen_by, count(*) AS n FROM (SELECT ((((lon * 40 + 180) % 360) + 360) % 360) - 180 AS x FROM obs WHERE kind = 'lightning') GROUP BY 1")
 def lightning_sources(spark, sf_dir):
-    return observations(spark, sf_dir).where("kind = 'lightning'").groupBy(geo.lightning_source(F.col("lon") * 40).alias("seen_by")).agg(F.count(F.lit(1)).alias("n"))
+    return observations(spark, sf_dir, "lightning").groupBy(geo.lightning_source(F.col("lon") * 40).alias("seen_by")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _steps_sql(x: str, levels: list[tuple[float, int]], otherwise: int) -> str:
@@ -60,7 +60,7 @@ BEARING_SQL = "(((degrees(atan2(sin(radians(t.t_lon - o.lon)) * cos(radians(t.t_
 
 @query("F17_compass_to_targets", f"SELECT target_id, ({geo.COMPASS!r})[CAST(floor((b + 11.25) / 22.5) AS BIGINT) % 16 + 1] AS compass, count(*) AS n FROM (SELECT t.target_id, {BEARING_SQL} AS b FROM obs o CROSS JOIN targets t WHERE o.kind = 'radar') GROUP BY 1, 2")
 def compass(spark, sf_dir):
-    o = observations(spark, sf_dir).where("kind = 'radar'")
+    o = observations(spark, sf_dir, "radar")
     places = F.array(*[F.struct(F.lit(t).alias("target_id"), F.lit(a).alias("t_lat"), F.lit(b).alias("t_lon")) for t, a, b in TARGETS])
     rows = o.select("lat", "lon", F.inline(places))
     return rows.groupBy("target_id", geo.cardinal(geo.bearing(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"))).alias("compass")).agg(F.count(F.lit(1)).alias("n"))
@@ -74,37 +74,37 @@ def keys(spark, sf_dir):
 
 @query("F6_usable_corroboration", "SELECT source, count(*) AS n FROM obs WHERE kind = 'radar' AND source IN ('nat', 'tile') AND intensity >= CASE WHEN source = 'tile' THEN 2 ELSE 1 END GROUP BY 1")
 def usable(spark, sf_dir):
-    return observations(spark, sf_dir).where("kind = 'radar' AND source IN ('nat', 'tile')").where(F.col("intensity") >= F.when(F.col("source") == "tile", 2).otherwise(1)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return observations(spark, sf_dir, "radar").where("source IN ('nat', 'tile')").where(F.col("intensity") >= F.when(F.col("source") == "tile", 2).otherwise(1)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("F9_wet_gauges", "SELECT station_id, count(*) AS n, round(max(rain_mm), 4) AS max_mm FROM obs WHERE kind = 'rain' AND rain_mm >= 0.1 GROUP BY 1")
 def wet_gauges(spark, sf_dir):
-    return observations(spark, sf_dir).where("kind = 'rain' AND rain_mm >= 0.1D").groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("rain_mm"), 4).alias("max_mm"))
+    return observations(spark, sf_dir, "rain").where("rain_mm >= 0.1D").groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("rain_mm"), 4).alias("max_mm"))
 
 
 @query("A2_weighted_centroids", "SELECT blob, frame_s, round(sum(CAST(round(lat * 1000) AS BIGINT) * greatest(intensity, 1)) / sum(greatest(intensity, 1)), 1) AS c_lat_milli, round(sum(CAST(round(lon * 1000) AS BIGINT) * greatest(intensity, 1)) / sum(greatest(intensity, 1)), 1) AS c_lon_milli FROM obs WHERE kind = 'radar' GROUP BY 1, 2")
 def centroids(spark, sf_dir):
     w, milli = F.greatest(F.col("intensity"), F.lit(1)), lambda c: F.round(F.col(c) * 1000).cast("long")
-    return observations(spark, sf_dir).where("kind = 'radar'").groupBy("blob", "frame_s").agg(F.round(F.sum(milli("lat") * w) / F.sum(w), 1).alias("c_lat_milli"), F.round(F.sum(milli("lon") * w) / F.sum(w), 1).alias("c_lon_milli"))
+    return observations(spark, sf_dir, "radar").groupBy("blob", "frame_s").agg(F.round(F.sum(milli("lat") * w) / F.sum(w), 1).alias("c_lat_milli"), F.round(F.sum(milli("lon") * w) / F.sum(w), 1).alias("c_lon_milli"))
 
 
 @query("A3_decayed_strike_centroids", f"SELECT blob, round(sum(lat * w) / sum(w), 4) AS c_lat, round(sum(lon * w) / sum(w), 4) AS c_lon, count(*) AS n FROM (SELECT *, greatest(0.1e0, 1 - ({AS_OF} - sim_s) / 300.0e0) AS w FROM obs WHERE kind = 'lightning' AND sim_s > {AS_OF - 3600} AND sim_s <= {AS_OF}) GROUP BY 1")
 def decayed(spark, sf_dir, as_of: int = AS_OF):
     w = F.greatest(F.lit(0.1), 1 - (as_of - F.col("sim_s")) / 300.0)
-    o = observations(spark, sf_dir).where(f"kind = 'lightning' AND sim_s > {as_of - 3600} AND sim_s <= {as_of}").withColumn("w", w)
+    o = observations(spark, sf_dir, "lightning").where(f"sim_s > {as_of - 3600} AND sim_s <= {as_of}").withColumn("w", w)
     return o.groupBy("blob").agg(F.round(F.sum(F.col("lat") * F.col("w")) / F.sum("w"), 4).alias("c_lat"), F.round(F.sum(F.col("lon") * F.col("w")) / F.sum("w"), 4).alias("c_lon"), F.count(F.lit(1)).alias("n"))
 
 
 @query("A4_strike_counts", f"SELECT blob, count(*) FILTER (sim_s > {AS_OF - 300}) AS last_5, count(*) FILTER (sim_s > {AS_OF - 3600}) AS last_60 FROM obs WHERE kind = 'lightning' AND sim_s <= {AS_OF} GROUP BY 1")
 def strikes(spark, sf_dir, as_of: int = AS_OF):
-    return observations(spark, sf_dir).where(f"kind = 'lightning' AND sim_s <= {as_of}").groupBy("blob").agg(F.count_if(F.col("sim_s") > as_of - 300).alias("last_5"), F.count_if(F.col("sim_s") > as_of - 3600).alias("last_60"))
+    return observations(spark, sf_dir, "lightning").where(f"sim_s <= {as_of}").groupBy("blob").agg(F.count_if(F.col("sim_s") > as_of - 300).alias("last_5"), F.count_if(F.col("sim_s") > as_of - 3600).alias("last_60"))
 
 
 CELLS_SQL = ", cells AS (SELECT source, frame_s, CAST(floor(lat / 0.1e0) AS BIGINT) AS y, CAST(floor(lon / 0.1e0) AS BIGINT) AS x, max(intensity) AS max_intensity, max(quality) AS max_quality, count(*) AS n FROM obs WHERE kind = 'radar' AND intensity > 0 GROUP BY 1, 2, 3, 4)"
 
 
 def grid_cells(spark, sf_dir):
-    o = observations(spark, sf_dir).where("kind = 'radar' AND intensity > 0")
+    o = observations(spark, sf_dir, "radar").where("intensity > 0")
     return o.groupBy("source", "frame_s", geo.grid_key(F.col("lat")).alias("y"), geo.grid_key(F.col("lon")).alias("x")).agg(F.max("intensity").alias("max_intensity"), F.max("quality").alias("max_quality"), F.count(F.lit(1)).alias("n"))
 
 
@@ -141,10 +141,9 @@ DIRECTED_SQL = PAIRS_SQL + ", directed AS (SELECT a AS src, b AS dst, frame_s, n
 
 def bias_samples(spark, sf_dir):
     """Both directions of each comparison; the intensity difference changes its sign."""
-    p = source_pairs(spark, sf_dir)
-    one = p.select(F.col("a").alias("src"), F.col("b").alias("dst"), "frame_s", F.col("na").alias("n_from"), F.col("nb").alias("n_to"), "overlap", "bias")
-    other = p.select(F.col("b").alias("src"), F.col("a").alias("dst"), "frame_s", F.col("nb").alias("n_from"), F.col("na").alias("n_to"), "overlap", (0 - F.col("bias")).alias("bias"))
-    d = one.unionByName(other)
+    way = lambda src, dst, n_from, n_to, bias: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(n_from).alias("n_from"), F.col(n_to).alias("n_to"), bias.alias("bias"))
+    both = F.array(way("a", "b", "na", "nb", F.col("bias")), way("b", "a", "nb", "na", 0 - F.col("bias")))
+    d = source_pairs(spark, sf_dir).select("frame_s", "overlap", F.inline(both))
     return d.withColumns({"scope": F.concat(F.lit("frame"), F.expr("frame_s DIV 21600").cast("string")), "detection": F.col("overlap") / F.col("n_from"), "extra": F.greatest(F.lit(0), F.col("n_to") - F.col("overlap")) / F.col("n_to"), "wet": F.col("n_to") / F.col("n_from")})
 
 
@@ -153,13 +152,13 @@ def bias(spark, sf_dir):
     return bias_samples(spark, sf_dir).select("src", "dst", "frame_s", "scope", *[F.round(c, 4).alias(c) for c in ("detection", "extra", "wet", "bias")])
 
 
-@query("A9_D5_bias_profiles", DIRECTED_SQL + " SELECT coalesce(scope, '*') AS scope, src, dst, count(*) AS n, round(avg(detection), 4) AS detection, round(avg(bias), 4) AS bias, CASE WHEN count(*) < 12 THEN 'none' WHEN count(*) < 30 THEN 'low' WHEN count(*) < 100 THEN 'medium' ELSE 'high' END AS confidence FROM samples GROUP BY GROUPING SETS ((scope, src, dst), (src, dst))")
+@query("A9_D5_bias_profiles", DIRECTED_SQL + " SELECT coalesce(scope, '*') AS scope, src, dst, count(*) AS n, round(avg(detection), 4) AS detection, round(avg(bias), 4) AS bias, CASE WHEN count(*) < 12 THEN 'insufficient' WHEN count(*) < 30 THEN 'low' WHEN count(*) < 100 THEN 'medium' ELSE 'high' END AS confidence FROM samples GROUP BY GROUPING SETS ((scope, src, dst), (src, dst))")
 def profiles(spark, sf_dir):
     """Profiles for each scope and for all, in one pass by grouping sets."""
     s = bias_samples(spark, sf_dir)
     g = s.groupingSets([[F.col("scope"), F.col("src"), F.col("dst")], [F.col("src"), F.col("dst")]], F.col("scope"), F.col("src"), F.col("dst"))
     out = g.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("detection"), 4).alias("detection"), F.round(F.avg("bias"), 4).alias("bias"))
-    tier = F.when(F.col("n") < 12, "none").when(F.col("n") < 30, "low").when(F.col("n") < 100, "medium").otherwise("high")
+    tier = F.when(F.col("n") < 12, "insufficient").when(F.col("n") < 30, "low").when(F.col("n") < 100, "medium").otherwise("high")
     return out.select(F.coalesce("scope", F.lit("*")).alias("scope"), "src", "dst", "n", "detection", "bias", tier.alias("confidence"))
 
 
@@ -171,7 +170,7 @@ def totals(spark, sf_dir):
 @query("A16_gauge_summary", "SELECT blob, count(*) AS n, round(avg(CASE WHEN rain_mm >= 0.1 THEN rain_mm END), 4) AS mean_wet, round(min(pressure), 4) AS min_p, round(median(pressure), 4) AS median_p, round((((degrees(atan2(sum(sin(radians(intensity * 45))), sum(cos(radians(intensity * 45))))) + 360) % 360) + 360) % 360, 2) AS wind_dir FROM obs WHERE kind = 'rain' GROUP BY 1")
 def gauges(spark, sf_dir):
     angle = F.radians(F.col("intensity") * 45)
-    return observations(spark, sf_dir).where("kind = 'rain'").groupBy("blob").agg(
+    return observations(spark, sf_dir, "rain").groupBy("blob").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("rain_mm") >= 0.1, F.col("rain_mm"))), 4).alias("mean_wet"), F.round(F.min("pressure"), 4).alias("min_p"),
         F.round(F.median("pressure"), 4).alias("median_p"), F.round(F.pmod(F.degrees(F.atan2(F.sum(F.sin(angle)), F.sum(F.cos(angle)))) + 360, F.lit(360.0)), 2).alias("wind_dir"),
     )
@@ -179,33 +178,33 @@ def gauges(spark, sf_dir):
 
 @query("W3_frame_runs", ", f AS (SELECT DISTINCT station_id, frame_s FROM obs WHERE kind = 'radar'), g AS (SELECT *, CASE WHEN frame_s - lag(frame_s) OVER w > 1200 THEN 1 ELSE 0 END AS broke FROM f WINDOW w AS (PARTITION BY station_id ORDER BY frame_s)), i AS (SELECT *, sum(broke) OVER (PARTITION BY station_id ORDER BY frame_s ROWS UNBOUNDED PRECEDING) AS island FROM g) SELECT station_id, CAST(island AS BIGINT) AS run, min(frame_s) AS first_s, max(frame_s) AS last_s, count(*) AS frames FROM i GROUP BY 1, 2")
 def frame_runs(spark, sf_dir):
-    f = observations(spark, sf_dir).where("kind = 'radar'").select("station_id", "frame_s").distinct()
+    f = observations(spark, sf_dir, "radar").select("station_id", "frame_s").distinct()
     return islands(f, ["station_id"], "frame_s", 1200).groupBy("station_id", F.col("__island").cast("long").alias("run")).agg(F.min("frame_s").alias("first_s"), F.max("frame_s").alias("last_s"), F.count(F.lit(1)).alias("frames"))
 
 
 @query("W5_latest_cells", ", m AS (SELECT o.*, max(sim_s) OVER (PARTITION BY blob) AS newest FROM obs o WHERE kind = 'radar') SELECT blob, event_id, sim_s FROM m WHERE newest - sim_s <= 60")
 def latest_cells(spark, sf_dir):
-    r = observations(spark, sf_dir).where("kind = 'radar'")
+    r = observations(spark, sf_dir, "radar")
     newest = F.broadcast(r.groupBy("blob").agg(F.max("sim_s").alias("newest")))  # four rows
     return r.join(newest, "blob").where("newest - sim_s <= 60").select("blob", "event_id", "sim_s")
 
 
 @query("W9_intensity_trend", ", f AS (SELECT blob, frame_s, max(dbz) AS m FROM obs WHERE kind = 'radar' GROUP BY 1, 2) SELECT blob, round((max_by(m, frame_s) - min_by(m, frame_s)) / ((max(frame_s) - min(frame_s)) / 3600.0e0), 4) AS dbz_per_hour FROM f GROUP BY 1")
 def trend(spark, sf_dir):
-    f = observations(spark, sf_dir).where("kind = 'radar'").groupBy("blob", "frame_s").agg(F.max("dbz").alias("m"))
+    f = observations(spark, sf_dir, "radar").groupBy("blob", "frame_s").agg(F.max("dbz").alias("m"))
     return f.groupBy("blob").agg(F.round((F.max_by("m", "frame_s") - F.min_by("m", "frame_s")) / ((F.max("frame_s") - F.min("frame_s")) / 3600.0), 4).alias("dbz_per_hour"))
 
 
 @query("T1_linear_motion", ", f AS (SELECT blob, frame_s, avg(lat) AS y, avg(lon) AS x FROM obs WHERE kind = 'radar' GROUP BY 1, 2) SELECT blob, round(regr_slope(y, frame_s) * 3600 * 110.574e0, 3) AS north_kmh, round(regr_slope(x, frame_s) * 3600, 4) AS east_deg_h, round((regr_r2(y, frame_s) + regr_r2(x, frame_s)) / 2, 3) AS fit FROM f GROUP BY 1")
 def motion(spark, sf_dir):
-    f = observations(spark, sf_dir).where("kind = 'radar'").groupBy("blob", "frame_s").agg(F.avg("lat").alias("y"), F.avg("lon").alias("x"))
+    f = observations(spark, sf_dir, "radar").groupBy("blob", "frame_s").agg(F.avg("lat").alias("y"), F.avg("lon").alias("x"))
     t = F.col("frame_s")
     return f.groupBy("blob").agg(F.round(F.regr_slope("y", t) * 3600 * 110.574, 3).alias("north_kmh"), F.round(F.regr_slope("x", t) * 3600, 4).alias("east_deg_h"), F.round((F.regr_r2("y", t) + F.regr_r2("x", t)) / 2, 3).alias("fit"))
 
 
 @query("O3_newest_strikes", "SELECT event_id, sim_s, round(lat, 4) AS lat, round(lon, 4) AS lon FROM obs WHERE kind = 'lightning' ORDER BY sim_s DESC, event_id LIMIT 300")
 def newest_strikes(spark, sf_dir):
-    return observations(spark, sf_dir).where("kind = 'lightning'").orderBy(F.desc("sim_s"), "event_id").limit(300).select("event_id", "sim_s", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"))
+    return observations(spark, sf_dir, "lightning").orderBy(F.desc("sim_s"), "event_id").limit(300).select("event_id", "sim_s", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"))
 
 
 @query("J1_region_fanout", f"SELECT region_id, event_id, round({HAV_REGION}, 3) AS km FROM obs o JOIN regions r ON {HAV_REGION} <= r.radius_km")
@@ -235,7 +234,7 @@ def gauge_verification(spark, sf_dir):
 @query("J6_interval_spatial", f"SELECT a.event_id, count(*) AS confirmations, round(min({geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}), 3) AS nearest_km FROM obs a JOIN obs b ON a.kind = 'radar' AND b.kind = 'radar' AND a.source = 'comp' AND b.source <> 'comp' AND abs(a.sim_s - b.sim_s) <= 900 AND {geo.haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 12 GROUP BY 1")
 def corroborated(spark, sf_dir):
     """Composite cells with other sources' cells within 15 minutes and 12 km: buckets of time and place, then exact."""
-    r = observations(spark, sf_dir).where("kind = 'radar'").select("event_id", "source", "sim_s", "lat", "lon")
+    r = observations(spark, sf_dir, "radar").select("event_id", "source", "sim_s", "lat", "lon")
     a = r.where("source = 'comp'").select("event_id", F.col("sim_s").alias("s"), F.col("lat").alias("y"), F.col("lon").alias("x"), F.expr("sim_s DIV 900").alias("slot"))
     b = r.where("source <> 'comp'").select("sim_s", "lat", "lon", F.explode(F.expr("array(sim_s DIV 900 - 1, sim_s DIV 900, sim_s DIV 900 + 1)")).alias("slot"))
     near = within_km(a, b, "y", "x", "lat", "lon", 12.0, ["slot"]).where("abs(s - sim_s) <= 900")
@@ -245,7 +244,7 @@ def corroborated(spark, sf_dir):
 @query("J12_pressure_delta", ", p AS (SELECT station_id, sim_s, event_id, pressure, max(sim_s) OVER (PARTITION BY station_id) AS newest FROM obs WHERE kind = 'rain'), now_ AS (SELECT station_id, sim_s AS newest, pressure AS p_now FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY sim_s DESC, event_id) AS n FROM p) WHERE n = 1), then_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY abs(sim_s - (newest - 3600)), sim_s, event_id) AS n FROM p WHERE sim_s < newest AND abs(sim_s - (newest - 3600)) <= 480) WHERE n = 1) SELECT n.station_id, round(p_now - pressure, 4) AS delta, CASE WHEN p_now - pressure <= -2 THEN 'rapid fall' WHEN p_now - pressure <= -1 THEN 'falling' WHEN p_now - pressure >= 2 THEN 'rapid rise' WHEN p_now - pressure >= 1 THEN 'rising' ELSE 'stable' END AS trend FROM now_ n JOIN then_ t USING (station_id)")
 def pressure(spark, sf_dir):
     """As-of: each station's reading nearest an hour before its latest, within eight minutes."""
-    p = observations(spark, sf_dir).where("kind = 'rain'").select("station_id", "sim_s", "event_id", "pressure")
+    p = observations(spark, sf_dir, "rain").select("station_id", "sim_s", "event_id", "pressure")
     now = latest(p, ["station_id"], F.desc("sim_s"), F.col("event_id")).select("station_id", F.col("sim_s").alias("newest"), F.col("pressure").alias("p_now"))
     off = F.abs(F.col("sim_s") - (F.col("newest") - 3600))
     then = latest(p.join(now, "station_id").where("sim_s < newest").where(off <= 480), ["station_id"], off, F.col("sim_s"), F.col("event_id"))
@@ -265,7 +264,7 @@ def runs(spark, sf_dir):
 
 @query("M1_frame_upsert", ", old AS (SELECT source, frame_s, count(*) AS n, max(dbz) AS top FROM obs WHERE kind = 'radar' AND event_id % 2 = 0 GROUP BY 1, 2), new AS (SELECT source, frame_s, count(*) AS n, CASE WHEN count(*) > 2 THEN max(dbz) END AS top FROM obs WHERE kind = 'radar' AND event_id % 2 = 1 AND frame_s >= 20000 GROUP BY 1, 2) SELECT source, frame_s, CASE WHEN w.n IS NULL THEN o.n ELSE w.n END AS n, round(coalesce(w.top, o.top), 4) AS top FROM old o FULL JOIN new w USING (source, frame_s)")
 def frame_upsert(spark, sf_dir):
-    r = observations(spark, sf_dir).where("kind = 'radar'")
+    r = observations(spark, sf_dir, "radar")
     old = r.where("event_id % 2 = 0").groupBy("source", "frame_s").agg(F.count(F.lit(1)).alias("n"), F.max("dbz").alias("top"))
     new = r.where("event_id % 2 = 1 AND frame_s >= 20000").groupBy("source", "frame_s").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) > 2, F.max("dbz")).alias("top"))
     return upsert(old, new, ["source", "frame_s"], ["top"]).withColumn("top", F.round("top", 4))
@@ -274,7 +273,7 @@ def frame_upsert(spark, sf_dir):
 @query("N1_nearest_cell_to_target", f", d AS (SELECT t.target_id, o.event_id, {HAV_TARGET} AS km FROM targets t JOIN obs o ON o.kind = 'radar' AND o.intensity > 0), q AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY km, event_id) AS n FROM d) SELECT target_id, event_id, round(km, 3) AS km FROM q WHERE n = 1")
 def nearest_cell(spark, sf_dir):
     """The minimum is taken in the map tasks; targets are a fixed small dimension."""
-    o = observations(spark, sf_dir).where("kind = 'radar' AND intensity > 0")
+    o = observations(spark, sf_dir, "radar").where("intensity > 0")
     places = F.array(*[F.struct(F.lit(t).alias("target_id"), F.lit(a).alias("t_lat"), F.lit(b).alias("t_lon")) for t, a, b in TARGETS])
     rows = o.select("event_id", "lat", "lon", F.inline(places)).withColumn("km", geo.haversine(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon")))
     best = rows.groupBy("target_id").agg(F.min(F.struct("km", "event_id")).alias("b"))

@@ -39,33 +39,33 @@ def points_in_ring(spark, sf_dir):
 
 @query("A13_regional_pressure", "SELECT blob, sim_s // 3600 AS hour, round(median(pressure), 4) AS median_pressure, count(*) AS n FROM obs WHERE kind = 'rain' GROUP BY 1, 2 HAVING count(*) >= 3")
 def regional_pressure(spark, sf_dir):
-    r = observations(spark, sf_dir).where("kind = 'rain'")
+    r = observations(spark, sf_dir, "rain")
     return r.groupBy("blob", F.expr("sim_s DIV 3600").alias("hour")).agg(F.round(F.median("pressure"), 4).alias("median_pressure"), rows()).where("n >= 3")
 
 
 @query("A17_image_sources", "SELECT source, count(*) AS n, round(avg(intensity) FILTER (intensity > 0), 3) AS mean_level, max(intensity) FILTER (intensity > 0) AS top_level FROM obs WHERE kind = 'radar' GROUP BY 1")
 def image_sources(spark, sf_dir):
     level = F.when(F.col("intensity") > 0, F.col("intensity"))
-    return observations(spark, sf_dir).where("kind = 'radar'").groupBy("source").agg(rows(), F.round(F.avg(level), 3).alias("mean_level"), F.max(level).alias("top_level"))
+    return observations(spark, sf_dir, "radar").groupBy("source").agg(rows(), F.round(F.avg(level), 3).alias("mean_level"), F.max(level).alias("top_level"))
 
 
 @query("A19_station_union", "SELECT station_id, event_id, sim_s FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY sim_s DESC, event_id DESC) AS n FROM obs WHERE kind = 'rain') WHERE n = 1")
 def station_union(spark, sf_dir):
     """The last reading of each station, whatever region polled it; the maximum is taken in the map tasks first."""
-    last = observations(spark, sf_dir).where("kind = 'rain'").groupBy("station_id").agg(F.max(F.struct("sim_s", "event_id")).alias("l"))
+    last = observations(spark, sf_dir, "rain").groupBy("station_id").agg(F.max(F.struct("sim_s", "event_id")).alias("l"))
     return last.select("station_id", "l.event_id", "l.sim_s")
 
 
 @query("A25_bounding_boxes", "SELECT blob, frame_s, min(lat) AS lat_min, max(lat) AS lat_max, min(lon) AS lon_min, max(lon) AS lon_max FROM obs WHERE kind = 'radar' GROUP BY 1, 2")
 def bounding_boxes(spark, sf_dir):
     ends = [f(c).alias(f"{c}_{e}") for c in ("lat", "lon") for f, e in ((F.min, "min"), (F.max, "max"))]
-    return observations(spark, sf_dir).where("kind = 'radar'").groupBy("blob", "frame_s").agg(*ends)
+    return observations(spark, sf_dir, "radar").groupBy("blob", "frame_s").agg(*ends)
 
 
 @query("A24_U4_U5_coverage", ", e AS (SELECT region_id, c_lat - radius_km / 110.574e0 AS s, c_lat + radius_km / 110.574e0 AS n, c_lon - radius_km / (111.32e0 * greatest(0.1e0, cos(radians(c_lat)))) AS w, c_lon + radius_km / (111.32e0 * greatest(0.1e0, cos(radians(c_lat)))) AS e FROM regions), b AS (SELECT 'r' || blob AS region_id, source, min(lat) AS s2, max(lat) AS n2, min(lon) AS w2, max(lon) AS e2 FROM obs WHERE kind = 'radar' GROUP BY 1, 2) SELECT region_id, source, round(greatest(0e0, least(n, n2) - greatest(s, s2)) * greatest(0e0, least(e, e2) - greatest(w, w2)) / ((n - s) * (e - w)), 4) AS fraction FROM e JOIN b USING (region_id)")
 def coverage(spark, sf_dir):
     """Share of each region's evaluation box that a source's box covers."""
-    boxes = observations(spark, sf_dir).where("kind = 'radar'").groupBy(F.concat(F.lit("r"), F.col("blob")).alias("region_id"), "source").agg(F.min("lat").alias("s2"), F.max("lat").alias("n2"), F.min("lon").alias("w2"), F.max("lon").alias("e2"))
+    boxes = observations(spark, sf_dir, "radar").groupBy(F.concat(F.lit("r"), F.col("blob")).alias("region_id"), "source").agg(F.min("lat").alias("s2"), F.max("lat").alias("n2"), F.min("lon").alias("w2"), F.max("lon").alias("e2"))
     high, wide = F.col("radius_km") / 110.574, F.col("radius_km") / (111.32 * F.greatest(F.lit(0.1), F.cos(F.radians("c_lat"))))
     e = regions(spark).select("region_id", (F.col("c_lat") - high).alias("s"), (F.col("c_lat") + high).alias("n"), (F.col("c_lon") - wide).alias("w"), (F.col("c_lon") + wide).alias("e"))
     part = F.greatest(F.lit(0.0), F.least("n", "n2") - F.greatest("s", "s2")) * F.greatest(F.lit(0.0), F.least("e", "e2") - F.greatest("w", "w2"))
@@ -75,7 +75,7 @@ def coverage(spark, sf_dir):
 @query("W2_trailing_run", ", f AS (SELECT blob, frame_s, max(dbz) AS top FROM obs WHERE kind = 'radar' GROUP BY 1, 2), g AS (SELECT *, CASE WHEN top < 40 OR lead(frame_s) OVER (PARTITION BY blob ORDER BY frame_s) - frame_s > 1200 THEN 1 ELSE 0 END AS broke FROM f), h AS (SELECT *, sum(broke) OVER (PARTITION BY blob ORDER BY frame_s DESC ROWS UNBOUNDED PRECEDING) AS breaks FROM g) SELECT blob, count(*) FILTER (breaks = 0) AS frames FROM h GROUP BY 1")
 def trailing_run(spark, sf_dir):
     """Frames of 40 dBZ or more up to the latest, without a gap of more than 20 minutes."""
-    f = observations(spark, sf_dir).where("kind = 'radar'").groupBy("blob", "frame_s").agg(F.max("dbz").alias("top"))
+    f = observations(spark, sf_dir, "radar").groupBy("blob", "frame_s").agg(F.max("dbz").alias("top"))
     up, down = Window.partitionBy("blob").orderBy("frame_s"), Window.partitionBy("blob").orderBy(F.desc("frame_s"))
     broke = F.when((F.col("top") < 40) | (F.lead("frame_s").over(up) - F.col("frame_s") > 1200), 1).otherwise(0)
     h = f.withColumn("broke", broke).withColumn("breaks", F.sum("broke").over(down.rowsBetween(Window.unboundedPreceding, 0)))
@@ -85,7 +85,7 @@ def trailing_run(spark, sf_dir):
 @query("W4_warm_up", f", p AS (SELECT blob, sim_s, sim_s - lag(sim_s) OVER (PARTITION BY blob ORDER BY sim_s) AS gap FROM (SELECT DISTINCT blob, sim_s FROM obs WHERE kind = 'rain' AND sim_s BETWEEN {AS_OF - 1800} AND {AS_OF})) SELECT blob, count(*) AS n, count(*) >= 3 AND min(sim_s) <= {AS_OF - 1800 + 480} AND max(sim_s) >= {AS_OF - 600} AND max(gap) <= 900 AS warm FROM p GROUP BY 1")
 def warm_up(spark, sf_dir):
     """Whether samples of the last half hour start early, end late and leave no gap of more than 15 minutes."""
-    p = observations(spark, sf_dir).where(f"kind = 'rain' AND sim_s BETWEEN {AS_OF - 1800} AND {AS_OF}").select("blob", "sim_s").distinct()
+    p = observations(spark, sf_dir, "rain").where(f"sim_s BETWEEN {AS_OF - 1800} AND {AS_OF}").select("blob", "sim_s").distinct()
     p = p.withColumn("gap", F.col("sim_s") - F.lag("sim_s").over(Window.partitionBy("blob").orderBy("sim_s")))
     warm = (F.count(F.lit(1)) >= 3) & (F.min("sim_s") <= AS_OF - 1800 + 480) & (F.max("sim_s") >= AS_OF - 600) & (F.max("gap") <= 900)
     return p.groupBy("blob").agg(rows(), warm.alias("warm"))
@@ -94,7 +94,7 @@ def warm_up(spark, sf_dir):
 @query("W7_recent_history", ", f AS (SELECT blob, frame_s, count(*) AS cells FROM obs WHERE kind = 'radar' GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY blob ORDER BY frame_s DESC) AS k, max(frame_s) OVER (PARTITION BY blob) AS newest FROM f) SELECT blob, frame_s, cells FROM g WHERE k <= 20 AND newest - frame_s <= 3600")
 def recent_history(spark, sf_dir):
     """The last 20 points of each storm, none older than an hour."""
-    f = observations(spark, sf_dir).where("kind = 'radar'").groupBy("blob", "frame_s").agg(F.count(F.lit(1)).alias("cells"))
+    f = observations(spark, sf_dir, "radar").groupBy("blob", "frame_s").agg(F.count(F.lit(1)).alias("cells"))
     w = Window.partitionBy("blob").orderBy(F.desc("frame_s"))
     return f.withColumn("k", F.row_number().over(w)).withColumn("newest", F.first("frame_s").over(w)).where("k <= 20 AND newest - frame_s <= 3600").select("blob", "frame_s", "cells")
 
@@ -110,7 +110,7 @@ _CELLS_SQL = ", cell AS (SELECT blob, source, CAST(floor(lat / 0.1e0) AS BIGINT)
 
 
 def cells(spark, sf_dir):
-    o = observations(spark, sf_dir).where("kind = 'radar'")
+    o = observations(spark, sf_dir, "radar")
     return o.groupBy("blob", "source", geo.grid_key(F.col("lat")).alias("y"), geo.grid_key(F.col("lon")).alias("x")).agg(F.max("intensity").alias("top"))
 
 
@@ -143,7 +143,7 @@ _PLACE_KM = geo.haversine_sql("o.lat", "o.lon", "t.t_lat", "t.t_lon")
 @query("J15_nearest_place", f", d AS (SELECT o.event_id, t.target_id, row_number() OVER (PARTITION BY o.event_id ORDER BY {_PLACE_KM}, t.target_id) AS k FROM obs o JOIN targets t ON {_PLACE_KM} <= 100 WHERE o.kind = 'radar') SELECT event_id, target_id FROM d WHERE k = 1")
 def nearest_place(spark, sf_dir):
     """The place nearest to each cell, up to 100 km: the least of an array of distances, without a join or shuffle."""
-    o = observations(spark, sf_dir).where("kind = 'radar'")
+    o = observations(spark, sf_dir, "radar")
     near = F.array_min(F.array(*[F.struct(geo.haversine(F.col("lat"), F.col("lon"), F.lit(a), F.lit(b)).alias("km"), F.lit(t).alias("target_id")) for t, a, b in TARGETS]))
     return o.select("event_id", near.alias("p")).where("p.km <= 100").select("event_id", "p.target_id")
 

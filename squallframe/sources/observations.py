@@ -30,9 +30,20 @@ targets(target_id, t_lat, t_lon) AS (VALUES {", ".join(f"('{t}', {a}e0, {b}e0)"
 """
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, station_id, blob, sim_s, frame_s, kind, source, lat, lon, intensity, dbz, quality, rain_mm, pressure."""
+#: Event types of each kind of observation; all others are rain.
+EVENT_TYPES = {"lightning": ["view", "click"], "radar": ["purchase", "signup"]}
+
+
+def observations(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
+    """event_id, station_id, blob, sim_s, frame_s, kind, source, lat, lon, intensity, dbz, quality, rain_mm, pressure.
+
+    With a kind, only events of its types are read, by a filter that reaches the scan.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if kind:
+        others = [t for types in EVENT_TYPES.values() for t in types]
+        of_kind = F.col("event_type").isin(EVENT_TYPES[kind]) if kind in EVENT_TYPES else F.col("event_type").isNull() | ~F.col("event_type").isin(others)
+        events = events.where(of_kind)
     rows = events.select(
         "event_id", F.col("user_id").alias("station_id"), (F.col("user_id") % 4).alias("blob"), "event_type", "value",
         F.expr(f"(unix_micros(CAST(ts AS TIMESTAMP)) - {EPOCH_US}) DIV 60000000").alias("sim_s"), F.get_json_object("props", "$.k").cast("long").alias("k"),
@@ -40,7 +51,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.col("value")
     return rows.select(
         "event_id", "station_id", "blob", "sim_s", F.expr("(sim_s DIV 300) * 300").alias("frame_s"),
-        F.when(F.col("event_type").isin("view", "click"), "lightning").when(F.col("event_type").isin("purchase", "signup"), "radar").otherwise("rain").alias("kind"),
+        F.when(F.col("event_type").isin(EVENT_TYPES["lightning"]), "lightning").when(F.col("event_type").isin(EVENT_TYPES["radar"]), "radar").otherwise("rain").alias("kind"),
         F.when(F.col("event_id") % 3 == 0, "comp").when(F.col("event_id") % 3 == 1, "nat").otherwise("tile").alias("source"),
         F.expr("(50000 + blob * 900 + sim_s DIV 240 + (event_id * 7919) % 101 - 50) / 1000.0D").alias("lat"),
         F.expr("(3000 + blob * 700 + (sim_s DIV 60) * 5 + (event_id * 104729) % 151 - 75) / 1000.0D").alias("lon"),

@@ -39,8 +39,8 @@ def test_levels(spark):
 
 
 def test_cell_join_equals_all_pairs(spark):
-    a = spark.range(300).select((F.rand(1) * 130 - 65).alias("y"), (F.rand(2) * 360 - 180).alias("x"), F.col("id").alias("a")).cache()
-    b = spark.range(300).select((F.rand(3) * 130 - 65).alias("lat"), (F.rand(4) * 360 - 180).alias("lon"), F.col("id").alias("b")).cache()
+    a = spark.range(300).select((F.rand(1) * 180 - 90).alias("y"), (F.rand(2) * 360 - 180).alias("x"), F.col("id").alias("a")).cache()
+    b = spark.range(300).select((F.rand(3) * 180 - 90).alias("lat"), (F.rand(4) * 360 - 180).alias("lon"), F.col("id").alias("b")).cache()
     cells = within_km(a, b, "y", "x", "lat", "lon", 500.0)
     every = a.crossJoin(b).where(geo.haversine(F.col("y"), F.col("x"), F.col("lat"), F.col("lon")) <= 500.0)
     assert sorted(cells.select("a", "b").collect()) == sorted(every.select("a", "b").collect())
