@@ -12,11 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squallframe.llm.common import ASCII_UPPER, materialize, table
+from squallframe.llm.common import ASCII_UPPER, materialize, table, tidied
 
 WINDOW = 10
 #: Words of one shard, which is one index; longer texts go over several, overlapping by a window.
-SHARD_WORDS = 750_000
+SHARD_WORDS = 500_000
 #: Every so many positions of a shard are stored in its index.
 SAMPLED = 8
 #: Windows of benchmark items are sent to the tasks in blocks of about so many (window, item) pairs, one pass over the texts
@@ -296,7 +296,7 @@ def _pass(df: DataFrame, phrases: Phrases, window: int, shard_words: int) -> Dat
         yield from emit()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(search, schema)
+    return df.mapInArrow(lambda b: tidied(search(b)), schema)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
@@ -355,7 +355,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
             yield out.filter(pa.array(kept, pa.bool_()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return found.select(*names, "__spans").mapInArrow(cut, schema)
+    return found.select(*names, "__spans").mapInArrow(lambda b: tidied(cut(b)), schema)
 
 
 def op8_fm_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squallframe.llm.common import WORD, materialize, row_hash, table
+from squallframe.llm.common import WORD, arrow_batches, materialize, row_hash, table, tidied
 from squallframe.llm.components import components, near_components
 
 #: The least edit similarity of near duplicates, and words of a k-mer: with edits of a fifth of the words, spread evenly,
@@ -32,6 +32,8 @@ COUNTERS, CODES = 1024, np.array([0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110
 PIVOT_ROUNDS = 2
 #: Rows of a bucket for each of the parts into which it is dealt for the last comparison.
 PART_ROWS = 2000
+#: Rows that tasks exchange with Python at a time, which are as wide as texts or their sketches.
+BATCH_ROWS = 1000
 #: Widest band that is aligned by diagonals in one matrix, and the matrix's largest size.
 DIAGONAL_BAND, DIAGONAL_CELLS = 256, 20_000_000
 
@@ -52,7 +54,7 @@ class WordHashes(dict):
     """64-bit hashes of words, the latest ones remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -279,7 +281,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMI
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tid, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["__id", "__raw", "__tid", "__words", "__keys"])
 
     chosen = keyed(docs, id_col, text_col)
-    return chosen.mapInArrow(rows, f"__id {chosen.schema['__id'].dataType.simpleString()}, __raw long, __tid long, __words long, __keys array<long>")
+    return chosen.mapInArrow(lambda b: tidied(rows(b)), f"__id {chosen.schema['__id'].dataType.simpleString()}, __raw long, __tid long, __words long, __keys array<long>")
 
 
 def words_by_id(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -293,7 +295,7 @@ def words_by_id(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
             words = [hashes.of(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(packed_words, words), pa.binary()), pa.array(map(word_bits, words), pa.binary())], names=["__tid", "__hashes", "__bits"])
 
-    return chosen.mapInArrow(rows, "__tid long, __hashes binary, __bits binary").dropDuplicates(["__tid"])
+    return chosen.mapInArrow(lambda b: tidied(rows(b)), "__tid long, __hashes binary, __bits binary").dropDuplicates(["__tid"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -308,7 +310,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             kept = [similar(unpacked(a.as_py()), unpacked(b.as_py()), similarity) for a, b in zip(batch.column("__ha"), batch.column("__hb"), strict=True)]
             yield batch.select(names).filter(pa.array(kept, pa.bool_()))
 
-    return both.mapInArrow(rows, ", ".join(f"{c} long" for c in names))
+    return both.mapInArrow(lambda b: tidied(rows(b)), ", ".join(f"{c} long" for c in names))
 
 
 def text_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -316,6 +318,11 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float)
 
     The last two are the smallest rows (no_id, __id, __raw) of the equal texts and of the class.
     """
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return _text_classes(docs, id_col, text_col, similarity)
+
+
+def _text_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
     sketches = materialize(sketch(docs, id_col, text_col, similarity))
     row = F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__raw")
     texts = sketches.where("__tid is not null").groupBy("__tid").agg(F.min(row).alias("__w"), F.first("__words").alias("__words"), F.first("__keys").alias("__keys"))
@@ -389,7 +396,7 @@ def meeting_pairs(meeting: DataFrame, texts: DataFrame, words: DataFrame, simila
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["__a", "__b", "__ca", "__cb"])
 
-    return both.repartition(*group).sortWithinPartitions(*group, "__side").mapInArrow(pairs, "__a long, __b long, __ca long, __cb long")
+    return both.repartition(*group).sortWithinPartitions(*group, "__side").mapInArrow(lambda b: tidied(pairs(b)), "__a long, __b long, __ca long, __cb long")
 
 
 def not_ruled_out(first: tuple, other: tuple, main: int, key: int, similarity: float) -> list[tuple]:

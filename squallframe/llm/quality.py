@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squallframe.llm.common import hash_unit, table
+from squallframe.llm.common import hash_unit, table, tidied
 
 WORD_BUCKETS = 1 << 14
 BINS = 24
@@ -141,7 +141,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([w.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["bias", "w", "v"])
 
     # the sample is bounded, so that one task can fit it; the driver gets the machine alone
-    got = rows.mapInArrow(features, "u double, y int, i binary, x binary").repartition(1).mapInArrow(fit_all, "bias double, w binary, v binary").first()
+    got = rows.mapInArrow(lambda b: tidied(features(b)), "u double, y int, i binary, x binary").repartition(1).mapInArrow(fit_all, "bias double, w binary, v binary").first()
     if got is None:
         return fit_machine([], np.zeros(0), **fit)
     w = np.frombuffer(got.w, np.float64)
@@ -174,7 +174,7 @@ def score_quality(docs: DataFrame, machine: tuple[float, np.ndarray, np.ndarray]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(score)], names=[*keep, score_col])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(scores, f"{schema}, `{score_col}` double")
+    return source.mapInArrow(lambda b: tidied(scores(b)), f"{schema}, `{score_col}` double")
 
 
 def fold_of(column, folds: int):
