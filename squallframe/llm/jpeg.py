@@ -183,19 +183,22 @@ def _levels_of_intervals(image: dict) -> np.ndarray | None:
     if len(at) != down * across // every:
         return None
     kept = np.concatenate([raw[~gone], np.full(8, 255, np.uint8)]).astype(np.int64)
-    wide = (kept[:-2] << 16) | (kept[1:-1] << 8) | kept[2:]
-    window = lambda place: (wide[place >> 3] >> (8 - (place & 7))) & 0xFFFF
-    diffs = np.empty((len(at), every), np.int64)
+    wide = kept[:-6] << 48
+    for k in range(1, 7):
+        wide |= kept[k : len(kept) - 6 + k] << (48 - 8 * k)
+    taken = length + symbol  # bits of a DC code and of the difference that follows it
+    windows = np.empty((every, len(at)), np.int64)  # the 48 bits from each block's start on
     for k in range(every):
-        bits = window(at)
-        size = symbol[bits]
-        at = at + length[bits]
-        value = window(at) >> (16 - size)
-        diffs[:, k] = np.where(value < (1 << size) >> 1, value - (1 << size) + 1, value)
-        bits = window(at + size)
-        if (ac_symbol[bits] != 0).any() or (ac_length[bits] == 0).any():
-            return None
-        at = at + size + ac_length[bits]
+        w = windows[k] = wide[np.minimum(at >> 3, len(wide) - 1)] >> (8 - (at & 7))
+        t = taken[(w >> 32) & 0xFFFF]
+        at = at + t + ac_length[(w >> (32 - t)) & 0xFFFF]
+    codes = (windows >> 32) & 0xFFFF
+    size = symbol[codes]
+    ends = (windows >> (32 - taken[codes])) & 0xFFFF
+    if (ac_symbol[ends] != 0).any() or (ac_length[ends] == 0).any():
+        return None
+    value = (windows >> (48 - taken[codes])) & ((1 << size) - 1)
+    diffs = np.where(value < (1 << size) >> 1, value - (1 << size) + 1, value).T
     return np.cumsum(diffs, axis=1).reshape(down, across)
 
 
