@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +13,12 @@ WIDTH_S, LATE_S = 21_600, 3_600
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the cluster's shared folder; in a folder of our own only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    """A fresh path in the cluster's shared folder. Where the session names none, a local master uses its warehouse; others are refused."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir")
     return f"{folder.rstrip('/')}/stream/{label}-{uuid.uuid4().hex}"
 
 
