@@ -42,10 +42,28 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{_checkpoint_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder, so that lost executors don't start the work again."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session that holds inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
+    """Cut the lineage in the shared folder, so that lost executors don't start the work again.
+
+    With ``drop_shuffles`` the shuffle files behind it are deleted as soon as the checkpoint stands, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    _checkpoint_dir(spark)
+    if not drop_shuffles:
+        return df.checkpoint()
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        return df.select("*").checkpoint()  # a plan of its own, made under the setting
 
 
 @contextmanager

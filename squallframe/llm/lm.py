@@ -64,6 +64,21 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
 
 
+def packed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Whole numbers (or the steps between ascending ones) byte by byte, the lowest bytes first, compressed without loss."""
+    values = np.ascontiguousarray(values).astype(np.uint64, copy=False)
+    steps = np.diff(values, prepend=np.uint64(0)) if ascending else values
+    planes = np.ascontiguousarray(steps.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, ascending: bool = False) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    steps = np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+    return np.cumsum(steps, dtype=np.uint64) if ascending else steps.astype(np.uint64, copy=False)
+
+
 def packed_counts(docs: DataFrame, text_col: str, bucket_bits: int) -> DataFrame:
     """Counts of all words (with ends) and of neighbouring pairs, summed over all texts, in buckets of their hashes.
 
@@ -73,7 +88,7 @@ def packed_counts(docs: DataFrame, text_col: str, bucket_bits: int) -> DataFrame
     def rows_of(kind: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
         keys, counts = summed(keys, counts)
         edges = np.searchsorted(keys, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits)) if bucket_bits else np.zeros(0, np.int64)
-        return [(kind, b, k.tobytes(), c.astype(np.uint32).tobytes()) for b, (k, c) in enumerate(zip(np.split(keys, edges), np.split(counts, edges), strict=True)) if len(k)]
+        return [(kind, b, packed(k, ascending=True), packed(c)) for b, (k, c) in enumerate(zip(np.split(keys, edges), np.split(counts, edges), strict=True)) if len(k)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = Vocabulary(), [np.zeros(1, np.int64)], 0
@@ -81,7 +96,6 @@ def packed_counts(docs: DataFrame, text_col: str, bucket_bits: int) -> DataFrame
         def chunk() -> pa.RecordBatch:
             ids, hashes = np.concatenate(held), np.array(words.hashes, np.uint64)
             out = rows_of(WORDS, hashes, np.bincount(ids[1:], minlength=len(hashes)))
-            out = [r for r in out if np.frombuffer(r[3], np.uint32).any()]
             pairs, counts = np.unique((ids[:-1] << 32) | ids[1:], return_counts=True)
             out += rows_of(PAIRS, pair_keys(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF]), counts)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "keys", "counts"])
@@ -98,10 +112,10 @@ def packed_counts(docs: DataFrame, text_col: str, bucket_bits: int) -> DataFrame
 
     def merge(group: pa.Table) -> pa.Table:
         kind, bucket = group.column("kind")[0].as_py(), group.column("bucket")[0].as_py()
-        keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group.column("keys")])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("counts")]).astype(np.int64)
+        keys = np.concatenate([unpacked(x.as_py(), ascending=True) for x in group.column("keys")])
+        counts = np.concatenate([unpacked(x.as_py()) for x in group.column("counts")]).astype(np.int64)
         keys, counts = summed(keys, counts)
-        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
+        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": pa.array([packed(keys, ascending=True)], pa.binary()), "counts": pa.array([packed(counts)], pa.binary())})
 
     return docs.select(text_col).mapInArrow(count, PACKED).groupBy("kind", "bucket").applyInArrow(merge, PACKED)
 
@@ -216,17 +230,17 @@ def train(
     """
     spark = docs.sparkSession
     bucket_bits = min(16, max(4, (4 * docs.rdd.getNumPartitions() - 1).bit_length()))
-    packed = materialize(packed_counts(docs, text_col, bucket_bits))
+    totals = materialize(packed_counts(docs, text_col, bucket_bits), drop_shuffles=True)
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, counts in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
-                counts = np.frombuffer(counts.as_py(), np.int64)
+                counts = unpacked(counts.as_py()).view(np.int64)
                 levels = level_of(counts)
                 n, total = np.bincount(levels), np.bincount(levels, counts)
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), pa.array(range(len(n)), pa.int32()), pa.array(n), pa.array(total.astype(np.int64))], names=["kind", "level", "n", "total"])
 
-    table_ = packed.mapInArrow(histogram, "kind int, level int, n long, total long").groupBy("kind", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
+    table_ = totals.mapInArrow(histogram, "kind int, level int, n long, total long").groupBy("kind", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
     tokens = sum(r.total for r in table_ if r.kind == WORDS)
     types = sum(r.n for r in table_ if r.kind == WORDS)
     entries = sum(r.n * (r.level + 1) for r in table_)
@@ -239,7 +253,7 @@ def train(
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, counts in zip(batch.column(2), batch.column(3), strict=True):
-                keys, levels = np.frombuffer(keys.as_py(), np.uint64), level_of(np.frombuffer(counts.as_py(), np.int64)) + 1
+                keys, levels = unpacked(keys.as_py(), ascending=True), level_of(unpacked(counts.as_py())) + 1
                 at = part_of(keys, part_bits)  # keys are sorted, and so are their parts
                 for part in np.unique(at):
                     first, end = np.searchsorted(at, [part, part + 1])
@@ -251,7 +265,7 @@ def train(
         words = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint64) for x in group.column("words")])
         return pa.table({"part": group.column("part").slice(0, 1).combine_chunks(), "words": pa.array([words.tobytes()], pa.binary())})
 
-    filter_parts = materialize(packed.mapInArrow(parts, "part int, words binary").groupBy("part").applyInArrow(joined, "part int, words binary"))
+    filter_parts = materialize(totals.mapInArrow(parts, "part int, words binary").groupBy("part").applyInArrow(joined, "part int, words binary"), drop_shuffles=True)
     blocks = []
     for first in range(0, 1 << part_bits, parts_per_block):
         words_of = np.zeros(per_part * min(parts_per_block, (1 << part_bits) - first), np.uint64)
@@ -270,9 +284,9 @@ def train(
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, counts in zip(batch.column(2), batch.column(3), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_py(), np.int64)), pa.array(np.frombuffer(counts.as_py(), np.int64))], names=["__h", "__c"])
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(keys.as_py(), ascending=True).view(np.int64)), pa.array(unpacked(counts.as_py()).view(np.int64))], names=["__h", "__c"])
 
-    counts = packed.where(F.col("kind") == WORDS).mapInArrow(words, "__h long, __c long")
+    counts = totals.where(F.col("kind") == WORDS).mapInArrow(words, "__h long, __c long")
     often = counts.where(F.col("__c") >= float(2**frequent)).toPandas()
     hashes = often["__h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
