@@ -22,7 +22,7 @@ def tables():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_oracle(spark, tables, name):
     df = catalog.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
