@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from squallframe.functions import geo
@@ -90,3 +90,82 @@ def corner_parts(spark, sf_dir):
 
 QUERIES["R1_A22_side_parts"], ORACLES["R1_A22_side_parts"] = side_parts, _parts_sql("abs(a.y - b.y) + abs(a.x - b.x) = 1", 1)
 QUERIES["R2_corner_parts"], ORACLES["R2_corner_parts"] = corner_parts, _parts_sql("greatest(abs(a.y - b.y), abs(a.x - b.x)) = 1", 3)
+
+
+#: Steps by which a core may grow back into the part it was cut from (fixed value).
+GROWTH = 5
+
+
+def cores(pixels: DataFrame, frame: list[str], row: str, col: str, value: str, max_pixels: int, thresholds: list[float], min_pixels: int = 1) -> DataFrame:
+    """Pixels of parts (by corners, of at least so many pixels), large parts cut at the first threshold that makes them small.
+
+    A part of more than ``max_pixels`` takes the lowest threshold whose sub-parts (of min_pixels or more) all have at most that
+    many; these are its cores. A pixel of the part belongs to the core with the fewest steps to it within the part, ties
+    to that of the smaller first pixel; pixels more than GROWTH steps away go. Parts that no threshold cuts stay whole.
+    Returns frame, first_row, first_col (of the part), core_row, core_col (null: whole), row, col and value.
+    """
+    part = [*frame, "first_row", "first_col"]
+    rows = label(pixels.select(*frame, row, col, value), frame, row, col, corners=True).withColumnsRenamed({"__row": "first_row", "__col": "first_col"})
+    rows = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*part))).where(F.col("__n") >= min_pixels)
+    mask = rows.where(F.col("__n") > max_pixels).drop("__n")
+    tried = mask.withColumn("__t", F.explode(F.array(*map(F.lit, thresholds)))).where(F.col(value) >= F.col("__t"))
+    tried = label(tried, [*part, "__t"], row, col, corners=True).withColumnsRenamed({"__row": "core_row", "__col": "core_col"})
+    core, cut = [*part, "__t", "core_row", "core_col"], [*part, "__t"]
+    tried = tried.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*core))).where(F.col("__n") >= min_pixels)
+    tried = tried.withColumn("__largest", F.max("__n").over(Window.partitionBy(*cut))).where(F.col("__largest") <= max_pixels)
+    seeds = tried.withColumn("__first", F.min("__t").over(Window.partitionBy(*part))).where("__t = __first")
+    grown = seeds.select(*part, row, col, value, F.lit(0).alias("__d"), "core_row", "core_col")
+    moves = F.array(*[F.struct(F.lit(dy).alias("y"), F.lit(dx).alias("x")) for dy, dx in [(0, 0), *SIDES, *CORNERS]])
+    for _ in range(GROWTH):
+        reached = grown.drop(value).withColumn("__m", F.explode(moves)).withColumns({
+            row: F.col(row) + F.col("__m.y"), col: F.col(col) + F.col("__m.x"), "__d": F.col("__d") + F.when((F.col("__m.y") == 0) & (F.col("__m.x") == 0), 0).otherwise(1),
+        })
+        reached = reached.join(mask, [*part, row, col]).groupBy(*part, row, col).agg(F.min(F.struct("__d", "core_row", "core_col")).alias("__o"), F.max(value).alias(value))
+        grown = reached.select(*part, row, col, value, "__o.*")
+    whole = rows.where(F.col("__n") <= max_pixels).drop("__n").unionByName(mask.join(seeds.select(*part).distinct(), part, "left_anti"))
+    return grown.drop("__d").unionByName(whole, allowMissingColumns=True)
+
+
+def cut_parts(spark, sf_dir):
+    """Cells of each frame after large parts are cut: pixels, strongest level and centre."""
+    rows = cores(wet_pixels(spark, sf_dir), ["frame_s"], "y", "x", "level", 3, list(range(2, 9)))
+    return rows.groupBy("frame_s", "first_row", "first_col", "core_row", "core_col").agg(
+        F.count(F.lit(1)).alias("pixels"), F.max("level").alias("strongest"), F.round(F.avg(F.col("y") + 0.5), 4).alias("centre_row"), F.round(F.avg(F.col("x") + 0.5), 4).alias("centre_col"),
+    )
+
+
+QUERIES["R3_R4_cut_parts"] = cut_parts
+_PARTS = _parts_sql("greatest(abs(a.y - b.y), abs(a.x - b.x)) = 1", 1)
+ORACLES["R3_R4_cut_parts"] = _PARTS[: _PARTS.rindex("SELECT frame_s, p[1]")] + f"""
+    , sized AS (SELECT frame_s, y, x, level, p, count(*) OVER (PARTITION BY frame_s, p) AS n FROM part JOIN px USING (frame_s, y, x)),
+    big AS (SELECT * FROM sized WHERE n > 3),
+    strong AS (SELECT frame_s, p, y, x, t FROM big JOIN (SELECT unnest(range(2, 9)) AS t) ON level >= t),
+    links AS (
+        SELECT a.frame_s, a.p, a.t, a.y, a.x, b.y AS y2, b.x AS x2 FROM strong a
+        JOIN strong b ON a.frame_s = b.frame_s AND a.p = b.p AND a.t = b.t AND greatest(abs(a.y - b.y), abs(a.x - b.x)) = 1
+    ),
+    spread AS (
+        SELECT frame_s, p, t, y, x, y AS y2, x AS x2 FROM strong
+        UNION
+        SELECT s.frame_s, s.p, s.t, s.y, s.x, l.y2, l.x2 FROM spread s JOIN links l ON s.frame_s = l.frame_s AND s.p = l.p AND s.t = l.t AND s.y2 = l.y AND s.x2 = l.x
+    ),
+    subparts AS (SELECT frame_s, p, t, y, x, min((y2, x2)) AS c FROM spread GROUP BY 1, 2, 3, 4, 5),
+    counted AS (SELECT *, count(*) OVER (PARTITION BY frame_s, p, t, c) AS m FROM subparts),
+    chosen AS (SELECT frame_s, p, min(t) AS t FROM (SELECT frame_s, p, t FROM counted GROUP BY 1, 2, 3 HAVING max(m) <= 3) GROUP BY 1, 2),
+    seeds AS (SELECT frame_s, p, y, x, c FROM counted JOIN chosen USING (frame_s, p, t)),
+    growing AS (
+        SELECT frame_s, p, y, x, 0 AS d, c FROM seeds
+        UNION
+        SELECT g.frame_s, g.p, b.y, b.x, g.d + 1, g.c FROM growing g JOIN big b ON g.frame_s = b.frame_s AND g.p = b.p
+            AND greatest(abs(g.y - b.y), abs(g.x - b.x)) = 1 AND g.d < {GROWTH}
+    ),
+    owned AS (SELECT frame_s, p, y, x, min((d, c[1], c[2])) AS o FROM growing GROUP BY 1, 2, 3, 4),
+    cells AS (
+        SELECT frame_s, p, o[2] AS core_row, o[3] AS core_col, y, x FROM owned
+        UNION ALL
+        SELECT frame_s, p, NULL, NULL, y, x FROM sized WHERE n <= 3 OR (frame_s, p) NOT IN (SELECT (frame_s, p) FROM chosen)
+    )
+    SELECT frame_s, p[1] AS first_row, p[2] AS first_col, core_row, core_col, count(*) AS pixels, max(level) AS strongest,
+        round(avg(y + 0.5e0), 4) AS centre_row, round(avg(x + 0.5e0), 4) AS centre_col
+    FROM cells JOIN px USING (frame_s, y, x) GROUP BY 1, 2, 3, 4, 5
+    """

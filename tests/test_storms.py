@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from squallframe.operators import storms
+from squallframe.operators import rasters, storms
 from squallframe.operators.observing import routed
 from squallframe.operators.storms import CYCLE_S, Region
 
@@ -138,3 +138,17 @@ def test_repeats_go_but_not_by_way_of_dropped_rows(spark):
     given = spark.createDataFrame(rows, schema)
     assert sorted(r["event_id"] for r in storms.drop_repeats(given, ["r"]).collect()) == [1, 3, 4, 5, 6, 7, 9, 10, 11]
     assert storms.drop_repeats(given.limit(0), ["r"]).count() == 0
+
+
+def test_large_parts_are_cut_at_the_first_threshold_and_grow_back(spark):
+    strip = [5, 5, 1, 1, 1, 6]  # cut at 2 into two cores; the middle pixel is two steps from both
+    long = [7, 1, 1, 1, 1, 1, 1]  # its last pixel is six steps from the core
+    flat = [1, 1, 1, 1]  # no threshold cuts it
+    rows = [(0, y, x, v) for y, line in ((0, strip), (10, long), (20, flat), (30, [3])) for x, v in enumerate(line)]
+    pixels = spark.createDataFrame([*rows, (None, 0, 0, 1)], "f int, y int, x int, v int")
+    cut = rasters.cores(pixels, ["f"], "y", "x", "v", 3, [2, 4])
+    found = {(r["y"], r["x"]): r["core_col"] for r in cut.collect()}
+    assert [found.get((0, x)) for x in range(6)] == [0, 0, 0, 0, 5, 5]
+    assert [found.get((10, x), "gone") for x in range(7)] == [0, 0, 0, 0, 0, 0, "gone"]
+    assert [found[20, x] for x in range(4)] == [None] * 4 and found[30, 0] is None
+    assert len(found) == 17 and rasters.cores(pixels.limit(0), ["f"], "y", "x", "v", 3, [2]).count() == 0
