@@ -106,7 +106,7 @@ def hash_unit(seed: int, *columns: Column) -> Column:
 def running_position(df: DataFrame, groups: list[str], unit: str, order: list[str], value: str | None = None) -> DataFrame:
     """Rank (and running sum) of each row in its group, without one task for a whole group.
 
-    ``unit`` is a column in [0, 1) that ``order`` starts with. Groups are cut into ranges of it, about as many as
+    ``unit`` is a column in [0, 1] that never falls along ``order``. Groups are cut into ranges of it, about as many as
     a range of a group of all rows would have rows, so that neither the ranges of a hot group nor the table of ranges
     gets large. Rows are only ever dealt by group and range. ``df`` should be materialized: its rows are counted first.
     Adds __n (rows of the group), __rank (from 1), and for a value __cum (sum up to and with the row).

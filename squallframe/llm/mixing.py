@@ -86,7 +86,10 @@ def pareto_mix(docs: DataFrame, weights: list[float], *, share: float = 1.5, cap
     ranking = odds * (1 - F.col("__pi")) / F.col("__pi")
     # Q / (1 + Q) keeps the order of Q and is in [0, 1], 0 for certain rows (in the order of their numbers)
     rows = rows.withColumn("__q", F.when(F.col("__pi") > 0, 1 - 1 / (1 + ranking)).otherwise(F.lit(1.0)))
-    ranked = running_position(materialize(rows), ["__key"], "__q", ["__q", "__u", "__id", "__hash", "__size"], "__size")
+    # certain rows all have the first place in this order and rows never taken the last one: they are spread by their numbers
+    place = F.when(F.col("__q") == 0, F.col("__u")).when(F.col("__q") < 1, 1 + F.col("__q")).otherwise(2 + F.col("__u")) / 3
+    rows = rows.withColumn("__place", F.when(F.col("__rest") > 0, place).otherwise(F.col("__u")))
+    ranked = running_position(materialize(rows), ["__key"], "__place", ["__q", "__u", "__id", "__hash", "__size"], "__size")
     sampled = (F.col("__pi") > 0) & (F.col("__cum") - F.col("__size") / 2.0 <= F.col("__rest"))
     copies = (F.col("__certain") + F.when(sampled, 1).otherwise(0)).cast("int")
     return ranked.select(
