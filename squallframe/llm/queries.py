@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from squallframe.llm.alignment import op11_token_alignment
 from squallframe.llm.decontamination import op8_fm_leaks
+from squallframe.llm.divergence import DIVERGENCE_SQL, op13_source_divergence
 from squallframe.llm.html import op2_main_text
 from squallframe.llm.jpeg import op10_jpeg_media
 from squallframe.llm.lm import op4_bloom_lm
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_fm_leaks": op8_fm_leaks,
     "op9_quality": op9_quality,
     "op10_jpeg_media": op10_jpeg_media,
+    "op11_token_alignment": op11_token_alignment,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -50,5 +54,5 @@ FROM d LEFT JOIN positions USING (row) LEFT JOIN items USING (row)
 """
 
 #: The others can't be written in SQL: signatures with alignment, DOM trees, CRC-32, filters, ranks to a fixed point, archives,
-#: a model fitted by gradient steps, images.
-ORACLES: dict[str, str] = {"op8_fm_leaks": LEAKS_SQL}
+#: a model fitted by gradient steps, images, tokenizers.
+ORACLES: dict[str, str] = {"op8_fm_leaks": LEAKS_SQL, "op13_source_divergence": DIVERGENCE_SQL}
