@@ -10,6 +10,7 @@ from squallframe.llm.jpeg import op10_jpeg_media
 from squallframe.llm.lm import op4_bloom_lm
 from squallframe.llm.mixing import op7_pareto_mix
 from squallframe.llm.neardup import op1_order_minhash
+from squallframe.llm.pii import op12_contextual_pii
 from squallframe.llm.quality import op9_quality
 from squallframe.llm.sharding import op3_interleaved_shards
 from squallframe.llm.urls import op5_url_trust
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_jpeg_media": op10_jpeg_media,
     "op11_token_alignment": op11_token_alignment,
+    "op12_contextual_pii": op12_contextual_pii,
     "op13_source_divergence": op13_source_divergence,
 }
 
