@@ -24,7 +24,7 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OPEN, CLOSE = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
 LOOSE = {
     "address": rf"(?<!{LOCAL}){LOCAL}{{1,64}}(?:(?:@|{OPEN}[aA][tT]{CLOSE})[A-Za-z0-9-]{{1,63}}(?:(?:\.|{OPEN}[dD][oO][tT]{CLOSE})[A-Za-z0-9-]{{1,63}}){{0,8}}|\s[aA][tT]\s[A-Za-z0-9-]{{1,63}}\s[dD][oO][tT]\s[A-Za-z0-9-]{{1,63}})",
-    "number": r"(?<![A-Za-z0-9])[0-9][0-9\x20().-]{5,28}[0-9](?![A-Za-z0-9])",
+    "number": r"(?<![A-Za-z0-9])\(?[0-9][0-9\x20().-]{5,28}[0-9](?![A-Za-z0-9])",
     "groups": r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9:])",
 }
 LEFT_CHARS, RIGHT_CHARS, BLOCK = 64, 32, 256
