@@ -185,7 +185,7 @@ DIGEST_SQL = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sh
 
 
 def encoded(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame:
-    """Rows of documents (chunk, id, ids of both as bytes, digest) and, after those of a chunk, a row of its pairs of ids and their counts."""
+    """Rows of documents (chunk, id, ids of both as compressed bytes, digest) and, after those of a chunk, a row of its pairs of ids and their counts."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def encoded(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFra
                 for a, b in both.encode(part):
                     own_a, own_b, shared = both.overlaps(a, b)
                     digest = hashlib.sha256(both.groups_text(a, b, own_a, own_b, shared)).hexdigest() if len(a) else ""
-                    rows.append((number, a.tobytes(), b.tobytes(), len(a), len(b), int(shared.sum()), len(own_a), digest))
+                    rows.append((number, pa.compress(a.tobytes(), codec="zstd", asbytes=True), pa.compress(b.tobytes(), codec="zstd", asbytes=True), len(a), len(b), int(shared.sum()), len(own_a), digest))
                     codes.append(both.pair_codes(a, b, own_a, own_b))
                     held += len(own_a)
                     if held >= CHUNK_LINKS:
@@ -262,8 +262,9 @@ def link_counts(docs: DataFrame, folder: str = TOKENIZERS, *, id_col: str = "doc
         order = np.argsort(codes)
         codes, n, best = codes[order], counts.column("n").to_numpy()[order], counts.column("best").to_numpy(zero_copy_only=False)[order]
         n_best, sums = [], []
-        for a, b in zip(docs.column("a").to_pylist(), docs.column("b").to_pylist(), strict=True):
-            a, b = np.frombuffer(a, both.dtype), np.frombuffer(b, both.dtype)
+        sizes = (docs.column(c).to_pylist() for c in ("a", "n_a", "b", "n_b"))
+        for a, n_a, b, n_b in zip(*sizes, strict=True):
+            a, b = (np.frombuffer(pa.decompress(x, k * np.dtype(both.dtype).itemsize, codec="zstd"), both.dtype) for x, k in ((a, n_a), (b, n_b)))
             own_a, own_b, _ = both.overlaps(a, b)
             at = np.searchsorted(codes, both.pair_codes(a, b, own_a, own_b))
             n_best.append(int(best[at].sum()))
