@@ -30,8 +30,10 @@ OTHER_PARTS = set(
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager masthead header topbar toolbar footer colophon copyright "
     "sidebar sidebars aside widget widgets related recommended recommendations share sharing social "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall "
-    "comment comments commentlist disqus respond reply replies form hidden".split()
+    "form hidden".split()
 )
+COMMENT_PARTS = set("comment comments commentlist disqus respond reply replies".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What share of a page's text outside of links an element must hold to be kept although its name says another part: one that
 #: a whole class or id names, and one that only a part of such a word names.
 NAMED, PARTLY_NAMED = 0.9, 0.5
@@ -48,10 +50,10 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 class Node:
     """An element: pieces are texts and child nodes in page order; the sums are of its whole subtree."""
 
-    __slots__ = ("chars", "density", "doubt", "dropped", "link_chars", "link_tags", "parent", "pieces", "spread", "tag", "tags")
+    __slots__ = ("chars", "density", "doubt", "dropped", "link_chars", "link_tags", "name", "parent", "pieces", "spread", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubt: float = 0.0):
-        self.tag, self.parent, self.pieces, self.dropped, self.doubt = tag, parent, [], dropped, doubt
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubt: float = 0.0, name: str = ""):
+        self.tag, self.parent, self.pieces, self.dropped, self.doubt, self.name = tag, parent, [], dropped, doubt, name
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.spread = 0.0
 
@@ -62,24 +64,30 @@ class Node:
         return at is not None
 
 
-def other_part(tag: str, rest: str, parent: Node) -> float:
+def words_of(named: str) -> tuple[set[str], set[str]]:
+    """The words of classes and ids, and the parts of those words."""
+    return set(named.split()), set(re.split(r"[^a-z0-9]+", named))
+
+
+def other_part(tag: str, rest: str, parent: Node) -> tuple[float, str]:
     """The share of the page's text that an element must hold to be kept: 0 for most, over 1 for one that is no part of an
-    article by its element's name, role or being hidden, and in between for one that its class or id names so."""
+    article by its element's name, role or being hidden, and in between for one that its class or id names so; and its class and id."""
     if tag in NEVER_TEXT or tag == "header" and not parent.inside("article", "main"):
-        return 2.0
+        return 2.0, ""
     if "=" not in rest and "hidden" not in rest:
-        return 0.0
+        return 0.0, ""
     attributes = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(rest)}
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "").lower()):
-        return 2.0
+        return 2.0, ""
     if attributes.get("role", "").strip().lower() in OTHER_ROLES:
-        return 2.0
+        return 2.0, ""
     if tag in KEPT_ROOTS:
-        return 0.0
+        return 0.0, ""
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    if not OTHER_PARTS.isdisjoint(named.split()):
-        return NAMED
-    return 0.0 if OTHER_PARTS.isdisjoint(re.split(r"[^a-z0-9]+", named)) else PARTLY_NAMED
+    words, parts = words_of(named)
+    if words & (OTHER_PARTS | COMMENT_PARTS):
+        return NAMED, named
+    return (PARTLY_NAMED, named) if parts & (OTHER_PARTS | COMMENT_PARTS) else (0.0, named)
 
 
 def parse(page: str) -> Node:
@@ -118,8 +126,8 @@ def parse(page: str) -> Node:
         if at.tag == "head" and name == "body":
             at = at.parent
         rest = m["rest"] or m["rest2"] or ""
-        share = 2.0 if at.dropped else other_part(name, rest, at)
-        node = Node(name, at, share > 1, share)
+        share, named = (2.0, "") if at.dropped else other_part(name, rest, at)
+        node = Node(name, at, share > 1, share, named)
         at.pieces.append(node)
         if name in RAW:
             raw_end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, place)
@@ -141,10 +149,39 @@ def plain_chars(text: str) -> int:
     return sum(map(len, entities.unescape(text).split()))
 
 
+def elements(node: Node) -> list[Node]:
+    return [x for x in node.pieces if isinstance(x, Node) and not x.dropped]
+
+
+def holds_comments(node: Node) -> bool:
+    """Whether an element named for comments holds them: no heading of the first two ranks, article or main element is in it,
+    and parts of one element and name, at least two, hold half of its text; or it is such a part, one of several in its parent."""
+    if not words_of(node.name)[1] & COMMENT_PARTS:
+        return False
+    stack = elements(node)
+    while stack:
+        at = stack.pop()
+        if at.tag in ("h1", "h2", "article", "main"):
+            return False
+        stack += elements(at)
+    held = node
+    while len(children := elements(held)) == 1:
+        held = children[0]
+    alike: dict[tuple, list[int]] = {}
+    for x in children:
+        first = re.sub(r"[-_]?\d+$", "", x.name.split()[0]) if x.name.strip() else ""
+        if first or x.tag == "li":
+            alike.setdefault((x.tag, first), []).append(x.chars)
+    if any(len(c) > 1 and 2 * sum(c) >= node.chars for c in alike.values()):
+        return True
+    return node.parent is not None and sum(x.tag == node.tag and bool(words_of(x.name)[1] & COMMENT_PARTS) for x in elements(node.parent)) > 1
+
+
 def drop_named(root: Node) -> None:
     """Drop the elements that their names say are other parts, but for those that hold most of the page's plain text.
 
-    chars are those of the texts outside of links here; a dropped element's subtree is dropped with it.
+    chars are those of the texts outside of links here. Parts of one element and name in one parent are judged by what they hold together, and
+    comments go whatever they hold; a dropped element's subtree is dropped with it.
     """
     for node in in_post_order(root):
         if not node.dropped and node.tag != "a":
@@ -152,8 +189,16 @@ def drop_named(root: Node) -> None:
     stack = [root]
     while stack:
         node = stack.pop()
-        node.dropped = node.dropped or node.parent is not None and node.parent.dropped or bool(node.doubt) and node.chars < node.doubt * max(root.chars, 1)
-        stack += [x for x in node.pieces if isinstance(x, Node)]
+        if node.dropped:
+            continue
+        children = elements(node)
+        together: dict[tuple, int] = {}
+        for x in children:
+            together[x.tag, x.name] = together.get((x.tag, x.name), 0) + x.chars
+        doubted = [x for x in children if x.doubt and (together[x.tag, x.name] < x.doubt * max(root.chars, 1) or holds_comments(x))]
+        for x in doubted:
+            x.dropped = True
+        stack += children
 
 
 def weigh(root: Node) -> list[Node]:
@@ -192,7 +237,9 @@ def article_nodes(root: Node) -> set[int]:
 
     The node with the largest sum of its children's densities is its core, or the article or main element around
     that. The least density on the way from the core to the body is the threshold: outside of the core, the highest nodes
-    that aren't on this way and reach it belong to the article too.
+    that aren't on this way and reach it belong to the article too. Where an element on the way, below the body, has a heading or
+    paragraph of its own beside the core, it is the article's, and its short blocks (title, byline, last paragraph) need no density;
+    of the body's own elements, the titles before the core don't either.
     """
     nodes = weigh(root)
     if not root.chars:
@@ -216,13 +263,16 @@ def article_nodes(root: Node) -> set[int]:
     chosen, stack = {id(core)}, [root]
     while stack:
         node = stack.pop()
-        for piece in node.pieces:
-            if not isinstance(piece, Node) or piece.dropped or piece is core:
-                continue
-            if id(piece) in way:
-                stack.append(piece)
-            elif piece.tag in BLOCKS and piece.density >= least and piece.chars and not link_list(piece):
-                chosen.add(id(piece))
+        children, before = elements(node), True
+        whole = node.tag not in ("html", "body") and 2 * core.chars >= node.chars and any(x.tag in HEADINGS or x.tag == "p" for x in children if id(x) not in way and x is not core)
+        for piece in children:
+            if id(piece) in way or piece is core:
+                before = False
+                stack += [piece] * (piece is not core)
+            elif piece.chars and not link_list(piece):
+                title = before and piece.tag in ("h1", "h2") and not piece.link_chars
+                if title or piece.tag in BLOCKS and (whole or piece.density >= least) or whole and piece.link_chars < piece.chars:
+                    chosen.add(id(piece))
     return chosen
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squallframe.llm.common import hash_unit, materialize, running_position, table
 
 
+def shard_and_slot(position: Column, n: Column, n_shards: int) -> tuple[Column, Column]:
+    """The run of equal numbers of rows that a position (from 0, of n) is in, and its place in that run, by whole numbers only."""
+    div = lambda a, b: F.call_function("div", a.cast("long"), b)
+    shard = div(position * n_shards, n)
+    return shard.cast("int"), position - div(shard * n + (n_shards - 1), F.lit(n_shards))
+
+
 def interleave(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "source", seed: int = 17) -> DataFrame:
     """Cut rows into ``n_shards`` so that each shard has the mixture of strata of the whole.
 
@@ -33,13 +40,10 @@ def interleave(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_c
     ranked = running_position(rows, ["__key"], "__u", ["__u", *ties])
     ranked = ranked.select("__id", "__stratum", "__key", "__size", "__crc", "__u", ((F.col("__rank") - 0.5) / F.col("__n")).alias("__f"))
     placed = running_position(materialize(ranked), [], "__f", ["__f", "__key", "__u", *ties])
-    position, n, k = F.col("__rank") - 1, F.col("__n"), F.lit(n_shards)
-    shard = F.floor(position.cast("decimal(38,0)") * k / n).cast("int")
-    placed = placed.withColumn("shard", shard)
-    first = F.ceil(F.col("shard").cast("decimal(38,0)") * n / k).cast("long")
+    shard, slot = shard_and_slot(F.col("__rank") - 1, F.col("__n"), n_shards)
     return placed.select(
         F.col("__id").alias(id_col), F.col("__stratum").alias(stratum_col), F.col("__size").alias("size"),
-        F.col("__crc").alias("text_crc32"), "shard", (position - first).alias("slot"),
+        F.col("__crc").alias("text_crc32"), shard.alias("shard"), slot.alias("slot"),
     )
 
 

@@ -291,6 +291,31 @@ def test_main_text():
     assert [html.main_text(x) for x in (None, "", "<", "<p", "plain", "<!-- x")] == ["", "", "<", "", "plain", ""]
 
 
+def _paragraphs(n: int, times: int = 4) -> list[str]:
+    return [" ".join([f"Sentence {k} says a thing about the weather."] * times) for k in range(n)]
+
+
+NAV, FOOT = "<nav><a href=/>Home</a> <a href=/x>X</a></nav>", "<footer>Copyright</footer>"
+BODY = "".join(f"<p>{x}</p>" for x in _paragraphs(30))
+COMMENTS = [f"<b>user{k}</b><p>I think {x}</p>" for k, x in enumerate(_paragraphs(60, 3))]
+ARTICLE = ["The title", "By A. Writer", *_paragraphs(30), "The end."]
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        *((f"{NAV}<{tag} class=post><h1>The title</h1><div class=byline>By A. Writer</div><div class=body>{BODY}</div><p>The end.</p></{tag}>{FOOT}", ARTICLE) for tag in ("div", "section", "article", "main")),
+        (f"{NAV}<div id=page><div id=content><h1>The title</h1><span>By A. Writer</span><div class=body>{BODY}</div><p>The end.</p></div><div class=sidebar><h2>More</h2></div></div>{FOOT}", ARTICLE),
+        (f"{NAV}<div class=text><h1>Short</h1><p>One paragraph.</p></div><div class=comments><h3>60 comments</h3>{''.join(f'<div class=comment>{c}</div>' for c in COMMENTS)}</div>{FOOT}", ["Short", "One paragraph."]),
+        (f"{NAV}<div class=entry><h1>Short</h1>{''.join(f'<p>{x}</p>' for x in _paragraphs(3))}</div><ol class=comment-list>{''.join(f'<li class="comment depth-{k % 3}" id=comment-{k}>{c}</li>' for k, c in enumerate(COMMENTS[:10]))}</ol>{FOOT}", ["Short", *_paragraphs(3)]),
+        (f"{NAV}{''.join(f'<section class=entry-share><p>{x}</p></section>' for x in _paragraphs(3, 8))}{FOOT}", _paragraphs(3, 8)),
+        (f"{NAV}<div class='post has-comments'><div class=txt>{BODY}</div></div>{FOOT}", _paragraphs(30)),
+    ],
+)
+def test_main_text_has_all_blocks_of_the_article_and_no_others(page, blocks):
+    assert html.main_text(f"<html><body>{page}</body></html>") == " ".join(blocks)
+
+
 def test_main_text_of_a_table(spark):
     pages = spark.createDataFrame([(1, None, None, "a"), (None, "u", "<p>x  y</p>", "b")], "page_id long, url string, html string, text string")
     assert {tuple(r) for r in html.extract_main_text(pages).collect()} == {(1, None, "", 0), (None, "u", "x y", 3)}
@@ -431,3 +456,13 @@ def test_general_scans_agree_with_even_ones():
     assert (jpeg._levels_general(image).ravel() + 128 == samples).all()
     with pytest.raises(ValueError):
         jpeg.media_features(b"not an image")
+
+
+def test_shards_are_cut_by_whole_numbers(spark):
+    """Around all borders of large tables, where a division with few decimals goes wrong."""
+    for n, k in ((100_000_000, 16), (1_000_000_007, 16), (3_000_000_000_019, 7), (5, 16), (1, 3)):
+        at = sorted({p for j in range(k + 1) for p in range(n * j // k - 3, n * j // k + 4) if 0 <= p < n})
+        rows = spark.createDataFrame([(p,) for p in at], "p long")
+        shard, slot = sharding.shard_and_slot(F.col("p"), F.lit(n), k)
+        got = {r.p: (r.shard, r.slot) for r in rows.select("p", shard.alias("shard"), slot.alias("slot")).collect()}
+        assert got == {p: (p * k // n, p - -(-(p * k // n) * n // k)) for p in at}
