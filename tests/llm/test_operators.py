@@ -1,5 +1,6 @@
 """Each operator on one small table of edge cases: nulls, empty, blank and long texts, repeated rows, clashing columns."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -222,12 +223,40 @@ def test_arc_file_of_another_writer():
         ("warcinfo", "filedesc://a.arc", None, "1999-01-02T03:04:05Z"), ("response", "http://a/x y", "10.0.0.2", "1999-01-02T03:04:06Z"), ("resource", "dns:a", "10.0.0.3", "1999-01-02T00:00:00Z"),
     ]
     assert got[1][7] == b"abc" and b"ARC 1 of Crawler" in got[0][7]
-    first = {"page_id": 1, "uri": "http://other/", "date": "1998-01-01T00:00:00Z"}
-    (fields, block), = warc.parse_warc(warc.warc_value(*got[1], first).encode())
-    assert fields["warc-refers-to"] == warc.record_id("response", 1, "http://other/", "1998-01-01T00:00:00Z") and fields["warc-refers-to-target-uri"] == "http://other/"
+    first = {"page_id": 1, "uri": "http://other/", "date": "1998-01-01T00:00:00Z", "origin": "filedesc://b.arc:7"}
+    (fields, block), = warc.parse_warc(warc.warc_value(*got[1], first))
+    assert fields["warc-refers-to"] == warc.record_id("response", 1, "http://other/", "1998-01-01T00:00:00Z", "filedesc://b.arc:7") and fields["warc-refers-to-target-uri"] == "http://other/"
     assert fields["warc-ip-address"] == "10.0.0.2" and block == http[:-3]
 
 
+def test_archive_of_other_bytes_than_utf8(spark, tmp_path):
+    """Latin-1 text, an image, a revisit without a declared length; each record is a gzip member, long ones too."""
+    image = bytes(range(256)) * 70_000
+    bodies = {1: "caf\xe9".encode("latin-1"), 2: image, 3: b"", 4: "caf\xe9".encode("latin-1"), 5: b"\r\n\r\n\x00\x1f\x8b"}
+    described = b"1 0 Crawler\nURL IP-address Archive-date Content-type Archive-length\n"
+    data = b"filedesc://a.arc 10.0.0.1 19990102030405 text/plain %d\n%s\n" % (len(described), described)
+    for k, body in bodies.items():
+        http = b"HTTP/1.0 200 OK\r\nX-Page-Id: %d\r\n\r\n%s" % (k, body)
+        data += b"http://a/same 10.0.0.2 19990102030406 text/html %d\n%s\n" % (len(http), http)
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc/a.arc").write_bytes(data)
+    warc.write_warc(warc.read_arc(spark, f"{tmp_path}/arc"), f"{tmp_path}/warc")
+    got = {r.page_id: r for r in warc.resolved(warc.read_warc(spark, f"{tmp_path}/warc")).collect()}
+    assert {k: (r.payload_bytes, r.payload_digest) for k, r in got.items()} == {k: (len(b), warc.digest32(b)) for k, b in bodies.items()}
+    assert (got[4].record_type, got[4].refers_to) == ("revisit", 1) and len({r.record_id for r in got.values()}) == 5
+    files = [f.read_bytes() for f in (tmp_path / "warc").glob("part-*")]
+    for content in files:
+        for offset, part in warc.members(content):
+            assert gzip.decompress(content)[:5] == b"WARC/" and zlib.decompressobj(31).decompress(content[offset:]) == part
+            assert not part or len(list(warc.parse_warc(part))) == 1
+
+
+def test_identifiers_of_repeated_rows_differ(spark):
+    rows = [(1, "http://h/", "a"), (1, "http://h/", "a"), (None, "http://h/", "b"), (None, "http://h/", "b"), (2, None, "a"), (2, None, "c")]
+    got = warc.convert_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()
+    assert len({r.record_id for r in got}) == 6 and sorted(r.uri or "" for r in got) == ["", "", *["http://h/"] * 4]
+
+
 def test_revisits_name_records_that_exist(spark):
     pages = spark.createDataFrame([(k, f"http://h{k}/", "same" if k % 2 else f"own {k}") for k in range(1, 20)], "page_id long, url string, html string")
     got = warc.convert_pages(pages.repartition(3)).collect()
