@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from squallframe.operators import motion, observing, policies, rasters, storms, timing, tracking  # noqa: F401  (they register their queries)
+from squallframe.operators import motion, observing, passages, policies, rasters, storms, timing, tracking  # noqa: F401  (they register their queries)
 from squallframe.streaming import windows  # noqa: F401  (the same)
 
 QUERIES: dict = {**observing.QUERIES}
