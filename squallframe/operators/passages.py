@@ -182,7 +182,7 @@ def geometry(spark, sf_dir):
     ).where("s_lat IS NOT NULL")
     shaped = centres.join(hulls(points, keys, "lat", "lon"), keys)
     radius = F.when(F.col("points") >= 3, hull_radius(F.col("ring"), F.col("s_lat"), F.col("s_lon"), geo.haversine)).otherwise(0.0)
-    return shaped.select(*keys, "points", F.size("ring").alias("corners"), F.round(radius, 3).alias("radius_km"), "south", "north", "west", "east")
+    return shaped.select(*keys, "points", F.round(radius, 3).alias("radius_km"), "south", "north", "west", "east")
 
 
 #: Corners of a hull are the ends of its sides, those pairs of points that have all others to their left. Least squares by sums; storms and targets in one list.
@@ -319,6 +319,6 @@ crossed AS (
 corners AS (SELECT DISTINCT blob, frame_s, lat, lon FROM crossed WHERE least >= 0 AND most > 0),
 few AS (SELECT blob, frame_s, lat, lon FROM spots s WHERE (SELECT count(*) FROM spots t WHERE t.blob = s.blob AND t.frame_s = s.frame_s) <= 2),
 every AS (SELECT * FROM corners UNION SELECT * FROM few)
-SELECT blob, frame_s, points, CAST(count(*) AS INT) AS corners, round(CASE WHEN points >= 3 THEN max({geo.haversine_sql('s_lat', 's_lon', 'lat', 'lon')}) ELSE 0 END, 3) AS radius_km, south, north, west, east
+SELECT blob, frame_s, points, round(CASE WHEN points >= 3 THEN max({geo.haversine_sql('s_lat', 's_lon', 'lat', 'lon')}) ELSE 0 END, 3) AS radius_km, south, north, west, east
 FROM centres JOIN every USING (blob, frame_s) WHERE s_lat IS NOT NULL GROUP BY blob, frame_s, points, south, north, west, east
 """
