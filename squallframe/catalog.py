@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from squallframe.operators import motion, observing, outlines, passages, policies, rasters, storms, timing, tracking  # noqa: F401  (they register their queries)
-from squallframe.streaming import windows  # noqa: F401  (the same)
+from squallframe.streaming import state, windows  # noqa: F401  (the same)
 
 QUERIES: dict = {**observing.QUERIES}
 ORACLES: dict = {**observing.ORACLES}

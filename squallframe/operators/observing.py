@@ -28,9 +28,13 @@ HAV_REGION = geo.haversine_sql("o.lat", "o.lon", "r.c_lat", "r.c_lon")
 HAV_TARGET = geo.haversine_sql("o.lat", "o.lon", "t.t_lat", "t.t_lon")
 
 
-def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations fanned out to all regions whose circle they are in, by the cell join with the largest radius."""
-    near = within_km(observations(spark, sf_dir), regions(spark), "lat", "lon", "c_lat", "c_lon", max(r[3] for r in REGIONS))
+def routed(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
+    """Observations (of one kind) fanned out to all regions whose circle they are in, by the cell join with the largest radius."""
+    return in_regions(observations(spark, sf_dir, kind), spark)
+
+
+def in_regions(rows: DataFrame, spark: SparkSession) -> DataFrame:
+    near = within_km(rows, regions(spark), "lat", "lon", "c_lat", "c_lon", max(r[3] for r in REGIONS))
     return near.where("km <= radius_km").drop("km")
 
 

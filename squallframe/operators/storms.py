@@ -77,9 +77,9 @@ def drop_repeats(rows: DataFrame, keys: list[str], seconds: float = REPEAT_S, de
     return in_order(numbered, group, ["sim_s", "event_id"]).mapInPandas(choose, types)
 
 
-def two_feeds(spark, sf_dir) -> DataFrame:
+def two_feeds(rows: DataFrame) -> DataFrame:
     """Each observation and what a relay of it reports: 0 to 2 seconds later, every other one moved by half a thousandth of a degree."""
-    own = observations(spark, sf_dir).select("event_id", "station_id", "kind", "lat", "lon", "sim_s", "blob")
+    own = rows.select("event_id", "station_id", "kind", "lat", "lon", "sim_s", "blob")
     relayed = F.explode(F.array(
         F.struct("event_id", "lat", "lon", "sim_s"),
         F.struct((F.col("event_id") + 1_000_000_000).alias("event_id"), (F.col("lat") + F.col("event_id") % 2 * 0.0005).alias("lat"), (F.col("lon") + F.col("event_id") % 5 * 0.0003).alias("lon"), (F.col("sim_s") + F.col("event_id") % 3).alias("sim_s")),
@@ -88,7 +88,7 @@ def two_feeds(spark, sf_dir) -> DataFrame:
 
 
 def without_repeats(spark, sf_dir):
-    return drop_repeats(two_feeds(spark, sf_dir), ["blob"]).select("event_id", "blob", "kind", "sim_s")
+    return drop_repeats(two_feeds(observations(spark, sf_dir)), ["blob"]).select("event_id", "blob", "kind", "sim_s")
 
 
 QUERIES["ST5_without_repeats"] = without_repeats
@@ -268,6 +268,14 @@ REPORT = "storm int, lat double, lon double, basis string, strikes_5min int, str
 FIELDS = ["kind", "sim_s", "lat", "lon", "intensity", "rain_mm", "weight", "system"]
 
 
+def in_cycles(rows: DataFrame, key: str, more: list[str] = ()) -> DataFrame:
+    """Usable rows with their cycle and the rank of their kind in it."""
+    kinds = F.create_map(*[F.lit(v) for pair in (("lightning", 0), ("radar", 1), ("rain", 2)) for v in pair])
+    usable = rows.dropna(subset=[key, "kind", "sim_s", "lat", "lon"]).withColumn("__kind", kinds[F.col("kind")])
+    usable = usable.withColumn("cycle_s", F.expr(f"(sim_s - pmod(sim_s, {CYCLE_S}))")).withColumn("intensity", F.coalesce("intensity", F.lit(0)))
+    return usable.withColumn("weight", F.coalesce("weight", F.lit(1.0))).select(key, "event_id", "cycle_s", "__kind", *FIELDS, *more)
+
+
 def follow(rows: DataFrame, key: str) -> DataFrame:
     """The storms of each region after each cycle of CYCLE_S seconds that has rows.
 
@@ -276,10 +284,7 @@ def follow(rows: DataFrame, key: str) -> DataFrame:
     minutes after their last cycle, so runs of cycles further apart than that know nothing of each other and are followed as groups of their own, which
     spreads a busy region over tasks. Storms are numbered within their run (``run``).
     """
-    kinds = F.create_map(*[F.lit(v) for pair in (("lightning", 0), ("radar", 1), ("rain", 2)) for v in pair])
-    usable = rows.dropna(subset=[key, "kind", "sim_s", "lat", "lon"]).withColumn("__kind", kinds[F.col("kind")])
-    usable = usable.withColumn("cycle_s", F.expr(f"(sim_s - pmod(sim_s, {CYCLE_S}))")).withColumn("intensity", F.coalesce("intensity", F.lit(0)))
-    usable = usable.withColumn("weight", F.coalesce("weight", F.lit(1.0))).select(key, "event_id", "cycle_s", "__kind", *FIELDS)
+    usable = in_cycles(rows, key)
     numbered = runs(usable, [key], "cycle_s", CYCLE_S + GONE_S)
 
     names = [key, "run", "cycle_s", *(c.split()[0] for c in REPORT.split(", "))]
@@ -315,11 +320,15 @@ def follow(rows: DataFrame, key: str) -> DataFrame:
     return in_order(numbered, [key, "run"], ["cycle_s", "__kind", "sim_s", "event_id"]).mapInPandas(walk, f"`{key}` {type_of}, run bigint, cycle_s bigint, {REPORT}")
 
 
+def weighed(rows: DataFrame, more: list[str] = ()) -> DataFrame:
+    """Observations of regions as ``follow`` takes them."""
+    system = F.when((F.col("kind") == "radar") & (F.col("source") == "comp"), F.concat_ws(":", "blob", "frame_s"))
+    return rows.select("region_id", "event_id", "kind", "sim_s", "lat", "lon", "intensity", "rain_mm", (F.col("quality") * 10).alias("weight"), system.alias("system"), *more)
+
+
 def follow_storms(spark, sf_dir):
     """Storms of each region; cells of the composite belong to the system of their blob and frame."""
-    rows = routed(spark, sf_dir)
-    system = F.when((F.col("kind") == "radar") & (F.col("source") == "comp"), F.concat_ws(":", "blob", "frame_s"))
-    return follow(rows.select("region_id", "event_id", "kind", "sim_s", "lat", "lon", "intensity", "rain_mm", (F.col("quality") * 10).alias("weight"), system.alias("system")), "region_id")
+    return follow(weighed(routed(spark, sf_dir)), "region_id")
 
 
 #: SQL has no state that each row changes; `tests/test_storms.py` holds the rows against a plain version and written-out cases.
@@ -356,7 +365,7 @@ def lightning_zones(strikes: DataFrame, keys: list[str], km: float = 25.0) -> Da
 
 def zones(spark, sf_dir):
     """Zones of each region and frame: strikes, newest one and box."""
-    strikes = routed(spark, sf_dir).where("kind = 'lightning'").select("region_id", "frame_s", "event_id", "lat", "lon", "sim_s")
+    strikes = routed(spark, sf_dir, "lightning").select("region_id", "frame_s", "event_id", "lat", "lon", "sim_s")
     named = lightning_zones(strikes, ["region_id", "frame_s"]).join(strikes, ["region_id", "frame_s", "event_id"])
     return named.groupBy("region_id", "frame_s", "zone").agg(
         F.count(F.lit(1)).alias("strikes"), F.max("sim_s").alias("newest_s"), F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"),

@@ -39,7 +39,11 @@ def observations(spark: SparkSession, sf_dir: str, kind: str | None = None) -> D
 
     With a kind, only events of its types are read, by a filter that reaches the scan.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"), kind)
+
+
+def from_events(events: DataFrame, kind: str | None = None) -> DataFrame:
+    """Observations of a table or stream of events."""
     if kind:
         others = [t for types in EVENT_TYPES.values() for t in types]
         of_kind = F.col("event_type").isin(EVENT_TYPES[kind]) if kind in EVENT_TYPES else F.col("event_type").isNull() | ~F.col("event_type").isin(others)
