@@ -171,12 +171,23 @@ def totals(spark, sf_dir):
     return observations(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"), F.countDistinct("station_id").alias("stations"), F.min("sim_s").alias("first_s"), F.max("sim_s").alias("last_s"))
 
 
-@query("A16_gauge_summary", "SELECT blob, count(*) AS n, round(avg(CASE WHEN rain_mm >= 0.1 THEN rain_mm END), 4) AS mean_wet, round(min(pressure), 4) AS min_p, round(median(pressure), 4) AS median_p, round((((degrees(atan2(sum(sin(radians(intensity * 45))), sum(cos(radians(intensity * 45))))) + 360) % 360) + 360) % 360, 2) AS wind_dir FROM obs WHERE kind = 'rain' GROUP BY 1")
+_WET, _GUST = "CASE WHEN rain_mm >= 0.1 THEN rain_mm END", "dbz / 2 + quality"
+
+
+@query("A16_gauge_summary", f"""
+SELECT blob, count(*) AS n, count({_WET}) AS wet, round(max(rain_mm), 4) AS max_mm, round(avg({_WET}), 4) AS mean_wet, round(max({_GUST}), 4) AS max_gust, round(avg(dbz / 2), 4) AS mean_wind,
+    round(avg(pressure), 4) AS mean_p, round(min(pressure), 4) AS min_p, round(median(pressure), 4) AS median_p,
+    round((((degrees(atan2(sum(sin(radians(intensity * 45))), sum(cos(radians(intensity * 45))))) + 360) % 360) + 360) % 360, 2) AS wind_dir
+FROM obs WHERE kind = 'rain' GROUP BY 1
+""")
 def gauges(spark, sf_dir):
-    angle = F.radians(F.col("intensity") * 45)
+    """Gauges of each storm: readings, wet ones, rain, wind (half an echo's strength stands for its speed) and pressure; the direction's mean is that of a circle."""
+    angle, wet = F.radians(F.col("intensity") * 45), F.when(F.col("rain_mm") >= 0.1, F.col("rain_mm"))
     return observations(spark, sf_dir, "rain").groupBy("blob").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("rain_mm") >= 0.1, F.col("rain_mm"))), 4).alias("mean_wet"), F.round(F.min("pressure"), 4).alias("min_p"),
-        F.round(F.median("pressure"), 4).alias("median_p"), F.round(F.pmod(F.degrees(F.atan2(F.sum(F.sin(angle)), F.sum(F.cos(angle)))) + 360, F.lit(360.0)), 2).alias("wind_dir"),
+        F.count(F.lit(1)).alias("n"), F.count(wet).alias("wet"), F.round(F.max("rain_mm"), 4).alias("max_mm"), F.round(F.avg(wet), 4).alias("mean_wet"),
+        F.round(F.max(F.col("dbz") / 2 + F.col("quality")), 4).alias("max_gust"), F.round(F.avg(F.col("dbz") / 2), 4).alias("mean_wind"),
+        F.round(F.avg("pressure"), 4).alias("mean_p"), F.round(F.min("pressure"), 4).alias("min_p"), F.round(F.median("pressure"), 4).alias("median_p"),
+        F.round(F.pmod(F.degrees(F.atan2(F.sum(F.sin(angle)), F.sum(F.cos(angle)))) + 360, F.lit(360.0)), 2).alias("wind_dir"),
     )
 
 
@@ -266,11 +277,11 @@ def runs(spark, sf_dir):
     return h.groupBy("r", "v", "island", "chunk").agg(F.min("c").alias("first_c"), F.max("c").alias("last_c")).select("r", "v", "first_c", "last_c")
 
 
-@query("M1_frame_upsert", ", old AS (SELECT source, frame_s, count(*) AS n, max(dbz) AS top FROM obs WHERE kind = 'radar' AND event_id % 2 = 0 GROUP BY 1, 2), new AS (SELECT source, frame_s, count(*) AS n, CASE WHEN count(*) > 2 THEN max(dbz) END AS top FROM obs WHERE kind = 'radar' AND event_id % 2 = 1 AND frame_s >= 20000 GROUP BY 1, 2) SELECT source, frame_s, CASE WHEN w.n IS NULL THEN o.n ELSE w.n END AS n, round(coalesce(w.top, o.top), 4) AS top FROM old o FULL JOIN new w USING (source, frame_s)")
+@query("M1_frame_upsert", ", old AS (SELECT source, frame_s, count(*) AS n, max(dbz) AS top FROM obs WHERE kind = 'radar' AND event_id % 2 = 0 GROUP BY 1, 2), new AS (SELECT source, frame_s, count(*) AS n, CASE WHEN count(*) > 2 THEN max(dbz) END AS top FROM obs WHERE kind = 'radar' AND event_id % 2 = 1 GROUP BY 1, 2) SELECT source, frame_s, CASE WHEN w.n IS NULL THEN o.n ELSE w.n END AS n, round(coalesce(w.top, o.top), 4) AS top FROM old o FULL JOIN new w USING (source, frame_s)")
 def frame_upsert(spark, sf_dir):
     r = observations(spark, sf_dir, "radar")
     old = r.where("event_id % 2 = 0").groupBy("source", "frame_s").agg(F.count(F.lit(1)).alias("n"), F.max("dbz").alias("top"))
-    new = r.where("event_id % 2 = 1 AND frame_s >= 20000").groupBy("source", "frame_s").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) > 2, F.max("dbz")).alias("top"))
+    new = r.where("event_id % 2 = 1").groupBy("source", "frame_s").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) > 2, F.max("dbz")).alias("top"))
     return upsert(old, new, ["source", "frame_s"], ["top"]).withColumn("top", F.round("top", 4))
 
 

@@ -6,9 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from squallframe.functions import geo, rules
-from squallframe.operators.observing import AS_OF, query
+from squallframe.operators.observing import AS_OF, in_regions, query
 from squallframe.sources.observations import REGIONS, observations, regions, targets
 
+#: The sources of the observations as the rules name them.
+SOURCE_NAMES = {"nat": "national", "comp": "opera", "tile": "rainviewer"}
+
 STORMS_SQL = """, storms AS (
     SELECT blob, CAST(frame_s AS BIGINT) AS frame_s, round(avg(lat), 6) AS s_lat, round(avg(lon), 6) AS s_lon, count(*) AS cells, max(dbz) AS max_dbz, max(sim_s) AS last_s
     FROM obs WHERE kind = 'radar' GROUP BY blob, frame_s
@@ -99,21 +102,28 @@ def active_cells(spark, sf_dir):
 
 
 @query("J2_D1_selected_source", f"""
-, decision AS (SELECT region_id, CASE WHEN region_id IN ('r0', 'r1') THEN 'nat' WHEN region_id = 'r2' THEN 'comp' ELSE 'tile' END AS chosen FROM regions)
-SELECT r.region_id, o.source, count(*) AS n FROM obs o JOIN decision d ON d.chosen = o.source JOIN regions r ON r.region_id = d.region_id
-WHERE o.kind = 'radar' AND {geo.haversine_sql('o.lat', 'o.lon', 'r.c_lat', 'r.c_lon')} <= r.radius_km GROUP BY 1, 2
+, seen AS (SELECT r.region_id, CAST(sim_s // 3600 AS BIGINT) AS hour, o.source, max(sim_s) AS last_s, count(*) AS n FROM obs o JOIN regions r ON {geo.haversine_sql('o.lat', 'o.lon', 'r.c_lat', 'r.c_lon')} <= r.radius_km WHERE o.kind = 'radar' GROUP BY 1, 2, 3),
+healthy AS (SELECT * FROM seen WHERE hour * 3600 + 3600 - last_s <= {60 * rules.HEALTHY_MINUTES['national']}),
+decision AS (
+    SELECT region_id, hour, coalesce(max(source) FILTER (source = 'nat'), max(source) FILTER (source = 'comp'), max(source) FILTER (source = 'tile')) AS source FROM healthy GROUP BY 1, 2
+)
+SELECT region_id, hour, source, n FROM seen JOIN decision USING (region_id, hour, source)
 """)
 def selected_source(spark, sf_dir):
-    chosen = F.when(F.col("region_id").isin("r0", "r1"), "nat").when(F.col("region_id") == "r2", "comp").otherwise("tile")
-    decisions = F.broadcast(regions(spark).withColumn("chosen", chosen))  # a literal of len(REGIONS) rows
-    o = observations(spark, sf_dir, "radar")
-    return o.join(decisions, (F.col("source") == F.col("chosen")) & (haversine("lat", "lon", "c_lat", "c_lon") <= F.col("radius_km"))).groupBy("region_id", "source").agg(F.count(F.lit(1)).alias("n"))
+    """Rows of each region and hour of the source that is chosen for them: the national one if its last product is young enough at the hour's end, else a healthy fallback."""
+    radar = in_regions(observations(spark, sf_dir, "radar"), spark)
+    seen = radar.groupBy("region_id", F.expr("sim_s DIV 3600").alias("hour"), "source").agg(F.max("sim_s").alias("last_s"), F.count(F.lit(1)).alias("n"))
+    name = F.create_map(*[F.lit(v) for pair in SOURCE_NAMES.items() for v in pair])[F.col("source")]
+    young = F.col("hour") * 3600 + 3600 - F.col("last_s") <= 60 * rules.HEALTHY_MINUTES["national"]
+    each = seen.groupBy("region_id", "hour").agg(F.collect_list(F.when(young, name)).alias("healthy"), F.collect_list(F.struct(name.alias("name"), "source", "n")).alias("rows"))
+    chosen = each.withColumn("chosen", rules.chosen_source(F.array(F.lit(SOURCE_NAMES["nat"])), F.col("healthy")))
+    return chosen.select("region_id", "hour", "chosen", F.inline("rows")).where("name = chosen").select("region_id", "hour", "source", "n")
 
 
 @query("J18_O2_N3_candidates", f"""{STORMS_SQL}
 , pairs AS (
     SELECT target_id, blob, frame_s, round({geo.haversine_sql('s_lat', 's_lon', 't_lat', 't_lon')}, 4) AS distance, cells, max_dbz - 40 AS approach,
-        CASE WHEN blob % 2 = 0 THEN 'raak' ELSE 'mist' END AS passage, CAST(blob * 35 AS DOUBLE) AS minutes FROM storms, targets WHERE cells >= 2 AND frame_s % 3600 = 0
+        CASE WHEN blob % 2 = 0 THEN 'raak' ELSE 'mist' END AS passage, CAST(blob * 35 AS DOUBLE) AS minutes FROM storms, targets
 ), ranked AS (
     SELECT *, CASE WHEN cells < 3 THEN 1 ELSE 0 END AS c1,
         CASE WHEN cells < 3 THEN 8 WHEN distance <= 5 THEN 0 WHEN minutes <= 90 AND passage = 'raak' THEN 1 WHEN approach > 1 AND minutes <= 90 AND passage <> 'mist' THEN 3
@@ -123,8 +133,9 @@ SELECT target_id, frame_s, blob, CAST(c1 AS INT) AS c1, CAST(c2 AS INT) AS c2, d
     SELECT *, row_number() OVER (PARTITION BY target_id, frame_s ORDER BY c1, c2, CASE WHEN c2 IN (1, 3) THEN minutes ELSE 0 END, distance, blob) AS place FROM ranked) WHERE place = 1
 """)
 def candidates(spark, sf_dir):
-    """The storm that matters most to each target, every hour. Targets are a literal of a few rows."""
-    pairs = storms(spark, sf_dir).where("cells >= 2 and frame_s % 3600 = 0").crossJoin(F.broadcast(targets(spark)))
+    """The storm that matters most to each target in each frame. Targets are a literal of a few rows, sent along as one array."""
+    places = targets(spark).agg(F.collect_list(F.struct("target_id", "t_lat", "t_lon")).alias("places"))
+    pairs = storms(spark, sf_dir).join(F.broadcast(places)).select("*", F.inline("places")).drop("places")
     status = F.when(F.col("cells") < 3, "waargenomen").otherwise("bevestigd")
     passage = F.when(F.col("blob") % 2 == 0, "raak").otherwise("mist")
     pairs = pairs.withColumn("distance", F.round(haversine("s_lat", "s_lon", "t_lat", "t_lon"), 4))

@@ -37,10 +37,36 @@ def points_in_ring(spark, sf_dir):
     return observations(spark, sf_dir).where(in_ring(F.col("lat"), F.col("lon"), RING)).groupBy("blob", "kind").agg(rows())
 
 
-@query("A13_regional_pressure", "SELECT blob, sim_s // 3600 AS hour, round(median(pressure), 4) AS median_pressure, count(*) AS n FROM obs WHERE kind = 'rain' GROUP BY 1, 2 HAVING count(*) >= 3")
+#: The reading of a station nearest to an hour before each of its readings of one polling hour, within eight minutes; the earlier of two.
+@query("A13_regional_pressure", """
+, p AS (SELECT blob, station_id, sim_s, max_by(pressure, event_id) AS pressure FROM obs WHERE kind = 'rain' GROUP BY 1, 2, 3),
+d AS (
+    SELECT a.blob, a.station_id, a.sim_s, min_by(a.pressure - b.pressure, (abs(b.sim_s - (a.sim_s - 3600)), b.sim_s)) AS delta FROM p a JOIN p b
+    ON b.blob = a.blob AND b.station_id = a.station_id AND b.sim_s < a.sim_s AND abs(b.sim_s - (a.sim_s - 3600)) <= 480 GROUP BY 1, 2, 3
+),
+changes AS (SELECT blob, sim_s // 3600 AS hour, round(median(delta), 2) AS median_change, count(*) AS changes FROM d GROUP BY 1, 2),
+r AS (SELECT blob, sim_s // 3600 AS hour, round(median(pressure), 4) AS median_pressure, count(*) AS n FROM obs WHERE kind = 'rain' GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT blob, hour, median_pressure, n, coalesce(changes, 0) AS changes, CASE WHEN changes >= 3 THEN median_change END AS median_change FROM r LEFT JOIN changes USING (blob, hour)
+""")
 def regional_pressure(spark, sf_dir):
+    """Median pressure of a storm's stations in each hour and, of three or more, the median of their changes within an hour.
+
+    Readings are joined by station and slots of eight minutes, so only those near the asked time meet.
+    """
     r = observations(spark, sf_dir, "rain")
-    return r.groupBy("blob", F.expr("sim_s DIV 3600").alias("hour")).agg(F.round(F.median("pressure"), 4).alias("median_pressure"), rows()).where("n >= 3")
+    key = ["blob", "station_id"]
+    p = r.groupBy(*key, "sim_s").agg(F.max_by("pressure", "event_id").alias("pressure"))
+    slot = F.expr("sim_s DIV 480")
+    before = p.select(*key, F.col("sim_s").alias("t"), F.col("pressure").alias("then"), slot.alias("slot"))
+    asked = p.withColumn("slot", F.explode(F.expr("array((sim_s - 3600) DIV 480 - 1, (sim_s - 3600) DIV 480, (sim_s - 3600) DIV 480 + 1)")))
+    off = F.abs(F.col("t") - (F.col("sim_s") - 3600))
+    near = asked.join(before, [*key, "slot"]).where((off <= 480) & (F.col("t") < F.col("sim_s")))
+    change = near.groupBy(*key, "sim_s").agg(F.min_by(F.col("pressure") - F.col("then"), F.struct(off, "t")).alias("change"))
+    hour = F.expr("sim_s DIV 3600").alias("hour")
+    changes = change.groupBy("blob", hour).agg(F.round(F.median("change"), 2).alias("median_change"), F.count(F.lit(1)).alias("changes"))
+    medians = r.groupBy("blob", hour).agg(F.round(F.median("pressure"), 4).alias("median_pressure"), rows()).where("n >= 3")
+    out = medians.join(changes, ["blob", "hour"], "left").withColumn("changes", F.coalesce("changes", F.lit(0)))
+    return out.withColumn("median_change", F.when(F.col("changes") >= 3, F.col("median_change")))
 
 
 @query("A17_image_sources", "SELECT source, count(*) AS n, round(avg(intensity) FILTER (intensity > 0), 3) AS mean_level, max(intensity) FILTER (intensity > 0) AS top_level FROM obs WHERE kind = 'radar' GROUP BY 1")
@@ -148,15 +174,21 @@ def nearest_place(spark, sf_dir):
     return o.select("event_id", near.alias("p")).where("p.km <= 100").select("event_id", "p.target_id")
 
 
-@query("J16_two_level_profiles", ", e AS (SELECT blob, source, count(*) AS samples, round(avg(intensity), 4) AS level FROM obs WHERE kind = 'radar' AND blob < 2 GROUP BY 1, 2), s AS (SELECT source, count(*) AS samples, round(avg(intensity), 4) AS level FROM obs WHERE kind = 'radar' GROUP BY 1), w AS (SELECT DISTINCT blob, source FROM obs) SELECT w.blob, w.source, CASE WHEN e.samples IS NULL THEN '*' ELSE 'exact' END AS scope, CASE WHEN e.samples IS NULL THEN s.samples ELSE e.samples END AS samples, CASE WHEN e.samples IS NULL THEN s.level ELSE e.level END AS level FROM w LEFT JOIN e ON w.blob = e.blob AND w.source = e.source LEFT JOIN s ON w.source = s.source")
+@query("J16_two_level_profiles", """
+, e AS (SELECT blob, source, sim_s // 3600 AS hour, count(*) AS samples, round(avg(intensity), 4) AS level FROM obs WHERE kind = 'radar' GROUP BY 1, 2, 3 HAVING count(*) >= 12),
+s AS (SELECT source, count(*) AS samples, round(avg(intensity), 4) AS level FROM obs WHERE kind = 'radar' GROUP BY 1), w AS (SELECT DISTINCT blob, source, sim_s // 3600 AS hour FROM obs)
+SELECT w.blob, w.source, CAST(w.hour AS BIGINT) AS hour, CASE WHEN e.samples IS NULL THEN '*' ELSE 'exact' END AS scope, CASE WHEN e.samples IS NULL THEN s.samples ELSE e.samples END AS samples,
+    CASE WHEN e.samples IS NULL THEN s.level ELSE e.level END AS level
+FROM w LEFT JOIN e ON w.blob = e.blob AND w.source = e.source AND w.hour = e.hour LEFT JOIN s ON w.source = s.source
+""")
 def two_level_profiles(spark, sf_dir):
-    """A profile of the exact scope, else the whole row of scope '*'. Profiles are as many as scopes and sources."""
-    o = observations(spark, sf_dir)
-    r = o.where("kind = 'radar'")
+    """A profile of the exact scope (a storm's hour) if it has twelve samples, else the whole row of scope '*'. Profiles are as many as scopes and sources."""
+    o = observations(spark, sf_dir).withColumn("hour", F.expr("sim_s DIV 3600"))
+    r, exact = o.where("kind = 'radar'"), ["blob", "source", "hour"]
     profile = F.struct(F.count(F.lit(1)).alias("samples"), F.round(F.avg("intensity"), 4).alias("level"))
-    exact, star = r.where("blob < 2").groupBy("blob", "source").agg(profile.alias("e")), r.groupBy("source").agg(profile.alias("s"))
-    wanted = o.select("blob", "source").distinct().join(exact, ["blob", "source"], "left").join(star, "source", "left")
-    return wanted.withColumn("p", F.coalesce("e", "s")).select("blob", "source", F.when(F.col("e").isNull(), "*").otherwise("exact").alias("scope"), "p.samples", "p.level")
+    scoped, star = r.groupBy(*exact).agg(profile.alias("e")).where("e.samples >= 12"), r.groupBy("source").agg(profile.alias("s"))
+    wanted = o.select(*exact).distinct().join(scoped, exact, "left").join(star, "source", "left")
+    return wanted.withColumn("p", F.coalesce("e", "s")).select(*exact, F.when(F.col("e").isNull(), "*").otherwise("exact").alias("scope"), "p.samples", "p.level")
 
 
 @query("J17_strikes_near_radar", f"SELECT o.blob, count(*) AS n FROM obs o WHERE o.kind = 'lightning' AND EXISTS (SELECT 1 FROM obs t WHERE t.kind = 'radar' AND t.frame_s = o.frame_s AND {geo.haversine_sql('o.lat', 'o.lon', 't.lat', 't.lon')} <= 25) GROUP BY 1")

@@ -16,7 +16,7 @@ from squallframe.operators.observing import ORACLES, QUERIES, in_regions
 from squallframe.sources.observations import OBS_SQL, from_events
 from squallframe.streaming.windows import drain
 
-LATE_S = 120
+LATE_S, DAY_S = 120, 86_400
 #: Hours of pressure that a station keeps, how far a reading may be from the asked time, and credible readings (fixed values).
 KEPT_S, NEAR_S, LOWEST, HIGHEST = 7200, 480, 850.0, 1100.0
 MINUTES = (15, 30, 60)
@@ -65,18 +65,19 @@ def in_event_order(stream: DataFrame, keys: list[str], at: str, order: list[str]
 
 
 def repeats_dropped(stream: DataFrame, keys: list[str], late_s: int = LATE_S) -> DataFrame:
-    """As ``storms.drop_repeats``, of a stream with a timestamp ``at``, whose seconds are sim_s: rows (event_id, keys, kind, sim_s) that repeat no kept one of the second before."""
+    """As ``storms.drop_repeats``, of a stream with a timestamp ``at``, which runs as sim_s does: rows (event_id, keys, kind, sim_s) that repeat no kept one of the second before."""
     station = F.when(F.col("kind") == "rain", F.coalesce(F.col("station_id"), -F.col("event_id") - 1)).otherwise(F.lit(0))
     rows = stream.withColumn("__station", station).select(*keys, "kind", "__station", "at", "event_id", "lat", "lon", "sim_s")
     group = [*keys, "kind", "__station"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     n = len(group)
 
-    def work(key: tuple, held: list | None, ready: list[tuple], until: float) -> tuple:
-        kept, out = list(held or []), []
+    def work(key: tuple, held: tuple | None, ready: list[tuple], until: float) -> tuple:
+        (kept, shift), out = held or ([], 0.0), []
         rain = key[n - 2] == "rain"
         for row in ready:
             event, lat, lon, at = row[n + 1 :]
+            shift = row[0] - at
             kept = [k for k in kept if k[0] >= at - storms.REPEAT_S]
             if not (kept if rain else any(abs(y - lat) < storms.REPEAT_DEGREES and abs(x - lon) < storms.REPEAT_DEGREES for _, y, x in kept)):
                 kept.append((at, lat, lon))
@@ -84,8 +85,8 @@ def repeats_dropped(stream: DataFrame, keys: list[str], late_s: int = LATE_S) ->
         last = max((k[0] for k in kept), default=None)
         if last is None:
             return None, out, None
-        gone = last + storms.REPEAT_S + 1
-        return (None, out, None) if gone <= until else (kept, out, gone)
+        gone = last + storms.REPEAT_S + 1 + shift
+        return (None, out, None) if gone <= until else ((kept, shift), out, gone)
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in group[:-1]) + ", event_id bigint, sim_s bigint"
     return in_event_order(rows, group, "at", ["event_id"], work, schema, late_s)
@@ -95,12 +96,13 @@ def pressure_changes(stream: DataFrame, key: str, late_s: int = LATE_S) -> DataF
     """Each credible reading of a station and its changes over MINUTES: key, at_s, pressure, change_15, change_30, change_60, readings.
 
     A station keeps two hours of readings; of several at one time the last stays. A change is against the reading nearest to the asked time, the
-    earlier of two, null where none is within NEAR_S of it. stream: key, a timestamp ``at``, event_id, pressure and sim_s (its seconds).
+    earlier of two, null where none is within NEAR_S of it. stream: key, a timestamp ``at``, event_id, pressure and sim_s, which runs as it does.
     """
     rows = stream.where(F.col("pressure").between(LOWEST, HIGHEST)).select(key, "at", "event_id", "pressure", "sim_s")
 
-    def work(station: tuple, held: list | None, ready: list[tuple], until: float) -> tuple:
-        history, out = list(held or []), []
+    def work(station: tuple, held: tuple | None, ready: list[tuple], until: float) -> tuple:
+        (history, shift), out = held or ([], 0.0), []
+        shift = ready[-1][0] - ready[-1][4] if ready else shift
         last_of = {row[4]: row[3] for row in ready}  # a later row of the same time takes the place
         for at, pressure in last_of.items():
             history = [h for h in history if h[0] >= at - KEPT_S and h[0] != at] + [(at, pressure)]
@@ -109,8 +111,8 @@ def pressure_changes(stream: DataFrame, key: str, late_s: int = LATE_S) -> DataF
                 near = [(abs(t - (at - 60 * m)), t, p) for t, p in history[:-1] if abs(t - (at - 60 * m)) <= NEAR_S]
                 changes.append(round(pressure - min(near)[2], 4) if near else None)
             out.append((*station, at, pressure, *changes, len(history)))
-        gone = history[-1][0] + KEPT_S + 1
-        return (None, out, None) if gone <= until else (history, out, gone)
+        gone = history[-1][0] + KEPT_S + 1 + shift
+        return (None, out, None) if gone <= until else ((history, shift), out, gone)
 
     kind = rows.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, at_s bigint, pressure double, {', '.join(f'change_{m} double' for m in MINUTES)}, readings int"
@@ -118,7 +120,7 @@ def pressure_changes(stream: DataFrame, key: str, late_s: int = LATE_S) -> DataF
 
 
 def storms_followed(stream: DataFrame, key: str, late_s: int = LATE_S) -> DataFrame:
-    """As ``storms.follow``, of a stream with a timestamp ``at``, whose seconds are sim_s: the storms of each region after each cycle that the watermark has passed.
+    """As ``storms.follow``, of a stream with a timestamp ``at``, which runs as sim_s does: the storms of each region after each cycle that the watermark has passed.
 
     State is a region's storms, which hold at most an hour, and the rows of cycles that are still open.
     """
@@ -127,33 +129,34 @@ def storms_followed(stream: DataFrame, key: str, late_s: int = LATE_S) -> DataFr
     time = first + storms.FIELDS.index("sim_s")
 
     def work(region: tuple, held: tuple | None, ready: list[tuple], until: float) -> tuple:
-        here, run, last, open_ = held or (storms.Region(), 0, None, {})
+        here, run, last, open_, shift = held or (storms.Region(), 0, None, {}, 0.0)
+        shift = ready[-1][0] - ready[-1][time] if ready else shift
         for row in ready:
             open_.setdefault(row[3], []).append((row[4], row[time], row[2], row[first:]))
         out = []
-        for cycle in sorted(c for c in open_ if c + storms.CYCLE_S <= until):
+        for cycle in sorted(c for c in open_ if c + storms.CYCLE_S + shift <= until):
             if last is not None and cycle - last > storms.CYCLE_S + storms.GONE_S:
                 here, run = storms.Region(), run + 1
             here.cycle(cycle, [r[3] for r in sorted(open_.pop(cycle), key=lambda r: r[:3])])
             last = cycle
             out += [(*region, run, cycle, *s) for s in here.report(cycle + storms.CYCLE_S)]
-        if last is not None and last + storms.CYCLE_S + storms.GONE_S < until and not open_:
+        if last is not None and last + storms.CYCLE_S + storms.GONE_S + shift < until and not open_:
             here = storms.Region()  # all its storms are gone; the number of the run is kept
-        return (here, run, last, open_), out, min((c + storms.CYCLE_S for c in open_), default=None)
+        return (here, run, last, open_, shift), out, min((c + storms.CYCLE_S + shift for c in open_), default=None)
 
     kind = rows.schema[key].dataType.simpleString()
     return in_event_order(rows, [key], "at", ["event_id"], work, f"`{key}` {kind}, run bigint, cycle_s bigint, {storms.REPORT}", late_s)
 
 
 def event_stream(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
-    """Observations of a stream over the events table, with their times as ``at``."""
+    """Observations of a stream over the events table, with their times as ``at``, a day on: rows of the first second aren't late that way."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")  # a pattern may also name a single file
-    return from_events(events, kind).withColumn("at", F.timestamp_seconds("sim_s"))
+    return from_events(events, kind).withColumn("at", F.timestamp_seconds(F.col("sim_s") + DAY_S))
 
 
 def stream_without_repeats(spark, sf_dir):
-    feeds = storms.two_feeds(event_stream(spark, sf_dir)).withColumn("at", F.timestamp_seconds("sim_s"))
+    feeds = storms.two_feeds(event_stream(spark, sf_dir)).withColumn("at", F.timestamp_seconds(F.col("sim_s") + DAY_S))
     return drain(repeats_dropped(feeds, ["blob"]), "repeats").select("event_id", "blob", "kind", "sim_s")
 
 
@@ -189,7 +192,7 @@ def recent_counts(stream: DataFrame, keys: list[str], late_s: int = LATE_S) -> D
 
 
 def stream_counts(spark, sf_dir):
-    return drain(recent_counts(event_stream(spark, sf_dir), ["blob", "kind"]), "counts")
+    return drain(recent_counts(event_stream(spark, sf_dir), ["blob", "kind"]), "counts").withColumn("until_s", F.col("until_s") - DAY_S)
 
 
 QUERIES["ST8_recent_counts"] = stream_counts

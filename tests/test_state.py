@@ -40,7 +40,7 @@ def in_two_goes(spark, rows, build, tmp_path):
 
 
 def with_times(rows):
-    return rows.withColumn("at", F.timestamp_seconds("sim_s"))
+    return rows.withColumn("at", F.timestamp_seconds(F.col("sim_s") + 1_000_000))
 
 
 def test_repeats_as_in_batch(spark, tmp_path):
