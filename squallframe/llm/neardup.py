@@ -323,17 +323,17 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float)
 
 
 def _text_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
-    sketches = materialize(sketch(docs, id_col, text_col, similarity))
+    sketches = materialize(sketch(docs, id_col, text_col, similarity), drop_shuffles=True)
     row = F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__raw")
     texts = sketches.where("__tid is not null").groupBy("__tid").agg(F.min(row).alias("__w"), F.first("__words").alias("__words"), F.first("__keys").alias("__keys"))
-    texts = materialize(texts)
+    texts = materialize(texts, drop_shuffles=True)
     buckets = texts.select(F.explode("__keys").alias("__key"), "__tid")
     firsts = buckets.groupBy("__key").agg(F.min("__tid").alias("__b"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    crowded = materialize(buckets.join(firsts, "__key"))  # the rows of buckets with several texts
+    crowded = materialize(buckets.join(firsts, "__key"), drop_shuffles=True)  # the rows of buckets with several texts
     star = crowded.where("__tid <> __b").groupBy(F.col("__tid").alias("__a"), "__b").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= LIKELY)
     wanted = crowded.select("__tid").distinct().join(texts.select("__tid", "__w"), "__tid")
-    words = materialize(words_by_id(docs, wanted, id_col, text_col))
-    links = materialize(verified(star.select("__a", "__b"), words, similarity))
+    words = materialize(words_by_id(docs, wanted, id_col, text_col), drop_shuffles=True)
+    links = materialize(verified(star.select("__a", "__b"), words, similarity), drop_shuffles=True)
     found = near_components(links, "__a", "__b")
     classes = crowded.select("__key", "__tid").join(found, F.col("__tid") == F.col("node"), "left").select("__key", "__tid", F.coalesce("component", "__tid").alias("__c"))
     for turn in range(PIVOT_ROUNDS + 1):
@@ -341,18 +341,18 @@ def _text_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float
         # of each bucket where classes meet: its rows, its largest class, and one of that class's texts
         sizes = classes.groupBy("__key", "__c").agg(F.count(F.lit(1)).alias("__n"), F.max_by("__tid", F.xxhash64("__tid", F.lit(turn))).alias("__pivot"))
         mixed = sizes.groupBy("__key").agg(F.sum("__n").alias("__size"), F.count(F.lit(1)).alias("__classes"), F.max_by(F.struct("__c", "__pivot"), F.struct("__n", "__c")).alias("__m")).where("__classes > 1")
-        meeting = materialize(classes.join(mixed.select("__key", "__size", F.col("__m.__c").alias("__main"), F.col("__m.__pivot").alias("__pivot")), "__key"))
+        meeting = materialize(classes.join(mixed.select("__key", "__size", F.col("__m.__c").alias("__main"), F.col("__m.__pivot").alias("__pivot")), "__key"), drop_shuffles=True)
         if turn == PIVOT_ROUNDS:
             break
         often = meeting.where("__c <> __main").groupBy("__tid", "__c", "__main", "__pivot").agg(F.count(F.lit(1)).alias("__n"))
         tries = often.groupBy(F.col("__tid").alias("__a"), F.col("__c").alias("__ca")).agg(F.max_by(F.struct("__pivot", "__main"), F.struct("__n", "__pivot")).alias("__p"))
-        more = materialize(verified(tries.select("__a", F.col("__p.__pivot").alias("__b"), "__ca", F.col("__p.__main").alias("__cb")), words, similarity).select(F.col("__ca").alias("__a"), F.col("__cb").alias("__b")).distinct())
+        more = materialize(verified(tries.select("__a", F.col("__p.__pivot").alias("__b"), "__ca", F.col("__p.__main").alias("__cb")), words, similarity).select(F.col("__ca").alias("__a"), F.col("__cb").alias("__b")).distinct(), drop_shuffles=True)
         links = links.union(more)
         merged = near_components(more, "__a", "__b")
         classes = meeting.select("__key", "__tid", "__c").join(merged, F.col("__c") == F.col("node"), "left").select("__key", "__tid", F.coalesce("component", "__c").alias("__c"))
 
     cross = meeting_pairs(meeting, texts, words, similarity)
-    last = materialize(verified(cross, words, similarity).select(F.col("__ca").alias("__a"), F.col("__cb").alias("__b")).distinct())
+    last = materialize(verified(cross, words, similarity).select(F.col("__ca").alias("__a"), F.col("__cb").alias("__b")).distinct(), drop_shuffles=True)
     found = components(links.union(last), "__a", "__b")
 
     members = texts.join(found, F.col("__tid") == F.col("node"), "left").select("__tid", F.col("__w").alias("__exact"), F.coalesce("component", "__tid").alias("__c"))
