@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from squallframe.operators import motion, observing, outlines, passages, policies, rasters, storms, timing, topics, tracking  # noqa: F401  (they register their queries)
-from squallframe.streaming import state, windows, writes  # noqa: F401  (the same)
+from squallframe.operators import guidance, motion, observing, outlines, passages, policies, rasters, storms, timing, topics, tracking, verification  # noqa: F401  (they register their queries)
+from squallframe.streaming import frames, regions, state, windows, writes  # noqa: F401  (the same)
 
 QUERIES: dict = {**observing.QUERIES}
 ORACLES: dict = {**observing.ORACLES}
