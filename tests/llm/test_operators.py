@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -304,6 +305,33 @@ def test_alignment_equals_dynamic_programming():
             assert neardup.edits_within(np.array(a), np.array(b), most) == (d if d <= most else None)
 
 
+@pytest.mark.parametrize("masked", [0, 4096])
+def test_alignment_by_bits_equals_that_by_diagonals(monkeypatch, masked):
+    monkeypatch.setattr(neardup, "MASKED", masked)
+    draw, seen = random.Random(11), Counter()
+    for _ in range(300):
+        kinds, share = draw.choice([2, 20, 1000]), draw.choice([0.02, 0.1, 0.3])
+        a = [draw.randrange(kinds) for _ in range(draw.randrange(1, 700))]
+        b = [draw.randrange(kinds) if draw.random() < share / 2 else x for x in a if draw.random() > share / 2]
+        a, b = (a, b) if draw.random() < 0.5 else (b, a)
+        band = draw.choice([1, 5, 40, 130])
+        if a and b and abs(len(a) - len(b)) <= band:
+            want = neardup._by_diagonals(np.array(a), np.array(b), band)
+            assert neardup._by_bits(a, b, band) == want
+            seen[want is None] += 1
+    assert min(seen.values()) > 20
+
+
+def test_long_texts_are_aligned_in_little_time():
+    """Edits of a tenth of 20,000 words: 2.3 CPU seconds row by row, 0.06 by bits on the same machine."""
+    draw = random.Random(12)
+    a = [draw.randrange(30_000) if draw.random() < 0.7 else draw.randrange(20) for _ in range(20_000)]
+    b = [draw.randrange(30_000) if draw.random() < 0.1 else x for x in a]
+    began = time.process_time()
+    assert 1500 < neardup.edits_within(np.array(a), np.array(b), 4000) < 2500
+    assert time.process_time() - began < 1
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(1, 40).select((F.col("id") * 7 % 41).alias("a"), ((F.col("id") + 1) * 7 % 41).alias("b"))
     assert {r.component for r in components.components(links, "a", "b").collect()} == {1}
