@@ -108,10 +108,10 @@ def straight_motion(frames: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cells_of(radar: DataFrame) -> DataFrame:
-    """The cell that each source sees of a storm in a frame: its newest time, strongest echo and footprint, the hull of its points."""
+    """The cell that each source sees of a storm in a frame: its newest time, strongest echo, footprint, the hull of its points, and the places where its sides start."""
     keys = ["blob", "frame_s", "source"]
     summed = radar.groupBy(*keys).agg(F.max("sim_s").alias("cell_s"), F.max("dbz").alias("dbz"))
-    return summed.join(hulls(radar, keys, "lat", "lon"), keys)
+    return summed.join(hulls(radar, keys, "lat", "lon", starts=True), keys)
 
 
 def targets_of_storms(spark, sf_dir) -> DataFrame:
@@ -121,15 +121,15 @@ def targets_of_storms(spark, sf_dir) -> DataFrame:
     """
     radar = observations(spark, sf_dir, "radar").select("blob", "frame_s", "source", "sim_s", "dbz", "lat", "lon")
     frames = radar.groupBy("blob", "frame_s").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    cells = cells_of(radar).groupBy("blob", "frame_s").agg(F.max("cell_s").alias("newest"), F.collect_list(F.struct("cell_s", "dbz", "ring")).alias("cells"))
+    cells = cells_of(radar).groupBy("blob", "frame_s").agg(F.max("cell_s").alias("newest"), F.collect_list(F.struct("cell_s", "dbz", "ring", "starts")).alias("cells"))
     storms = straight_motion(frames, ["blob"]).join(cells, ["blob", "frame_s"])
     newest = F.filter("cells", lambda x: x["cell_s"] >= F.col("newest") - NEWEST_S)
     storms = storms.withColumns({
-        "rings": F.transform(newest, lambda x: x["ring"]), "max_dbz": F.array_max(F.transform("cells", lambda x: x["dbz"])), "status": F.when(F.col("points") >= 2, "bevestigd").otherwise("waargenomen"),
+        "rings": F.transform(newest, lambda x: x["ring"]), "starts": F.flatten(F.transform(newest, lambda x: x["starts"])), "max_dbz": F.array_max(F.transform("cells", lambda x: x["dbz"])), "status": F.when(F.col("points") >= 2, "bevestigd").otherwise("waargenomen"),
     })
     places = targets(spark).agg(F.collect_list(F.struct("target_id", "t_lat", "t_lon")).alias("places"))
     rows = storms.drop("cells").join(F.broadcast(places)).select("*", F.inline("places")).drop("places")  # one row of literals
-    rows = rows.withColumn("distance", F.array_min(F.transform(F.flatten("rings"), lambda p: haversine(F.col("t_lat"), F.col("t_lon"), p["lat"], p["lon"]))))
+    rows = rows.withColumn("distance", F.array_min(F.transform("starts", lambda p: haversine(F.col("t_lat"), F.col("t_lon"), p["lat"], p["lon"])))).drop("starts")
     return motion_to_target(rows)
 
 

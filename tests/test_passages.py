@@ -126,3 +126,24 @@ def test_status_of_a_target(spark):
     assert (near.tracked, near.nearest, near.relation, near.nearest_km, near.tracked_km) == (1, 2, "verschillende_systemen", 3.5, 20.0)
     assert (near.reason, near.stage, near.eta_reliable, near.block, near.confidence) == ("forecast_hit", "dichtbij", True, None, 64 + 6 - 13)
     assert got["waargenomen"].block == "systeem_nog_niet_bevestigd" and got["bevestigd"].block == "bewegingsvector_onvoldoende_betrouwbaar" and got["wegtrekkend"].block == "passage_nog_niet_berekenbaar"
+
+
+def test_starts_of_sides_as_sql_finds_them(spark):
+    """Points on a side start one too, as products of doubles tell, as in the oracle's pairs of points with all others to their left."""
+    rng = np.random.default_rng(3)
+    groups = {k: np.unique(np.stack([51_000 + rng.integers(0, 9, n) + 7 * k, 4_000 + rng.integers(0, 7, n) * (k % 3) + k], axis=1), axis=0) / 1000.0 for k, n in enumerate((3, 5, 9, 20, 40, 60, 90, 8, 1, 2))}
+    rows = [(k, y, x) for k, points in groups.items() for y, x in points.tolist()]
+    df = spark.createDataFrame(rows, "k int, lat double, lon double").repartition(3)
+    got = {r.k: (r.ring, r.starts) for r in shapes.hulls(df, ["k"], "lat", "lon", starts=True).collect()}
+    plain = {r.k: r.ring for r in shapes.hulls(df, ["k"], "lat", "lon").collect()}
+    more = 0
+    for k, points in groups.items():
+        y, x = points[:, 0], points[:, 1]
+        turns = (x[None, :, None] - x[:, None, None]) * (y[None, None, :] - y[:, None, None]) - (y[None, :, None] - y[:, None, None]) * (x[None, None, :] - x[:, None, None])
+        flat = turns.max() <= 0
+        sides = np.ones(turns.shape[:2], bool) if flat else (turns.min(axis=2) >= 0) & (turns.max(axis=2) > 0)
+        starts = {(p.lat, p.lon) for p in got[k][1]}
+        assert starts == set(map(tuple, points[sides.any(axis=1)].tolist()))
+        assert {(p.lat, p.lon) for p in got[k][0]} == {(p.lat, p.lon) for p in plain[k]}
+        more += len(starts) > len(plain[k])
+    assert more > 3
