@@ -1,11 +1,13 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from squallframe.functions import shapes
 from squallframe.operators import passages
+from squallframe.sources.observations import EPOCH_US
 
 STORM = "id string, s_lat double, s_lon double, heading double, speed double, confidence string, status string, model string, t_lat double, t_lon double, distance double, error_km double, east2 double, rings array<array<struct<lat:double,lon:double>>>"
 
@@ -147,3 +149,18 @@ def test_starts_of_sides_as_sql_finds_them(spark):
         assert {(p.lat, p.lon) for p in got[k][0]} == {(p.lat, p.lon) for p in plain[k]}
         more += len(starts) > len(plain[k])
     assert more > 3
+
+
+def test_statuses_take_the_nearest_place_on_a_side(spark, tmp_path):
+    """A footprint's eastern side runs from south to north of a target; the place in its middle is nearest, as it is in SQL."""
+    at = lambda lat, lon: next(i for i in range(0, 3 * 101 * 151, 3) if (i * 7919) % 101 - 50 == lat and (i * 104729) % 151 - 75 == lon)
+    ids = [at(5, 20), at(25, 20), at(45, 20), at(25, 60)]
+    db = duckdb.connect()
+    us = EPOCH_US + 18_000 * 60_000_000
+    db.execute(f"CREATE TABLE events AS SELECT unnest({ids})::BIGINT AS event_id, make_timestamp({us}) AS ts, 0::BIGINT AS user_id, 'purchase' AS event_type, 30.0::DOUBLE AS value, '{{\"k\": 50}}' AS props")
+    db.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    rows = passages.QUERIES["N5_target_statuses"](spark, str(tmp_path)).collect()
+    assert {r.target_id: r.nearest_km for r in rows}["home"] == 1.4  # 2.6 to the corners
+    for name in ("N5_target_statuses", "SC6_N2_passages"):
+        got = [tuple(r) for r in passages.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, db.execute(passages.ORACLES[name]).fetchall()))
