@@ -21,6 +21,8 @@ REPEAT_S, REPEAT_DEGREES = 1, 0.001
 REACH_KM, GAUGE_KM, MERGE_KM, WET_MM = 30.0, 60.0, 60.0, 0.1
 CELLS_S, STRIKES_S, RECENT_S, REST_S, GONE_S = 1200, 3600, 300, 300, 900
 MOST_STORMS, CYCLE_S = 15, 300
+#: Distances nearer than this to a limit are looked at one by one (km); most and fewest rows that are told by bounds at once.
+CLOSE_KM, MOST_ROWS, FEWEST_ROWS = 1e-6, 16_384, 64
 
 
 def in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -135,14 +137,24 @@ class Storm:
         self.systems: dict[str, int] = {}
         self.cells, self.n_cells = np.empty((8, 4)), 0
         self.strikes, self.n_strikes = np.empty((8, 4)), 0
+        self.radius = 0.0
 
-    def add(self, what: str, row: tuple) -> None:
+    def add(self, what: str, rows: np.ndarray) -> None:
+        """Rows in their order; ``radius`` isn't kept up."""
         held, n = getattr(self, what), getattr(self, f"n_{what}")
-        if n == len(held):
-            held = np.concatenate([held, np.empty_like(held)])
+        if n + len(rows) > len(held):
+            held = np.concatenate([held, np.empty((max(len(held), n + len(rows) - len(held)), 4))])
             setattr(self, what, held)
-        held[n] = row
-        setattr(self, f"n_{what}", n + 1)
+        held[n : n + len(rows)] = rows
+        setattr(self, f"n_{what}", n + len(rows))
+
+    def measure(self) -> None:
+        """How far the farthest cell is from the centre."""
+        cells = self.of("cells")
+        self.radius = float(distances(self.lat, self.lon, cells[:, 1], cells[:, 2]).max()) if len(cells) else 0.0
+
+    def centre_km(self, lat: float, lon: float) -> float:
+        return float(distances(lat, lon, np.array([self.lat]), np.array([self.lon]))[0])
 
     def of(self, what: str) -> np.ndarray:
         return getattr(self, what)[: getattr(self, f"n_{what}")]
@@ -178,10 +190,8 @@ class Storm:
 
     def absorb(self, other: Storm, now: int) -> None:
         """Take in another storm's memory; the centre moves by the two numbers of strikes, the taker's counted with the other's."""
-        for row in other.of("strikes"):
-            self.add("strikes", row)
-        for row in other.of("cells"):
-            self.add("cells", row)
+        for what in ("strikes", "cells"):
+            self.add(what, other.of(what))
         self.systems = {k: max(t, self.systems.get(k, t)) for k, t in {**self.systems, **other.systems}.items()}
         mine, theirs = (len(s.recent_strikes(now, STRIKES_S)) for s in (self, other))
         if mine + theirs:
@@ -210,40 +220,127 @@ class Region:
             for storm in active:
                 if system in storm.systems:
                     return storm
-        near = [(d, k) for k, d in enumerate(s.distance(lat, lon) for s in active) if d < REACH_KM]
-        return active[min(near)[1]] if near else None
+        centres = [(storm.centre_km(lat, lon), storm) for storm in active]
+        centres = [(km, storm) for km, storm in centres if km - storm.radius <= REACH_KM + CLOSE_KM]  # others have nothing within reach
+        if len(centres) == 1 and centres[0][0] < REACH_KM:
+            return centres[0][1]
+        near = [(d, k) for k, d in enumerate(storm.distance(lat, lon) for _, storm in centres) if d < REACH_KM]
+        return centres[min(near)[1]][1] if near else None
+
+    def place_one(self, what: str, row: tuple, now: int) -> None:
+        """row: time, lat, lon, intensity, weight, system; for a row that bounds don't tell."""
+        at, lat, lon, intensity, weight, system = row
+        storm = self.owner(lat, lon, system if what == "cells" else None)
+        if storm is None:
+            if len(self.active()) >= MOST_STORMS:
+                self.dropped += 1
+                return
+            self.made += 1
+            storm = Storm(self.made, lat, lon, now)
+            self.storms.append(storm)
+        storm.seen = now
+        if what == "strikes":
+            storm.add("strikes", np.array([(at, lat, lon, 1.0)]))
+            return
+        storm.add("cells", np.array([(at, lat, lon, max(weight, 1.0))]))
+        storm.radius = max(storm.radius, storm.centre_km(lat, lon))
+        storm.strongest = max(storm.strongest, intensity)
+        if system is not None:
+            storm.systems[system] = at
+
+    def place_block(self, what: str, columns: list[np.ndarray], now: int) -> int:
+        """Give rows to storms as far as the storms' centres and radii tell whose they are; the number of rows that were given.
 
-    def cycle(self, start: int, rows: list[tuple]) -> None:
-        """rows: (kind, time, lat, lon, intensity, rain_mm, weight, system)."""
+        A row goes to the storm whose centre is within reach if no other storm has a cell within reach, not even one of this block's cells, or to the
+        storm of its system. So rows are told in any order as they would be one after the other.
+        """
+        at, lat, lon, intensity, weight, system = columns
+        active = self.active()
+        if not active:
+            return 0
+        km = np.stack([distances(s.lat, s.lon, lat, lon) for s in active], axis=1)
+        sure = km < REACH_KM - CLOSE_KM
+        chosen, by_place = np.where(sure.sum(axis=1) == 1, sure.argmax(axis=1), -1), np.ones(len(lat), bool)
+        groups = []
+        if what == "cells":
+            codes, names = pd.factorize(system, use_na_sentinel=True)
+            order = np.argsort(codes, kind="stable")
+            groups = [(names[codes[of[0]]], of) for of in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1) if codes[of[0]] >= 0]
+            for name, of in groups:
+                holder = next((k for k, s in enumerate(active) if name in s.systems), None)
+                rest = of if holder is not None else of[1:]  # the first row of a new system goes by its place
+                chosen[rest], by_place[rest] = chosen[of[0]] if holder is None else holder, False
+        many = int(np.argmax(chosen < 0)) if (chosen < 0).any() else len(chosen)
+        radii = np.array([s.radius for s in active])
+        if what == "cells":
+            np.maximum.at(radii, chosen[:many], km[np.arange(many), chosen[:many]])
+        apart = km[:many] - radii > REACH_KM + CLOSE_KM
+        apart[np.arange(many), chosen[:many]] = True
+        unsure = by_place[:many] & ~apart.all(axis=1)
+        many = int(np.argmax(unsure)) if unsure.any() else many
+        rows = np.column_stack([at[:many], lat[:many], lon[:many], np.ones(many) if what == "strikes" else np.maximum(weight[:many], 1.0)])
+        for k, storm in enumerate(active):
+            of = np.flatnonzero(chosen[:many] == k)
+            if not len(of):
+                continue
+            storm.seen = now
+            storm.add(what, rows[of])
+            if what == "cells":
+                storm.radius = max(storm.radius, float(km[of, k].max()))
+                storm.strongest = max(storm.strongest, int(intensity[of].max()))
+        for name, of in groups:
+            of = of[of < many]
+            if len(of):
+                active[chosen[of[0]]].systems[name] = int(at[of[-1]])
+        return many
+
+    def place(self, what: str, columns: list[np.ndarray], now: int) -> None:
+        """Rows in their order: in growing blocks while bounds tell whose they are, one by one where they don't."""
+        k, size, singles, n = 0, FEWEST_ROWS, 1, len(columns[0])
+        while k < n:
+            window = [c[k : k + size] for c in columns]
+            given = self.place_block(what, window, now)
+            k += given
+            if given == len(window[0]):
+                size, singles = min(size * 4, MOST_ROWS), 1
+                continue
+            for row in zip(*(c[k : k + singles].tolist() for c in columns), strict=True):
+                self.place_one(what, row, now)
+            k, size, singles = k + singles, FEWEST_ROWS, min(singles * 2, FEWEST_ROWS)
+
+    def gauges(self, lat: np.ndarray, lon: np.ndarray, rain_mm: np.ndarray) -> None:
+        for storm in self.active():
+            km = distances(storm.lat, storm.lon, lat, lon)
+            near = km <= GAUGE_KM
+            for k in np.flatnonzero(np.abs(km - GAUGE_KM) < CLOSE_KM):
+                near[k] = storm.centre_km(lat[k], lon[k]) <= GAUGE_KM
+            wet = int((rain_mm[near] >= WET_MM).sum())  # a null reading is dry
+            storm.wet, storm.dry = storm.wet + wet, storm.dry + int(near.sum()) - wet
+
+    def cycle(self, start: int, rows: list[tuple] | pd.DataFrame) -> None:
+        """rows: (kind, time, lat, lon, intensity, rain_mm, weight, system), in FIELDS or as tuples."""
         now = start + CYCLE_S
         self.rest(start)
-        for kind, at, lat, lon, intensity, rain_mm, weight, system in rows:
-            if kind == "rain":
-                for storm in self.active():
-                    if distances(lat, lon, np.array([storm.lat]), np.array([storm.lon]))[0] <= GAUGE_KM:
-                        wet = rain_mm >= WET_MM  # a null reading is dry
-                        storm.wet, storm.dry = storm.wet + wet, storm.dry + (not wet)
+        rows = rows if isinstance(rows, pd.DataFrame) else pd.DataFrame(rows, columns=FIELDS)
+        kinds = rows["kind"].to_numpy(object)
+        at, intensity = (rows[c].to_numpy("int64") for c in ("sim_s", "intensity"))
+        lat, lon, rain_mm, weight = (rows[c].to_numpy("float64", na_value=np.nan) for c in ("lat", "lon", "rain_mm", "weight"))
+        system = rows["system"].astype(object)
+        system = system.where(system.notna(), None).to_numpy(object)
+        cuts = [0, *(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1).tolist(), len(kinds)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
                 continue
-            storm = self.owner(lat, lon, system if kind == "radar" else None)
-            if storm is None:
-                if len(self.active()) >= MOST_STORMS:
-                    self.dropped += 1
-                    continue
-                self.made += 1
-                storm = Storm(self.made, lat, lon, now)
-                self.storms.append(storm)
-            storm.seen = now
-            if kind == "lightning":
-                storm.add("strikes", (at, lat, lon, 1.0))
+            if kinds[a] == "rain":
+                self.gauges(lat[a:b], lon[a:b], rain_mm[a:b])
             else:
-                storm.add("cells", (at, lat, lon, max(weight, 1.0)))
-                storm.strongest = max(storm.strongest, intensity)
-                if system is not None:
-                    storm.systems[system] = at
+                self.place("strikes" if kinds[a] == "lightning" else "cells", [c[a:b] for c in (at, lat, lon, intensity, weight, system)], now)
         for storm in self.storms:
             storm.settle(now)
         self.merge(now)
         self.rest(now)
+        for storm in self.storms:
+            storm.measure()
 
     def merge(self, now: int) -> None:
         """Active storms in order of age take in younger ones within MERGE_KM; a taker's centre moves while it looks."""
@@ -291,16 +388,22 @@ def follow(rows: DataFrame, key: str) -> DataFrame:
 
     def cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Whole cycles; the last one of a batch waits for the next batch."""
-        held = None
+        held, last = [], None
         for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
             if batch.empty:
                 continue
-            starts = np.flatnonzero(changes(batch, names[:3]))
-            yield from (batch.iloc[a:b] for a, b in zip(starts, starts[1:], strict=False))
-            held = batch.iloc[starts[-1] :]
-        if held is not None:
-            yield held
+            starts = np.flatnonzero(changes(batch, names[:3])).tolist()
+            if tuple(batch[names[:3]].iloc[0]) == last:
+                held.append(batch.iloc[: starts[1] if len(starts) > 1 else len(batch)])
+                starts = starts[1:]
+            last = tuple(batch[names[:3]].iloc[-1])
+            if starts:
+                if held:
+                    yield pd.concat(held, ignore_index=True)
+                yield from (batch.iloc[a:b] for a, b in zip(starts, starts[1:], strict=False))
+                held = [batch.iloc[starts[-1] :]]
+        if held:
+            yield pd.concat(held, ignore_index=True)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, region, out = None, None, []
@@ -308,8 +411,7 @@ def follow(rows: DataFrame, key: str) -> DataFrame:
             group, start = (piece[key].iloc[0], int(piece["run"].iloc[0])), int(piece["cycle_s"].iloc[0])
             if group != current:
                 current, region = group, Region()
-            systems = (s if isinstance(s, str) else None for s in piece["system"])
-            region.cycle(start, [*zip(*(piece[c] for c in FIELDS[:-1]), systems, strict=True)])
+            region.cycle(start, piece)
             out += [(*group, start, *r) for r in region.report(start + CYCLE_S)]
             if len(out) >= 1000:
                 yield pd.DataFrame(out, columns=names)

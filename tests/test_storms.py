@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 
 from squallframe.operators import rasters, storms
@@ -152,3 +153,41 @@ def test_large_parts_are_cut_at_the_first_threshold_and_grow_back(spark):
     assert [found.get((10, x), "gone") for x in range(7)] == [0, 0, 0, 0, 0, 0, "gone"]
     assert [found[20, x] for x in range(4)] == [None] * 4 and found[30, 0] is None
     assert len(found) == 17 and rasters.cores(pixels.limit(0), ["f"], "y", "x", "v", 3, [2]).count() == 0
+
+
+def crowd(rng, n, spread):
+    """Rows of three cycles around places that are apart, near each other or far; some cells belong to systems."""
+    cycles = []
+    for start in (0, 300, 600):
+        rows = []
+        for rank, kind in enumerate(("lightning", "radar", "rain")):
+            for at in sorted(int(start + rng.integers(0, 300)) for _ in range(n)):
+                lat, lon = 50 + spread * int(rng.integers(0, 4)) + rng.normal(0, 0.05), 5 + spread * int(rng.integers(0, 3)) + rng.normal(0, 0.08)
+                system = f"{int(rng.integers(0, 6))}:{start}" if kind == "radar" and rng.random() < 0.3 else None
+                rows.append((kind, at, lat, lon, int(rng.integers(0, 9)), float(rng.random()) if kind == "rain" else None, float(rng.random() * 3), system))
+        cycles.append((start, rows))
+    return cycles
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.25, 0.45, 1.0, 3.0])
+def test_rows_in_blocks_go_where_they_go_one_by_one(monkeypatch, spread):
+    cycles = crowd(np.random.default_rng(int(spread * 100)), 150, spread)
+    blocks, single = Region(), Region()
+    for start, rows in cycles:
+        blocks.cycle(start, rows)
+        with monkeypatch.context() as m:
+            m.setattr(Region, "place_block", lambda *_: 0)
+            single.cycle(start, rows)
+        assert repr(blocks.report(start + CYCLE_S)) == repr(single.report(start + CYCLE_S))
+        assert blocks.dropped == single.dropped and [repr(s.systems) for s in blocks.storms] == [repr(s.systems) for s in single.storms]
+
+
+def test_a_full_cycle_needs_few_distances(monkeypatch):
+    """Each row against each cell would be 20 million distances."""
+    counted, plain = [], storms.distances
+    monkeypatch.setattr(storms, "distances", lambda lat, lon, lats, lons: (counted.append(np.size(lats)), plain(lat, lon, lats, lons))[1])
+    rng = np.random.default_rng(1)
+    region = Region()
+    rows = [("radar", k // 20, 51.0 + rng.normal(0, 0.03), 5.0 + rng.normal(0, 0.03), 1, None, 1.0, None) for k in range(6000)]
+    region.cycle(0, [("lightning", 1, 51.0, 5.0, 0, None, 1.0, None), *rows])
+    assert [s.n_cells for s in region.storms] == [6000] and sum(counted) < 100_000
