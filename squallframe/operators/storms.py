@@ -41,6 +41,43 @@ def runs(rows: DataFrame, keys: list[str], at: str, gap: float) -> DataFrame:
     return rows.join(times, [*keys, at])
 
 
+class Recent:
+    """Rows kept of the last seconds, found by squares of two REPEAT distances a side."""
+
+    def __init__(self, seconds: float, degrees: float):
+        self.seconds, self.degrees, self.rows, self.squares = seconds, degrees, deque(), {}
+
+    def square(self, lat: float, lon: float) -> tuple[int, int]:
+        return math.floor(lat / (2 * self.degrees)), math.floor(lon / (2 * self.degrees))
+
+    def forget(self, at: float) -> None:
+        """Rows more than the seconds before a time; each is the oldest of its square."""
+        while self.rows and self.rows[0][0] < at - self.seconds:
+            row = self.rows.popleft()
+            square = self.square(*row[1:])
+            of = self.squares[square]
+            of.popleft()
+            if not of:
+                del self.squares[square]
+
+    def keeps(self, rain: bool, at: float, lat: float, lon: float) -> bool:
+        """Whether a row, the newest so far, repeats no kept one; then it is kept. All of rain are at one place. Rows without a place repeat none."""
+        self.forget(at)
+        if rain:
+            fresh, lat, lon = not self.rows, 0.0, 0.0
+        elif lat is None or lon is None or not (math.isfinite(lat) and math.isfinite(lon)):
+            return True
+        else:
+            r, c = self.square(lat, lon)
+            near = (row for y in (r - 1, r, r + 1) for x in (c - 1, c, c + 1) for row in self.squares.get((y, x), ()))
+            fresh = not any(abs(y - lat) < self.degrees and abs(x - lon) < self.degrees for _, y, x in near)
+        if fresh:
+            row = (at, lat, lon)
+            self.rows.append(row)
+            self.squares.setdefault(self.square(lat, lon), deque()).append(row)
+        return fresh
+
+
 def drop_repeats(rows: DataFrame, keys: list[str], seconds: float = REPEAT_S, degrees: float = REPEAT_DEGREES) -> DataFrame:
     """Rows (event_id, station_id, kind, lat, lon, sim_s) without those that repeat a kept one of the ``seconds`` before.
 
@@ -58,21 +95,17 @@ def drop_repeats(rows: DataFrame, keys: list[str], seconds: float = REPEAT_S, de
     group = [*keys, "kind", "__station", "run"]
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, kept = None, deque()
+        current, kept = None, Recent(seconds, degrees)
         for batch in batches:
             if batch.empty:
                 continue
             new, chosen = changes(batch, group), np.empty(len(batch), bool)
             new[0] = tuple(batch[group].iloc[0]) != current  # a group may go on from the batch before
-            values = zip(new, batch["kind"] == "rain", batch["sim_s"], batch["lat"], batch["lon"], strict=True)
+            values = zip(new.tolist(), (batch["kind"] == "rain").tolist(), batch["sim_s"].tolist(), batch["lat"].tolist(), batch["lon"].tolist(), strict=True)
             for i, (first, rain, at, lat, lon) in enumerate(values):
                 if first:
-                    kept.clear()
-                while kept and kept[0][0] < at - seconds:
-                    kept.popleft()
-                chosen[i] = not kept if rain else not any(abs(y - lat) < degrees and abs(x - lon) < degrees for _, y, x in kept)
-                if chosen[i]:
-                    kept.append((at, lat, lon))
+                    kept = Recent(seconds, degrees)
+                chosen[i] = kept.keeps(rain, at, lat, lon)
             current = tuple(batch[group].iloc[-1])
             yield batch.loc[chosen, columns]
 

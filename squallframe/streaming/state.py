@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -14,12 +15,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from squallframe.operators import storms
 from squallframe.operators.observing import ORACLES, QUERIES, in_regions
 from squallframe.sources.observations import OBS_SQL, from_events
-from squallframe.streaming.windows import drain
+from squallframe.streaming.windows import drain, shared_path
 
 LATE_S, DAY_S = 120, 86_400
 #: Hours of pressure that a station keeps, how far a reading may be from the asked time, and credible readings (fixed values).
 KEPT_S, NEAR_S, LOWEST, HIGHEST = 7200, 480, 850.0, 1100.0
 MINUTES = (15, 30, 60)
+#: Stations of rain share so many states of a key.
+STATION_PARTS = 16
+#: Rows of a batch when a table is played as a stream.
+SLICE_ROWS = 250_000
 
 #: What a key's work gets: the key, what it held, its rows up to a time (in order) and that time; what it gives: what it holds now (None: nothing),
 #: output rows and the time when it wants to be called again without rows (None: only with rows).
@@ -67,26 +72,25 @@ def in_event_order(stream: DataFrame, keys: list[str], at: str, order: list[str]
 def repeats_dropped(stream: DataFrame, keys: list[str], late_s: int = LATE_S) -> DataFrame:
     """As ``storms.drop_repeats``, of a stream with a timestamp ``at``, which runs as sim_s does: rows (event_id, keys, kind, sim_s) that repeat no kept one of the second before."""
     station = F.when(F.col("kind") == "rain", F.coalesce(F.col("station_id"), -F.col("event_id") - 1)).otherwise(F.lit(0))
-    rows = stream.withColumn("__station", station).select(*keys, "kind", "__station", "at", "event_id", "lat", "lon", "sim_s")
-    group = [*keys, "kind", "__station"]
+    rows = stream.withColumn("__station", station).withColumn("__part", F.pmod(F.hash("__station"), F.lit(STATION_PARTS)))
+    rows = rows.select(*keys, "kind", "__part", "__station", "at", "event_id", "lat", "lon", "sim_s")
+    group = [*keys, "kind", "__part"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     n = len(group)
 
     def work(key: tuple, held: tuple | None, ready: list[tuple], until: float) -> tuple:
-        (kept, shift), out = held or ([], 0.0), []
+        (stations, shift), out = held or ({}, 0.0), []
         rain = key[n - 2] == "rain"
         for row in ready:
-            event, lat, lon, at = row[n + 1 :]
+            of, event, lat, lon, at = row[n + 1 :]
             shift = row[0] - at
-            kept = [k for k in kept if k[0] >= at - storms.REPEAT_S]
-            if not (kept if rain else any(abs(y - lat) < storms.REPEAT_DEGREES and abs(x - lon) < storms.REPEAT_DEGREES for _, y, x in kept)):
-                kept.append((at, lat, lon))
+            if of not in stations:
+                stations[of] = storms.Recent(storms.REPEAT_S, storms.REPEAT_DEGREES)
+            if stations[of].keeps(rain, at, lat, lon):
                 out.append((*key[: n - 1], event, at))
-        last = max((k[0] for k in kept), default=None)
-        if last is None:
-            return None, out, None
-        gone = last + storms.REPEAT_S + 1 + shift
-        return (None, out, None) if gone <= until else ((kept, shift), out, gone)
+        gone = {of: kept.rows[-1][0] + storms.REPEAT_S + 1 + shift if kept.rows else until for of, kept in stations.items()}
+        stations = {of: kept for of, kept in stations.items() if gone[of] > until}
+        return ((stations, shift), out, max(gone[of] for of in stations)) if stations else (None, out, None)
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in group[:-1]) + ", event_id bigint, sim_s bigint"
     return in_event_order(rows, group, "at", ["event_id"], work, schema, late_s)
@@ -126,13 +130,13 @@ def storms_followed(stream: DataFrame, key: str, late_s: int = LATE_S) -> DataFr
     """
     rows = storms.in_cycles(stream, key, ["at"])
     first = 5  # of the time, key, event_id, cycle_s and kind's rank
-    time = first + storms.FIELDS.index("sim_s")
+    timed = first + storms.FIELDS.index("sim_s")
 
     def work(region: tuple, held: tuple | None, ready: list[tuple], until: float) -> tuple:
         here, run, last, open_, shift = held or (storms.Region(), 0, None, {}, 0.0)
-        shift = ready[-1][0] - ready[-1][time] if ready else shift
+        shift = ready[-1][0] - ready[-1][timed] if ready else shift
         for row in ready:
-            open_.setdefault(row[3], []).append((row[4], row[time], row[2], row[first:]))
+            open_.setdefault(row[3], []).append((row[4], row[timed], row[2], row[first:]))
         out = []
         for cycle in sorted(c for c in open_ if c + storms.CYCLE_S + shift <= until):
             if last is not None and cycle - last > storms.CYCLE_S + storms.GONE_S:
@@ -155,8 +159,28 @@ def event_stream(spark: SparkSession, sf_dir: str, kind: str | None = None) -> D
     return from_events(events, kind).withColumn("at", F.timestamp_seconds(F.col("sim_s") + DAY_S))
 
 
+def replayed(spark: SparkSession, sf_dir: str, label: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """As ``event_stream``, of a table of any size: all its observations as files of about so many rows in the order of their times, one a batch.
+
+    A batch's rows wait in state until the watermark is beyond them, so one batch of a whole table would hold all of it in memory. Files are cut by time
+    and read in the order of their modification times, which are set by their numbers; rows without a time stay in the first.
+    """
+    events = from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    n = max(1, -(-events.count() // rows))
+    folder = shared_path(spark, f"{label}-slices")
+    events.repartitionByRange(n, "sim_s").write.parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in store.listStatus(path) if f.getPath().getName().endswith(".parquet")), key=lambda f: f.getName())
+    begun = int(time.time()) - len(files)
+    for k, f in enumerate(files):
+        store.setTimes(f, (begun + k) * 1000, -1)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return stream.withColumn("at", F.timestamp_seconds(F.col("sim_s") + DAY_S))
+
+
 def stream_without_repeats(spark, sf_dir):
-    feeds = storms.two_feeds(event_stream(spark, sf_dir)).withColumn("at", F.timestamp_seconds(F.col("sim_s") + DAY_S))
+    feeds = storms.two_feeds(replayed(spark, sf_dir, "repeats")).withColumn("at", F.timestamp_seconds(F.col("sim_s") + DAY_S))
     return drain(repeats_dropped(feeds, ["blob"]), "repeats").select("event_id", "blob", "kind", "sim_s")
 
 
@@ -203,7 +227,7 @@ GROUP BY 1, 2, 3 HAVING until_s <= (SELECT max(sim_s) FROM obs) - {LATE_S}
 
 
 def stream_storms(spark, sf_dir):
-    rows = in_regions(event_stream(spark, sf_dir), spark)
+    rows = in_regions(replayed(spark, sf_dir, "storms"), spark)
     return drain(storms_followed(storms.weighed(rows, ["at"]), "region_id"), "storms")
 
 

@@ -102,3 +102,39 @@ def test_a_region_can_be_kept_between_batches():
     for r in (region, again):
         r.cycle(300, [("lightning", 310, 50.05, 5.0, 0, None, 1.0, None)])
     assert region.report(600) == again.report(600)
+
+
+def test_a_table_is_played_in_slices_of_its_time(spark, tmp_path):
+    """One batch of a whole table would hold all its rows in state."""
+    whole = observations(spark, DATA).count()
+    stream = state.replayed(spark, DATA, "test", rows=200)
+    seen = []
+    query = stream.writeStream.foreachBatch(lambda df, _: seen.append(df.agg(F.count(F.lit(1)), F.min("sim_s"), F.max("sim_s")).first())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    slices = [tuple(r) for r in seen if r[0]]
+    assert len(slices) == -(-whole // 200) and sum(n for n, _, _ in slices) == whole and max(n for n, _, _ in slices) < whole // 2
+    assert all(a[2] < b[1] for a, b in zip(slices, slices[1:], strict=False))
+
+
+def test_queries_don_t_hold_a_table_in_state(spark, monkeypatch):
+    """In slices of two hundred rows each state holds few, and rows stay as they are in one go."""
+    whole = {name: sorted(map(repr, state.QUERIES[name](spark, DATA).collect())) for name in ("ST5_stream_without_repeats", "ST1_ST2_ST3_stream_storms")}
+    plain = state.replayed
+    played = []
+    monkeypatch.setattr(state, "replayed", lambda s, d, label: (played.append(label), plain(s, d, label, 200))[1])
+    for name, rows in whole.items():
+        assert rows and sorted(map(repr, state.QUERIES[name](spark, DATA).collect())) == rows
+    assert played == ["repeats", "storms"]
+
+
+def test_recent_rows_by_squares_as_by_all():
+    rng = random.Random(2)
+    recent, kept = storms.Recent(storms.REPEAT_S, storms.REPEAT_DEGREES), []
+    for k in range(4000):
+        at, lat, lon = k // 40, rng.randrange(40) * 0.0005 - 0.01, rng.randrange(40) * 0.0005 - 0.01
+        kept = [r for r in kept if r[0] >= at - storms.REPEAT_S]
+        fresh = not any(abs(y - lat) < storms.REPEAT_DEGREES and abs(x - lon) < storms.REPEAT_DEGREES for _, y, x in kept)
+        kept += [(at, lat, lon)] if fresh else []
+        assert recent.keeps(False, at, lat, lon) == fresh and list(recent.rows) == kept
+    recent.forget(10_000)
+    assert not recent.rows and not recent.squares
