@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from squallframe.functions import geo
-from squallframe.functions.relational import within_km
+from squallframe.functions.relational import any_within_km, within_km
 from squallframe.functions.shapes import hulls
 from squallframe.operators.observing import HAV_REGION, ORACLES, QUERIES, routed
 from squallframe.operators.rasters import _parts_sql, label, wet_pixels
@@ -144,7 +144,7 @@ def zone_rings(strikes: DataFrame, cells: DataFrame, keys: list[str]) -> DataFra
     summed = named.groupBy(*group).agg(F.count(F.lit(1)).alias("strikes"), F.max("sim_s").alias("newest_s"))
     around = named.select(*group, F.inline(buffered(F.col("lat"), F.col("lon"), ZONE_KM)))
     places = cells.select(*keys, F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
-    near = within_km(named.select(*group, "lat", "lon"), places, "lat", "lon", "__lat", "__lon", 25.0, keys).select(*group).distinct().withColumn("radar", F.lit(True))
+    near = any_within_km(named.select(*group, "lat", "lon"), places, "lat", "lon", "__lat", "__lon", 25.0, keys).select(*group).distinct().withColumn("radar", F.lit(True))
     return summed.join(hulls(around, group, "lat", "lon"), group).join(near, group, "left").withColumn("radar", F.coalesce("radar", F.lit(False)))
 
 

@@ -470,29 +470,63 @@ def follow_storms(spark, sf_dir):
 QUERIES["ST1_ST2_ST3_storms"] = follow_storms
 
 
+def linked(lats: np.ndarray, lons: np.ndarray, km: float) -> np.ndarray:
+    """The number of each place's part; parts are linked by steps of at most ``km``.
+
+    Places of a square that are all within reach of one of them are taken together. Two squares are linked by these places, or not at all if they
+    are too far for any; only squares in between are searched, place by place, while they aren't in one part.
+    """
+    places, of = np.unique(np.stack([lats, lons], axis=1), axis=0, return_inverse=True)
+    of = of.reshape(-1)
+    y, x = places[:, 0], places[:, 1]
+    high = math.degrees(km / EARTH_KM) / 1.5
+    row = np.floor(y / high)
+    wide = high / np.maximum(np.cos(np.radians(np.minimum(np.maximum(np.abs(row), np.abs(row + 1)) * high, 90.0))), 1e-3)
+    _, square = np.unique(np.stack([row, np.floor(x / wide)], axis=1), axis=0, return_inverse=True)
+    order = np.argsort(square.reshape(-1), kind="stable")
+    groups, radii = [], []
+    for members in np.split(order, np.flatnonzero(np.diff(square.reshape(-1)[order])) + 1):
+        reach = distances(y[members[0]], x[members[0]], y[members], x[members])
+        close = reach <= km
+        groups.append(members[close])
+        radii.append(float(reach[close].max()))
+        groups += [np.array([m]) for m in members[~close]]
+        radii += [0.0] * int((~close).sum())
+    firsts, radii = np.array([g[0] for g in groups]), np.array(radii)
+    part = np.arange(len(groups))
+
+    def meet(a: np.ndarray, b: np.ndarray, first_a: int, first_b: int, k: int, j: int) -> bool:
+        a = a[distances(y[first_b], x[first_b], y[a], x[a]) - radii[j] <= km + CLOSE_KM]
+        b = b[distances(y[first_a], x[first_a], y[b], x[b]) - radii[k] <= km + CLOSE_KM]
+        a, b = (a, b) if len(a) <= len(b) else (b, a)
+        return any((distances(y[p], x[p], y[b], x[b]) <= km).any() for p in a)
+
+    between = []
+    for k in range(len(groups)):
+        apart = distances(y[firsts[k]], x[firsts[k]], y[firsts[k + 1 :]], x[firsts[k + 1 :]])
+        for j in k + 1 + np.flatnonzero(apart <= km):
+            part[part == part[j]] = part[k]
+        between += [(k, int(j)) for j in k + 1 + np.flatnonzero((apart > km) & (apart - radii[k] - radii[k + 1 :] <= km + CLOSE_KM))]
+    for k, j in between:
+        if part[k] != part[j] and meet(groups[k], groups[j], firsts[k], firsts[j], k, j):
+            part[part == part[j]] = part[k]
+    of_place = np.empty(len(places), int)
+    for members, number in zip(groups, part, strict=True):
+        of_place[members] = number
+    return of_place[of]
+
+
 def lightning_zones(strikes: DataFrame, keys: list[str], km: float = 25.0) -> DataFrame:
     """Strikes with their zone: those linked by steps of at most ``km`` within their group, named by the smallest event_id.
 
-    A group is what one region has seen in five minutes and is labelled in one task, each strike against those without a
-    zone yet; no pairs are written out. Rows with nulls in keys, id or place go.
+    A group is what one region has seen in five minutes and is labelled in one task, square by square; no pairs are
+    written out. Rows with nulls in keys, id or place go.
     """
     types = ", ".join(f"`{k}` {strikes.schema[k].dataType.simpleString()}" for k in keys)
 
     def label(group: pd.DataFrame) -> pd.DataFrame:
-        order = group.sort_values("event_id")
-        lats, lons, ids = (order[c].to_numpy() for c in ("lat", "lon", "event_id"))
-        zone, rest = np.zeros(len(ids), int), np.ones(len(ids), bool)
-        for first in range(len(ids)):
-            if not rest[first]:
-                continue
-            edge, rest[first], zone[first] = [first], False, ids[first]
-            while edge:
-                at = edge.pop()
-                open_ = np.flatnonzero(rest)
-                near = open_[distances(lats[at], lons[at], lats[open_], lons[open_]) <= km]
-                rest[near], zone[near] = False, ids[first]
-                edge.extend(near)
-        return order[[*keys, "event_id"]].assign(zone=zone)
+        part = linked(group["lat"].to_numpy(), group["lon"].to_numpy(), km)
+        return group[[*keys, "event_id"]].assign(zone=group["event_id"].groupby(part).transform("min"))
 
     usable = strikes.dropna(subset=[*keys, "event_id", "lat", "lon"]).select(*keys, "event_id", "lat", "lon")
     return usable.groupBy(*keys).applyInPandas(label, f"{types}, event_id bigint, zone bigint")

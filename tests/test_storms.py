@@ -2,7 +2,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from squallframe.functions import relational
 from squallframe.operators import rasters, storms
 from squallframe.operators.observing import routed
 from squallframe.operators.storms import CYCLE_S, Region
@@ -191,3 +193,33 @@ def test_a_full_cycle_needs_few_distances(monkeypatch):
     rows = [("radar", k // 20, 51.0 + rng.normal(0, 0.03), 5.0 + rng.normal(0, 0.03), 1, None, 1.0, None) for k in range(6000)]
     region.cycle(0, [("lightning", 1, 51.0, 5.0, 0, None, 1.0, None), *rows])
     assert [s.n_cells for s in region.storms] == [6000] and sum(counted) < 100_000
+
+
+def test_strikes_are_linked_as_one_by_one(monkeypatch):
+    counted, plain = [], storms.distances
+    rng = np.random.default_rng(4)
+    for spread, centre in ((0.3, 50.0), (1.5, 50.0), (3.0, 0.0), (0.6, 89.6), (2.0, -60.0)):
+        for n in (1, 2, 60):
+            lats = np.clip(centre + rng.normal(0, spread, n).round(2), -90, 90)
+            lons = (179.9 + rng.normal(0, spread * (1 if abs(centre) < 80 else 40), n).round(2) + 180) % 360 - 180
+            near = np.stack([plain(lats[k], lons[k], lats, lons) <= 25.0 for k in range(n)])
+            for _ in range(7):
+                near = near @ near
+            parts = storms.linked(lats, lons, 25.0)
+            assert ((parts[:, None] == parts[None, :]) == near).all()
+    # a strike for each strike would be 400 million distances
+    monkeypatch.setattr(storms, "distances", lambda lat, lon, lats, lons: (counted.append(np.size(lats)), plain(lat, lon, lats, lons))[1])
+    assert len(set(storms.linked(50 + rng.random(20_000) * 0.2, 5 + rng.random(20_000) * 0.2, 25.0).tolist())) == 1 and sum(counted) < 200_000
+
+
+def test_rows_near_any_other_without_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    places = lambda n: [(int(rng.integers(0, 2)), float(50 + rng.integers(0, 90) / 60), float(5 + rng.integers(0, 90) / 40)) for _ in range(n)]
+    left, right = places(300), places(12)
+    l, r = spark.createDataFrame([(k, *p) for k, p in enumerate(left)] * 2, "id int, f int, y double, x double"), spark.createDataFrame(right, "f int, lat double, lon double")
+    expected = {k for k, (f, y, x) in enumerate(left) if any(f == g and storms.distances(y, x, np.array([lat]), np.array([lon]))[0] <= 25 for g, lat, lon in right)}
+    got = [row.id for row in relational.any_within_km(l, r, "y", "x", "lat", "lon", 25.0, ["f"]).collect()]
+    assert len(got) == 2 * len(set(got)) and set(got) == expected and 20 < len(expected) < 280
+    dense = spark.range(3000).select(F.lit(0).alias("f"), (50 + F.col("id") % 50 / 1000).alias("lat"), (5 + F.col("id") / 60_000).alias("lon"))
+    joined = relational.any_within_km(dense.select("f", F.col("lat").alias("y"), F.col("lon").alias("x")), dense, "y", "x", "lat", "lon", 25.0, ["f"])
+    assert joined.count() == 3000
