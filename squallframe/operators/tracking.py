@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from squallframe.functions import geo
-from squallframe.functions.relational import latest, within_km
+from squallframe.functions.relational import any_within_km, latest
 from squallframe.operators.observing import query
 from squallframe.sources.observations import REGIONS, TARGETS, observations, regions
 
@@ -193,11 +193,9 @@ def two_level_profiles(spark, sf_dir):
 
 @query("J17_strikes_near_radar", f"SELECT o.blob, count(*) AS n FROM obs o WHERE o.kind = 'lightning' AND EXISTS (SELECT 1 FROM obs t WHERE t.kind = 'radar' AND t.frame_s = o.frame_s AND {geo.haversine_sql('o.lat', 'o.lon', 't.lat', 't.lon')} <= 25) GROUP BY 1")
 def strikes_near_radar(spark, sf_dir):
-    """Strikes with any cell of their frame within 25 km, by the cell join; pairs are folded by strike before they are counted."""
-    o = observations(spark, sf_dir)
-    strikes = o.where("kind = 'lightning'").select("event_id", "blob", "frame_s", F.col("lat").alias("y"), F.col("lon").alias("x"))
-    near = within_km(strikes, o.where("kind = 'radar'").select("frame_s", "lat", "lon"), "y", "x", "lat", "lon", 25.0, ["frame_s"])
-    return near.select("event_id", "blob").distinct().groupBy("blob").agg(rows())
+    """Strikes with any cell of their frame within 25 km, without their pairs."""
+    strikes = observations(spark, sf_dir, "lightning").select("blob", "frame_s", F.col("lat").alias("y"), F.col("lon").alias("x"))
+    return any_within_km(strikes, observations(spark, sf_dir, "radar"), "y", "x", "lat", "lon", 25.0, ["frame_s"]).groupBy("blob").agg(rows())
 
 
 @query("U10_region_keys", f"SELECT region_id, key FROM (VALUES {', '.join(f"('{r}', '{a:.2f},{b:.2f},{k:.0f}')" for r, a, b, k in REGIONS)}) v(region_id, key)")
